@@ -8,11 +8,15 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ancestra.session import ship_package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data by its logical name."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,7 +73,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
     elif pa.types.is_large_string(values.type):
         values = values.cast(pa.large_binary())
     start, held = 0, 0
-    sizes = pa.compute.binary_length(values).to_pylist()
+    sizes = pc.binary_length(values).to_pylist()
     for i, n in enumerate(sizes):
         held += n or 0
         if held >= most:
