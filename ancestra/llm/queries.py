@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, simhash
-from .common import table
+from . import bpe, chat, decontam, quality, simhash, tokencounts, urls, warc
+from .common import fresh_path, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +22,37 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation links and threads of all conversations."""
+    return chat.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+#: Fixed by the query's contract.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL by the rules, else by trees that learn from the URLs of labelled documents."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.labelled_by_document(pages, table(spark, sf_dir, "labels")), URL_RULES)
+
+
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of fingerprints at 2 or fewer differing bits over all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents, with the ranks of the 50k byte-level vocabulary."""
+    ranks = tokencounts.parse_ranks(bpe.read_text(spark, tokencounts.default_ranks_path()))
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), tokencounts.zipf_scores(ranks))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to WARC archives in the shared folder and read them back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode all documents with the 50k byte-level vocabulary."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.read_text(spark, bpe.default_path()))
@@ -35,7 +61,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
+    "op3_chat_quotes": op3_chat_quotes,
+    "op4_url_filter": op4_url_filter,
     "op5_simhash_neardup": op5_simhash_neardup,
+    "op8_token_counts": op8_token_counts,
+    "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
 
@@ -58,5 +88,15 @@ hi AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s))
 SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h)
+SELECT p.page_id, octet_length(encode(p.h))::bigint AS payload_bytes,
+       array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda c:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha1(p.h), (5 * g + 1)::int, 5))::int >> (15 - 5 * c)::int) & 31) + 1)::int, 1)), '')), '') AS payload_digest,
+       CASE WHEN p.page_id IS NOT DISTINCT FROM m THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id IS NOT DISTINCT FROM m THEN NULL ELSE m END AS refers_to
+FROM p JOIN g ON p.h = g.h
 """,
 }

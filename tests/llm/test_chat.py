@@ -1,0 +1,72 @@
+import random
+
+from ancestra.llm import chat
+
+COLUMNS = "conv_id long, turn long, role string, text string"
+OUT = ["conv_id", "turn", "role", "text", "parent_turn", "thread_turn", "depth", "n_quotes", "n_linked", "quote_level"]
+
+
+def linked(spark, rows, schema=COLUMNS):
+    return sorted((tuple(r) for r in chat.link_quotes(spark.createDataFrame(rows, schema)).select(*OUT).collect()), key=repr)
+
+
+def test_threads_of_nested_quotes(spark):
+    rows = [
+        (1, 0, "user", "Hello there.\n\nHow are you?"),
+        (1, 1, "assistant", "Fine, thanks."),
+        (1, 2, "user", "> how  ARE you?\nStill waiting."),
+        (1, 3, "user", ">> How are you?\n> Still waiting.\nPatience."),
+        (1, 4, "user", "> never said\nWhat?"),
+        (1, 5, "user", "> Patience.\n> \nOk"),
+    ]
+    by_turn = {r[1]: r for r in linked(spark, rows)}
+    assert by_turn[2][3:] == ("Still waiting.", 0, 0, 1, 1, 1, 1)
+    assert by_turn[3][3:] == ("Patience.", 2, 0, 2, 2, 2, 2)
+    assert by_turn[4][3:] == ("What?", None, 4, 0, 1, 0, 1)
+    assert by_turn[5][4:7] == (3, 0, 3)
+    assert by_turn[1][4:7] == (None, 1, 0)
+
+
+def test_nulls_ties_repeats_and_other_columns(spark):
+    rows = [
+        (1, 0, "user", "A b c", 1), (1, 0, "user", "A b c", 1), (1, 1, None, "> a B c\nyes", 2), (1, 1, None, "> a B c\nyes", 2),
+        (None, 1, "user", "> A b c\nx", 3), (1, None, "user", "> A b c\ny", 4), (1, 2, "user", None, 5), (1, 3, "user", "", 6), (1, 4, "user", ">\n> \n", 7), (2, 1, "user", "> A b c", 8),
+    ]
+    got = linked(spark, rows, COLUMNS + ", parent long")
+    assert got == sorted(chat.brute([r[:4] for r in rows]), key=repr)
+    assert len(got) == len(rows)
+
+
+def test_empty(spark):
+    assert linked(spark, []) == []
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(5)
+    words = ["yes", "No", "maybe so", "Thanks a lot.", "see  above", ""]
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.randrange(1, 14)):
+            lines = []
+            for _ in range(rng.randrange(0, 6)):
+                base = rng.choice(said) if said and rng.random() < 0.6 else rng.choice(words)
+                mark = rng.choice(["", "> ", ">", ">> ", "> > ", " > "])
+                lines += [mark + x for x in base.split("\n")]
+            text = rng.choice(["\n", "\r\n"]).join(lines)
+            said.append(text)
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), text))
+    assert linked(spark, rows) == sorted(chat.brute(rows), key=repr)
+
+
+def test_very_long_message(spark):
+    long = "\n".join(f"line {i}" for i in range(20_000))
+    quoted = "\n".join("> " + x for x in long.split("\n"))
+    got = {r[1]: r for r in linked(spark, [(1, 0, "user", long), (1, 1, "user", quoted + "\nreply")])}
+    assert got[1][3:8] == ("reply", 0, 0, 1, 1)
+
+
+def test_plan_is_native(spark):
+    df = chat.link_quotes(spark.createDataFrame([(1, 0, "user", "x")], COLUMNS))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
