@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, quality, simhash, tokencounts, urls, warc
+from . import bpe, chat, decontam, embeddings, quality, simhash, tokencounts, urls, warc
 from .common import fresh_path, table
 
 
@@ -42,6 +42,11 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more among all embeddings of a label."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of all documents, with the ranks of the 50k byte-level vocabulary."""
     ranks = tokencounts.parse_ranks(bpe.read_text(spark, tokencounts.default_ranks_path()))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_quotes": op3_chat_quotes,
     "op4_url_filter": op4_url_filter,
     "op5_simhash_neardup": op5_simhash_neardup,
+    "op7_embedding_neardup": op7_embedding_neardup,
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
@@ -98,5 +104,17 @@ SELECT p.page_id, octet_length(encode(p.h))::bigint AS payload_bytes,
        CASE WHEN p.page_id IS NOT DISTINCT FROM m THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN p.page_id IS NOT DISTINCT FROM m THEN NULL ELSE m END AS refers_to
 FROM p JOIN g ON p.h = g.h
+""",
+    "op7_embedding_neardup": """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.98),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::bigint AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id, vec_id IS NOT DISTINCT FROM least(vec_id, coalesce(c.b, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """,
 }
