@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, embeddings, quality, simhash, tokencounts, urls, warc
+from . import bpe, chat, decontam, embeddings, lm, quality, simhash, tokencounts, urls, warc
 from .common import fresh_path, table
 
 
@@ -42,6 +42,11 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on six sevenths of the documents and score all."""
+    return lm.train_and_score(table(spark, sf_dir, "documents"), fresh_path(spark, "lm"))
+
+
 def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.98 or more among all embeddings of a label."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_quotes": op3_chat_quotes,
     "op4_url_filter": op4_url_filter,
     "op5_simhash_neardup": op5_simhash_neardup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_embedding_neardup": op7_embedding_neardup,
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
