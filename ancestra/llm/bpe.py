@@ -55,23 +55,26 @@ class ForcedBoundaryBPE:
             a, b = to_bytes(left), to_bytes(right)
             self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
         self.single = [self.ids[bytes([b])] for b in range(256)]
-        self.joint = np.zeros(1 << 16, dtype=bool)
+        self.joint = bytearray(1 << 16)
         for token in self.ids:
-            if len(token) > 1:
-                x = np.frombuffer(token, dtype=np.uint8).astype(np.int64)
-                self.joint[(x[:-1] << 8) | x[1:]] = True
+            for a, b in zip(token, token[1:], strict=False):
+                self.joint[a << 8 | b] = 1
         self._split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self._words = regex.compile(PATTERN).findall
         self._fragments = Cache()
-        self._known = Cache()
+        self._known = Cache(800_000)
 
     def fragments(self, word: bytes) -> list[bytes]:
         """The word cut at every forced boundary."""
-        if len(word) < 2:
+        joint = self.joint
+        if len(word) <= REMEMBERED:
+            cuts = [i for i, (a, b) in enumerate(zip(word, word[1:], strict=False), 1) if not joint[a << 8 | b]]
+        else:
+            x = np.frombuffer(word, dtype=np.uint8).astype(np.int64)
+            cuts = (np.flatnonzero(np.frombuffer(joint, dtype=np.uint8)[x[:-1] << 8 | x[1:]] == 0) + 1).tolist()
+        if not cuts:
             return [word]
-        x = np.frombuffer(word, dtype=np.uint8).astype(np.int64)
-        cuts = np.flatnonzero(~self.joint[(x[:-1] << 8) | x[1:]]) + 1
-        ends = [*cuts.tolist(), len(word)]
+        ends = [*cuts, len(word)]
         return [word[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def merge(self, fragment: bytes) -> list[int]:
@@ -132,7 +135,7 @@ class ForcedBoundaryBPE:
                 continue
             for word in self._words(part):
                 if (got := known.get(word)) is None:
-                    got = self.encode_word(word)
+                    got = tuple(self.encode_word(word))
                     if len(word) <= REMEMBERED:
                         known.room()
                         known[word] = got
@@ -145,6 +148,18 @@ class ForcedBoundaryBPE:
         return b"".join([tokens[i] for i in ids]).decode("utf-8", "replace")
 
 
+_ENCODERS: dict[str, ForcedBoundaryBPE] = {}
+
+
+def encoder(vocabulary: str) -> ForcedBoundaryBPE:
+    """The encoder of a vocabulary; a worker process keeps the last one, and its caches, for its next tasks."""
+    key = hashlib.sha256(vocabulary.encode()).hexdigest()
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = ForcedBoundaryBPE(vocabulary)
+    return _ENCODERS[key]
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """The text of a vocabulary file at a local path of the driver."""
     with open(path, encoding="utf-8") as f:
@@ -169,7 +184,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ForcedBoundaryBPE(shared.value)
+        bpe = encoder(shared.value)
         shown = [str(i) for i in range(max(bpe.tokens) + 1)]
         for batch in batches:
             for start, texts in pieces(batch, "text"):
