@@ -37,9 +37,9 @@ LEAST = 2
 #: Quantised logarithms: 256 steps of [LOWEST, 0].
 LOWEST = -12.75
 #: Bytes of text taken at a time.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Keys gathered before they are merged.
-GATHERED = 4 << 20
+GATHERED = 2 << 20
 
 
 def held_out(doc_id) -> bool:
@@ -159,7 +159,7 @@ def shard_runs(batches: Iterator[pa.RecordBatch], done: Callable) -> Iterator:
                 yield done(now, *sums.take())
             now = int(shard[s])
             sums.add(key[s:e].view(U64), n[s:e])
-            if sums.held > 2 * GATHERED:
+            if sums.held > GATHERED:
                 keys, counts = sums.take()
                 sums.add(keys, counts)
     if now is not None:
