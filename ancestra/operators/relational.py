@@ -53,7 +53,7 @@ def asof(left: DataFrame, right: DataFrame, key: str, value: str, by: list[str]
         inner = placed.withColumn("__o", take.over(w))
         ends = placed.groupBy("__b").agg((F.min_by("__v", F.when(~F.col("__l"), F.col("__k"))) if forward else F.max_by("__v", F.when(~F.col("__l"), F.col("__k")))).alias("__e"))
         before = Window.orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
-        carry = ends.select(F.col("__b").alias("__i"), F.last("__e", ignorenulls=True).over(before).alias("__c"))
+        carry = ends.withColumnRenamed("__b", "__i").withColumn("__c", F.last("__e", ignorenulls=True).over(before)).select("__i", "__c")
         found = inner.join(F.broadcast(carry), F.col("__b") == F.col("__i"), "left").withColumn(out, F.coalesce("__o", "__c"))
         found = found.unionByName(rows.where(F.col("__k").isNull()), allowMissingColumns=True)
     return found.where("__l").select(*left.columns, out)
