@@ -37,7 +37,7 @@ LEAST = 2
 #: Quantised logarithms: 256 steps of [LOWEST, 0].
 LOWEST = -12.75
 #: Bytes of text taken at a time.
-SLICE = 2 << 20
+SLICE = 4 << 20
 #: Keys gathered before they are merged.
 GATHERED = 2 << 20
 
@@ -108,7 +108,7 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Distinct keys, sorted, with the sums of their counts."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
     return keys[first], np.add.reduceat(counts, first)
@@ -147,7 +147,7 @@ def written(path: str, parts: list[np.ndarray]) -> None:
 
 
 def shard_runs(batches: Iterator[pa.RecordBatch], done: Callable) -> Iterator:
-    """Rows (shard, key, n) sorted by shard, a shard at a time: done(shard, keys, sums)."""
+    """Rows (shard, key, n), each shard's together, a shard at a time: done(shard, keys, sums)."""
     now, sums = None, Sums()
     for batch in batches:
         shard, key, n = (batch.column(i).to_numpy() for i in range(3))
@@ -214,7 +214,9 @@ class Bigrams:
     def __init__(self, folder: str, words: Words, texts: int, shards: int, prior: float):
         self.folder, self.words, self.texts, self.shards, self.prior = folder, words, texts, shards, prior
         self.per = max(1, -(-(words.total + texts) // shards))
+        self.count = (words.total + texts) // self.per + 1
         self.shift: dict[int, tuple[int, float, int, float]] = {}
+        self.edges, self.edge_rest = np.empty(0, dtype=np.int64), np.empty(0)
 
     def place(self, before: np.ndarray, count: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The shard of each bigram; grows with (context, word)."""
@@ -246,12 +248,17 @@ class Bigrams:
                 whole[first] = whole.get(first, 0.0) + a
                 if last != first:
                     whole[last] = whole.get(last, 0.0) + b
+        self.edges = np.array(sorted(whole), dtype=np.int64)
+        self.edge_rest = np.log10(self.prior / (np.array([whole[c] for c in self.edges.tolist()]) + self.prior))
         change = lambda c, own: float(np.log10((own + self.prior) / (whole[c] + self.prior)))
         self.shift = {s: (first, change(first, a), last, change(last, b)) for s, n, first, a, last, b in manifest if n}
 
     def score(self, context: np.ndarray, before: np.ndarray, count: np.ndarray, word: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """log10 P(word | context); rows sorted by (context, word). word -1: not in the vocabulary; unigram: log10 P(word)."""
+        """log10 P(word | context); rows sorted by (context, word). word -1: one that no bigram has; unigram: log10 P(word)."""
         out = unigram.copy()
+        if len(self.edges):  # contexts that have bigrams in other shards than the row's
+            at = np.minimum(np.searchsorted(self.edges, context), len(self.edges) - 1)
+            out += np.where(self.edges[at] == context, self.edge_rest[at], 0.0)
         shards = self.place(before, count, np.maximum(word, 0))
         for shard in np.unique(shards).tolist():
             if shard not in self.shift:
@@ -297,8 +304,8 @@ def pairs(known: np.ndarray, index: np.ndarray, counts: np.ndarray, words: Words
 class Model:
     """A trained model: its two levels, and what it was trained on."""
 
-    def __init__(self, words: Words, bigrams: Bigrams):
-        self.words, self.bigrams = words, bigrams
+    def __init__(self, words: Words, bigrams: Bigrams, least: int):
+        self.words, self.bigrams, self.least = words, bigrams, least
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         """Add-one probability of words with these counts."""
@@ -330,7 +337,7 @@ def train(docs: DataFrame, folder: str, is_held_out: Callable = held_out, prior:
                     yield from emit(sums, top)
         yield from emit(sums, top)
 
-    counted = docs.mapInArrow(count_words, "shard long, key long, n long").repartition("shard").sortWithinPartitions("shard")
+    counted = docs.mapInArrow(count_words, "shard long, key long, n long").repartitionById(1 << bits, F.col("shard").cast("int"))
 
     def put_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in shard_runs(batches, lambda s, k, n: (*write_words(folder, bits, s, k, n), int(n[k == U64(END)].sum()))):
@@ -339,7 +346,7 @@ def train(docs: DataFrame, folder: str, is_held_out: Callable = held_out, prior:
     rows = cut(counted.mapInArrow(put_words, "shard long, words long, tokens long, texts long")).collect()  # one row a shard
     words, texts = Words(folder, bits, {r[0]: (r[1], r[2]) for r in rows}), sum(r[3] for r in rows)
     bigrams = Bigrams(folder, words, texts, shards, prior)
-    model = Model(words, bigrams)
+    model = Model(words, bigrams, least)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, Sums] = {}
@@ -359,20 +366,22 @@ def train(docs: DataFrame, folder: str, is_held_out: Callable = held_out, prior:
                 often = (context_n >= least) & (word_n >= least)  # a bigram is no more frequent than its words
                 key = (context[often].astype(U64) << U64(32)) | word[often].astype(U64)
                 shard = bigrams.place(before[often], context_n[often], word[often])
-                order = np.argsort(key, kind="stable")  # and so by shard
+                order = np.argsort(key)  # and so by shard
                 key, shard = key[order], shard[order]
+                if not len(key):
+                    continue
+                starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+                key, shard, n = key[starts], shard[starts], np.diff(np.append(starts, len(key)))
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)])).tolist()
                 for s, e in zip(cuts, cuts[1:], strict=False):
-                    if s < e:
-                        k, n = np.unique(key[s:e], return_counts=True)
-                        sums.setdefault(int(shard[s]), Sums()).add(k, n)
-                        gathered += len(k)
+                    sums.setdefault(int(shard[s]), Sums()).add(key[s:e], n[s:e])
+                gathered += len(key)
                 if gathered > GATHERED:
                     yield from flush()
                     gathered = 0
         yield from flush()
 
-    paired = docs.mapInArrow(count_pairs, "shard long, key long, n long").select(F.col("shard").cast("int").alias("shard"), "key", F.col("n").cast("int").alias("n")).repartition("shard").sortWithinPartitions("shard")
+    paired = docs.mapInArrow(count_pairs, "shard long, key long, n long").select(F.col("shard").cast("int").alias("shard"), "key", F.col("n").cast("int").alias("n")).repartitionById(bigrams.count, "shard")
 
     def put_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unigram(ids: np.ndarray) -> np.ndarray:
@@ -401,7 +410,7 @@ def score(docs: DataFrame, model: Model, is_held_out: Callable = held_out, id_co
     repeated ids are kept; other columns are ignored. Untrained, every word has count 0. Map only.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    words, bigrams = model.words, model.bigrams
+    words, bigrams, least = model.words, model.bigrams, model.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,9 +421,15 @@ def score(docs: DataFrame, model: Model, is_held_out: Callable = held_out, id_co
                 doc = np.repeat(np.arange(len(counts)), counts)
                 base = np.log10(model.unigram(word_n.astype(np.float64)))
                 value = base.copy()
-                rows = np.flatnonzero(context_n >= 1)
-                order = rows[np.lexsort((word[rows], context[rows]))]
-                value[order] = bigrams.score(context[order], before[order], context_n[order], word[order], base[order])
+                rows = np.flatnonzero(context_n >= least)  # other contexts have no bigram that is kept
+                asked = np.where(word_n[rows] >= least, word[rows] + 1, 0)  # nor have other words
+                key = (context[rows].astype(U64) << U64(32)) | asked.astype(U64)
+                order = np.argsort(key)
+                rows, key = rows[order], key[order]
+                first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=bool)
+                once = rows[first]
+                gain = bigrams.score(context[once], before[once], context_n[once], (key[first] & U64(0xFFFFFFFF)).astype(np.int64) - 1, base[once]) - base[once]
+                value[rows] += gain[np.cumsum(first) - 1]
                 total = lambda x, doc=doc, n=len(counts): np.bincount(doc, x, minlength=n)
                 cols = [batch.column(0).slice(start, len(ids)), pa.array([is_held_out(i) for i in ids]), pa.array(counts.astype(np.int64)), pa.array(total(word_n > 0).astype(np.int64)), pa.array(np.full(len(ids), words.total, dtype=np.int64)), pa.array(total(base)), pa.array(total(value))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
