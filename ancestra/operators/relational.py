@@ -34,7 +34,7 @@ def asof(left: DataFrame, right: DataFrame, key: str, value: str, by: list[str]
     """
     by = by or []
     forward = how != "backward"
-    right = right.groupBy(*by, key).agg(F.min(value).alias("__v"))
+    right = right.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.min(value).alias("__v"))
     # a left row must come after an equal right row to see it backward, and before it forward
     left_rank = {"backward": 1, "forward": 1, "forward_inclusive": 0}[how]
     right_rank = {"backward": 0, "forward": 0, "forward_inclusive": 1}[how]
@@ -45,7 +45,7 @@ def asof(left: DataFrame, right: DataFrame, key: str, value: str, by: list[str]
     take = F.last("__v", ignorenulls=True)
     if by:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        found = rows.withColumn(out, take.over(w))
+        found = rows.withColumn(out, F.when(F.col("__k").isNotNull(), take.over(w)))
     else:
         number = range_block(rows, "__k", blocks)
         placed = rows.where(F.col("__k").isNotNull()).withColumn("__b", -number if forward else number)
