@@ -141,12 +141,10 @@ def place_consistent(t):
     return p.select("n_nationkey", place.consistent(F.when(F.col("n_nationkey") % 2 == 0, F.lower("title")).otherwise(F.concat("r_name", F.lit(", "), "n_name")), "title").alias("ok"))
 
 
-STYLE = F.col("o_orderkey") % 4
-
-
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y%m%d') WHEN 1 THEN strftime(o_orderdate, '%Y%m') WHEN 2 THEN strftime(o_orderdate, '%Y') || ';' || (year(o_orderdate) + 1)::varchar ELSE '' END AS d FROM orders""")
 def date_tokens(t):
-    d = F.when(STYLE == 0, F.date_format("o_orderdate", "d MMMM yyyy")).when(STYLE == 1, F.concat(F.lit("abt "), F.date_format("o_orderdate", "MMM yyyy"))).when(STYLE == 2, F.concat(F.date_format("o_orderdate", "yyyy"), F.lit(" or "), (F.year("o_orderdate") + 1).cast("string"))).otherwise(F.date_format("o_orderdate", "MMM"))
+    style = F.col("o_orderkey") % 4
+    d = F.when(style == 0, F.date_format("o_orderdate", "d MMMM yyyy")).when(style == 1, F.concat(F.lit("abt "), F.date_format("o_orderdate", "MMM yyyy"))).when(style == 2, F.concat(F.date_format("o_orderdate", "yyyy"), F.lit(" or "), (F.year("o_orderdate") + 1).cast("string"))).otherwise(F.date_format("o_orderdate", "MMM"))
     return t("orders").select("o_orderkey", F.array_join(dates.date_tokens(dates.date_words(d)), ";").alias("d"))
 
 
