@@ -1,0 +1,68 @@
+import random
+
+import pytest
+
+from ancestra.llm import decontam
+
+COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+
+
+def check(spark, docs, items, **options):
+    d = spark.createDataFrame([(i, t, 3) for i, t in docs], "doc_id long, text string, n_hit int")
+    b = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    got = sorted(map(tuple, decontam.report(d, b, **options).select(*COLUMNS).collect()), key=repr)
+    known = [(i, t) for i, t in items if i is not None]
+    want = sorted([(i, *decontam.brute(t, known)) for i, t in docs], key=repr)
+    assert got == want
+    return {g[0]: g for g in got}
+
+
+def corpus(seed, vocabulary=12):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(vocabulary)] + ["É", "ß9"]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([1, 3, 4, 9, 10, 11, 14, 25])))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(5)):
+            source = rng.choice(items)[1].split()
+            at = rng.randrange(len(source))
+            parts.append(", ".join(source[at:]).upper() if rng.random() < 0.3 else " ".join(source[: at + 1]))
+            parts.append(" ".join(rng.choices(words, k=rng.randrange(6))))
+        docs.append((i, " ".join(parts)))
+    return docs, items
+
+
+@pytest.mark.parametrize("seed, vocabulary", [(1, 12), (2, 40), (3, 3)])
+@pytest.mark.parametrize("block_words", [decontam.BLOCK_WORDS, 30])
+def test_against_brute_force(spark, seed, vocabulary, block_words):
+    docs, items = corpus(seed, vocabulary)
+    check(spark, docs, items, block_words=block_words)
+
+
+def test_edge_cases(spark):
+    ten = "a b c d e f g h i j"
+    docs = [(1, None), (2, ""), (None, f"x {ten} y"), (3, ten), (3, ten), (4, ten[:-2]), (5, "!?"), (6, "z " * 60_000 + ten), (7, ten.upper().replace(" ", "--")), (8, "short one")]
+    items = [(1, ten), (1, ten), (10, ten + " k"), (None, "short one"), (3, None), (4, ""), (5, "..."), (6, "short one")]
+    got = check(spark, docs, items)
+    assert got[3][2:4] == (10, 2) and got[8][2:4] == (2, 1) and not got[4][5] and got[6][2] == 10
+    check(spark, docs, [])
+    check(spark, [], items)
+
+
+def test_keep_clean(spark):
+    docs, items = corpus(5)
+    d = spark.createDataFrame([(i, t, "s", 1) for i, t in docs], "doc_id long, text string, source string, items int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    kept = decontam.keep_clean(d, b)
+    assert kept.columns == d.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in docs if not decontam.brute(t, items)[4]]
+
+
+def test_prefix_is_the_rarest_shingle():
+    import numpy as np
+
+    x = decontam.Index([(1, b"a b c d e f g h i j")], 10, 5)
+    frequency = np.full(x.size, 9)
+    frequency[4] = 1
+    assert list(x.prefixes(frequency)) == [4] and len(x.windows) == 1
