@@ -7,10 +7,15 @@ bits holds 2**f different fingerprints at most. Each shard is a BK-tree: a node'
 are keyed by their integer Hamming distance to it, and a query follows only the edges within
 the radius of its own distance. A shard tree goes to the shard's queries by shuffle: the
 fingerprints of a corpus have no size bound under which all trees could be broadcast.
+
+Documents of a given Jaccard similarity need a wide radius, where bands can't be exact.
+similar_classes() therefore takes longer fingerprints of the sets of shingles and shards by
+random choices of bits, as many as reach a wanted recall; the BK-trees and the rest are the same.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -71,17 +76,23 @@ def bk_links(values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.n
     of an edge's key follow this edge. Each pair is found once, from its earlier member.
     """
     stack = [(np.arange(len(values)), np.arange(len(values)))]
+    wide = values.ndim == 2  # a fingerprint is a row of words
+
+    def distance(rows: np.ndarray, pivot: int) -> np.ndarray:
+        bits = np.bitwise_count(values[rows] ^ values[pivot]).astype(np.int64)
+        return bits.sum(axis=1) if wide else bits
+
     while stack:
         members, queries = stack.pop()
         pivot = members[0]
-        near = np.bitwise_count(values[queries] ^ values[pivot]).astype(np.int64)
+        near = distance(queries, pivot)
         hit = queries[(near <= radius) & (queries > pivot)]
         if len(hit):
             yield np.full(len(hit), pivot), hit
         members = members[1:]
         if not len(members):
             continue
-        edge = np.bitwise_count(values[members] ^ values[pivot]).astype(np.int64)
+        edge = distance(members, pivot)
         order = np.argsort(edge, kind="stable")
         edge, members = edge[order], members[order]
         cuts = np.flatnonzero(np.diff(edge)) + 1
@@ -193,6 +204,167 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, F.col("fp") == F.col("fp2")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+WORDS = 4
+BITS = 64 * WORDS
+#: Random choices of bits are made so that pairs of the wanted similarity meet with this probability.
+RECALL = 0.95
+#: Fingerprints of one shard that are compared at a time: each block with itself and the one before.
+BLOCK = 4096
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+
+def set_fingerprint(text: bytes, words_per_shingle: int = 5) -> bytes:
+    """The 256-bit SimHash of the set of a text's shingles (words as for fingerprint()); zeros for no word."""
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * WORDS)
+    n, k = len(words), min(words_per_shingle, len(words))
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    starts, ends = starts[: n - k + 1].tolist(), ends[k - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], dtype=np.uint64))
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(h), CHUNK):
+        part = h[at : at + CHUNK, None] * np.array(_MIX, dtype=np.uint64)
+        part ^= part >> np.uint64(32)
+        part *= np.uint64(0xFF51AFD7ED558CCD)
+        part ^= part >> np.uint64(29)
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which SimHashes differ, on average, of equally large sets of this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius_for(similarity: float, bits: int = BITS, deviations: float = 0.5) -> int:
+    """The distance within which pairs are linked: the average at the similarity and so many standard deviations."""
+    q = differing(similarity)
+    return int(bits * q + deviations * math.sqrt(bits * q * (1 - q)))
+
+
+def choices(count: int, similarity: float, bits: int = BITS, recall: float = RECALL) -> np.ndarray:
+    """Random choices of bits, one a row: as many bits as shards of a few fingerprints take, as many rows as the recall takes.
+
+    Rows grow with the count to the power log2(1 / share of equal bits), 0.24 at a similarity of 0.8.
+    """
+    width = max(12, int(math.log2(max(count, 2))) - 2)
+    met = (1 - differing(similarity)) ** width
+    rows = math.ceil(math.log(1 - recall) / math.log(1 - met))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(bits, width, replace=False) for _ in range(rows)])
+
+
+def similar_links(prints: DataFrame, count: int, similarity: float) -> DataFrame:
+    """Links (a, b) of nodes whose fingerprints are within the radius. prints: node, fp (32 bytes); different fingerprints.
+
+    Shards are ranges of (shard, fingerprint), so a shard with very many fingerprints is split
+    over tasks, and in a task it is compared block by block.
+    """
+    picked, radius = choices(count, similarity), radius_for(similarity)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 1 << np.arange(picked.shape[1], dtype=np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little").astype(np.int64)
+                shard = np.stack([bits[:, row] @ powers + (i << 40) for i, row in enumerate(picked)], axis=1)
+                again = pa.array(np.repeat(np.arange(batch.num_rows), len(picked)))
+                yield pa.RecordBatch.from_arrays([pa.array(shard.reshape(-1)), batch.column(0).take(again), batch.column(1).take(again)], names=["shard", "node", "fp"])
+
+    routed = prints.select("node", "fp").mapInArrow(route, "shard long, node long, fp binary").repartitionByRange("shard", "fp").sortWithinPartitions("shard", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def compared(node: np.ndarray, fp: np.ndarray, a: list, b: list) -> None:
+            root = _roots(len(node), bk_links(fp, radius))
+            moved = np.flatnonzero(root != np.arange(len(node)))
+            a.append(node[root[moved]])
+            b.append(node[moved])
+
+        def solve(shard: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
+            sizes, a, b = np.diff(cuts), [], []
+            two = cuts[:-1][sizes == 2]  # a tree of one edge
+            fits = two[np.bitwise_count(fp[two] ^ fp[two + 1]).astype(np.int64).sum(axis=1) <= radius]
+            a.append(node[fits])
+            b.append(node[fits + 1])
+            for s, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                for at in range(0, max(1, n - BLOCK), BLOCK):
+                    part = slice(s + at, s + min(n, at + 2 * BLOCK))
+                    compared(node[part], fp[part], a, b)
+            a, b = np.concatenate(a), np.concatenate(b)
+            if len(a):
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        def joined() -> tuple[np.ndarray, ...]:
+            return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp))
+            if sum(len(h[0]) for h in held) < 2 * BLOCK:
+                continue
+            shard, node, fp = joined()
+            ends = np.flatnonzero(shard != shard[-1])
+            whole = int(ends[-1]) + 1 if len(ends) else 0
+            if whole:
+                yield from solve(shard[:whole], node[:whole], fp[:whole])
+            rest = len(shard) - whole
+            if rest > 4 * BLOCK:  # one large shard: go on from its last block
+                yield from solve(shard[whole:], node[whole:], fp[whole:])
+                whole = len(shard) - BLOCK
+            held[:] = [(shard[whole:], node[whole:], fp[whole:])]
+        if held:
+            yield from solve(*joined())
+
+    return routed.mapInArrow(run, "a long, b long")
+
+
+def similar_classes(source: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> tuple[DataFrame, DataFrame]:
+    """((id, mark, node), (node, component_id)) of a frame (id, text): mark is a hash of the whole text, node one of its fingerprint.
+
+    Texts are linked whose shingle sets are estimated to be at least so similar; copies share a
+    node. component_id is the smallest id in the component, null if all are null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_fingerprint(x or b"", words_per_shingle) for _, texts in pieces(batch, "text") for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "mark", "fp"])
+
+    schema = T.StructType([source.schema["id"], T.StructField("mark", T.LongType()), T.StructField("fp", T.BinaryType())])
+    rows = cut(source.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text").mapInArrow(run, schema).select("id", "mark", F.xxhash64("fp").alias("node"), "fp"))
+    nodes = cut(rows.groupBy("node", "fp").agg(F.min("id").alias("least")))
+    roots = components(similar_links(nodes, nodes.count(), similarity)).withColumnRenamed("node", "rn")
+    known = nodes.join(roots, F.col("node") == F.col("rn"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    smallest = known.groupBy(F.col("root").alias("sr")).agg(F.min("least").alias("component_id"))
+    return rows.select("id", "mark", "node"), known.join(smallest, F.col("root") == F.col("sr")).select("node", "component_id")
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their class of similar texts.
+
+    Of each class the row with the smallest id stays; of repeated rows one stays; ids that are
+    null come last. Null and empty texts are one class. The documents are shuffled once, by id.
+    """
+    keep, mark = "__keep", "__mark"
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    rows, found = similar_classes(source, similarity, words_per_shingle)
+    members = rows.groupBy("id", "mark", "node").count().drop("count").join(found.withColumnRenamed("node", "fn"), F.col("node") == F.col("fn"))
+    chosen = members.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("id").alias(keep), "component_id").agg(F.min("mark").alias("m"))
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    return marked.join(chosen, marked[id_col].eqNullSafe(chosen[keep]) & (marked[mark] == chosen["m"]), "left_semi").dropDuplicates([id_col, mark]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words_per_shingle: int = 3) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their component.
 

@@ -51,10 +51,10 @@ def test_run(spark, tables):
     cut = quality.threshold(np.array([weight[i] for i in labelled if i % 6]), np.array([weight[i] for i in labelled if i % 6 == 0]))
     k = sum(w >= cut for w in weight.values())
     kept = [r for r in rows if r[0] in sorted(weight, key=lambda i: weight[i] + quality.gumbel(i))[-k:]]
-    prints = [simhash.fingerprint((t or "").encode()) for _, t, *_ in kept]
+    prints = [int.from_bytes(simhash.set_fingerprint((t or "").encode()), "little") for _, t, *_ in kept]
     first = []
     for j, r in enumerate(kept):  # ids rise, and copies here are exact or alone
-        if not any((prints[j] ^ prints[p]).bit_count() <= 2 for p in range(j)):
+        if not any((prints[j] ^ prints[p]).bit_count() <= simhash.radius_for(0.8) for p in range(j)):
             first.append(r)
     clean = [r for r in first if not decontam.brute(r[1], items)[4]]
     encoder = bpe.encoder(open(bpe.default_path(), encoding="utf-8").read())

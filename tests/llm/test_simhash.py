@@ -113,3 +113,64 @@ def test_components(spark, shape):
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     clean = [(a, b) for a, b in links if a is not None and b is not None and a != b]
     assert got == grouped({n for x in clean for n in x}, clean)
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def near_copies(seed=3):
+    """Texts of 150 words in families: (family, text); a copy has a word changed or none."""
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(5000)]
+    rows = []
+    for family in range(60):
+        base = rng.choices(words, k=150)
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            t = list(base)
+            for _ in range(rng.randrange(2)):
+                t[rng.randrange(150)] = rng.choice(words)
+            rows.append((family, " ".join(t)))
+    return rows
+
+
+def test_similar_texts_are_found_and_others_kept(spark):
+    rows = near_copies()
+    df = spark.createDataFrame([(500 - i, t, "x", i) for i, (_, t) in enumerate(rows)], "doc_id long, text string, node string, mark int")
+    kept = simhash.keep_similar(df)
+    assert kept.columns == df.columns
+    first = {}
+    for i, (family, _) in enumerate(rows):
+        first[family] = min(500 - i, first.get(family, 999))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+
+
+def test_distance_follows_similarity():
+    rows = near_copies(5)
+    for (_, a), (_, b) in zip(rows, rows[1:]):
+        x, y = shingles(a), shingles(b)
+        j = len(x & y) / len(x | y)
+        d = int.from_bytes(simhash.set_fingerprint(a.encode()), "little") ^ int.from_bytes(simhash.set_fingerprint(b.encode()), "little")
+        assert abs(d.bit_count() - simhash.BITS * simhash.differing(j)) < 30
+    assert simhash.differing(1) == 0 and 35 < simhash.BITS * simhash.differing(0.8) < 42
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_large_class_of_near_copies(spark, block, monkeypatch):
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        t[rng.randrange(200)] = f"new{i}"
+        rows.append((i, " ".join(t)))
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    assert [r.doc_id for r in simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_similar_edge_cases(spark):
+    rows = [(5, None), (3, ""), (9, " \t"), (None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (None, "q r s t"), (None, "q r s t"), (2, "z"), (8, "w " * 100_000)]
+    got = [r.doc_id for r in simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([3, 7, None, 2, 8], key=repr)
+    assert simhash.keep_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
