@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ancestra import data
 
-from .text import col, literal_map
+from .text import col, literal_map, record
 
 YEAR = r"^(?:[0-2]\d{3}|\d{3})$"
 DAY = r"^(?:0?[1-9]|[12]\d|3[01])$"
@@ -39,7 +39,7 @@ def date_tokens(words: Column | str) -> Column:
     months = literal_map(data.MONTHS)
     none = F.lit(None).cast("string")
     names = ("year", "month", "day", "maybe")
-    empty = F.struct(*[none.alias(n) for n in names], none.alias("last"), F.array().cast("array<string>").alias("out"))
+    empty = record(**{n: none for n in names}, last=none, out=F.array().cast("array<string>"))
 
     def finished(s: Column) -> Column:
         month = F.coalesce(s["month"], F.lpad(s["maybe"], 2, "0"))
@@ -54,10 +54,10 @@ def date_tokens(words: Column | str) -> Column:
         year_now = is_year(w)
         number = ~year_now & month.isNull() & w.rlike(DAY) & ~F.coalesce(is_year(s["last"]), F.lit(False))
         maybe = number & w.rlike(MONTH_NUMBER)
-        keep = lambda n, new: F.when(ends, none).otherwise(F.coalesce(s[n], new)).alias(n)
-        return F.struct(
-            keep("year", F.when(year_now, w)), keep("month", F.when(~year_now, month)), keep("day", F.when(number & ~maybe, w)), keep("maybe", F.when(maybe, w)),
-            F.when(ends, none).otherwise(w).alias("last"), F.when(ends, finished(s)).otherwise(s["out"]).alias("out"),
+        keep = lambda n, new: F.when(ends, none).otherwise(F.coalesce(s[n], new))
+        return record(
+            year=keep("year", F.when(year_now, w)), month=keep("month", F.when(~year_now, month)), day=keep("day", F.when(number & ~maybe, w)), maybe=keep("maybe", F.when(maybe, w)),
+            last=F.when(ends, none).otherwise(w), out=F.when(ends, finished(s)).otherwise(s["out"]),
         )
 
     return F.aggregate(col(words), empty, step, finished)
@@ -68,9 +68,9 @@ def century_decade(c: Column | str) -> Column:
     year = F.regexp_extract(col(c), r"\b([012]?\d{3})\b", 1)
     early = (F.length(year) < 4) | (F.substring(year, 1, 2) < "16")
     has = F.coalesce(year, F.lit("")) != ""
-    return F.struct(
-        F.when(has, F.when(early, "pre1600").otherwise(F.concat(F.substring(year, 1, 2), F.lit("00")))).alias("century"),
-        F.when(has & ~early, F.concat(F.substring(year, 1, 3), F.lit("0"))).alias("decade"),
+    return record(
+        century=F.when(has, F.when(early, "pre1600").otherwise(F.concat(F.substring(year, 1, 2), F.lit("00")))),
+        decade=F.when(has & ~early, F.concat(F.substring(year, 1, 3), F.lit("0"))),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ancestra import data
 
-from .text import col, mixed_case, remove_index_number, romanize
+from .text import col, mixed_case, record, remove_index_number, romanize
 
 
 def name_tokens(c: Column | str) -> Column:
@@ -19,13 +19,13 @@ def name_pieces(c: Column | str) -> Column:
     """(given, surname): the first word and the rest; either null where missing."""
     parts = F.split(F.trim(remove_index_number(c)), " ", 2)
     blank = lambda x: F.when(F.trim(x) != "", x)
-    return F.struct(blank(F.get(parts, 0)).alias("given"), blank(F.get(parts, 1)).alias("surname"))
+    return record(given=blank(F.get(parts, 0)), surname=blank(F.get(parts, 1)))
 
 
 def family_pieces(c: Column | str) -> Column:
     """(husband, wife) name pieces of a family's title."""
     halves = F.split(remove_index_number(c), " and ", 2)
-    return F.struct(name_pieces(F.get(halves, 0)).alias("husband"), name_pieces(F.get(halves, 1)).alias("wife"))
+    return record(husband=name_pieces(F.get(halves, 0)), wife=name_pieces(F.get(halves, 1)))
 
 
 def reversed_title(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ancestra import data
 
-from .text import col, literal_map
+from .text import col, let, literal_map
 
 _STATES = "|".join(s.lower() for s in data.US_STATES)
 _STATES_BUT_GEORGIA = "|".join(s.lower() for s in data.US_STATES if s != "Georgia")
@@ -87,6 +87,10 @@ def cleansed(c: Column | str) -> Column:
 
 def cleansed_us(c: Column | str) -> Column:
     """A US state's abbreviation at the end, or before only the country and a zip code, as its name and the United States; counties before a state lose their word."""
+    return let(col(c), _cleansed_us)
+
+
+def _cleansed_us(c: Column) -> Column:
     parts = levels(c)
     last = [F.trim(F.try_element_at(parts, F.lit(-i))) for i in (1, 2, 3)]
     is_zip = [F.coalesce(x.rlike(ZIP), F.lit(False)) for x in last]
@@ -97,7 +101,7 @@ def cleansed_us(c: Column | str) -> Column:
     at = F.size(parts) - passed
     state = state_of(F.trim(F.when(at >= 1, F.get(parts, at - 1))))
     made = F.concat(F.array_join(F.concat(F.slice(parts, F.lit(1), F.greatest(at - 1, F.lit(0))), F.array(state, F.lit("United States"))), ", "), F.coalesce(F.concat(F.lit(", "), zip_code), F.lit("")))
-    return _replaced(F.when(state.isNotNull(), made).otherwise(col(c)), COUNTY)
+    return _replaced(F.when(state.isNotNull(), made).otherwise(c), COUNTY)
 
 
 def lookup_text(c: Column | str) -> Column:

@@ -12,6 +12,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def record(**fields: Column) -> Column:
+    """A struct by its fields' names."""
+    return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
+
+
+def let(c: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
@@ -64,7 +74,7 @@ def title_case(c: Column | str) -> Column:
     """Title capitalisation: Roman numerals and acronyms upper, words of the lower-case list lower but at the beginning and after : ? !, name parts as given."""
     words = F.regexp_extract_all(col(c), F.lit(f"([{_DELIMITERS}]+|[^{_DELIMITERS}]+)"), F.lit(1))
     upper, lower, names = words_in(data.UPPERCASE_WORDS), words_in(data.LOWERCASE_WORDS), words_in(data.NAME_WORDS)
-    pairs = F.transform(words, lambda x, i: F.struct(x.alias("w"), F.when(i == 0, True).otherwise(F.trim(F.get(words, i - 1)).isin(":", "?", "!")).alias("first")))
+    pairs = F.transform(words, lambda x, i: record(w=x, first=F.when(i == 0, True).otherwise(F.trim(F.get(words, i - 1)).isin(":", "?", "!"))))
 
     def one(p: Column) -> Column:
         w, uc, lc = p["w"], F.upper(p["w"]), F.lower(p["w"])

@@ -70,3 +70,14 @@ def test_consistent(spark, a, b, want):
 
 def test_tables():
     assert len(data.LATIN1_ENTITIES) == 96 and len(data.US_STATES) == 51 and len(data.NAMESPACES) == 18
+
+
+def test_sql_functions(spark):
+    from ancestra.functions import register
+
+    made = register.register(spark)
+    assert len(made) >= 16
+    row = spark.sql("SELECT g_romanize('Straße é') a, g_us_state('N. Car.') b, g_reversed_title('John Smith (5)') c, g_century('abt 1850') d, g_is_redirect('#redirect [[X]]') e").first()
+    assert tuple(row) == ("Strasse e", "North Carolina", "Smith, John", "1800", True)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM g_batch('a | b|')").collect()] == [(0, "a"), (1, "b"), (2, "")]
+    assert register.apply("initials", spark.createDataFrame([("van dyke",)], "x string"), "x", "i").first().i == "v d"
