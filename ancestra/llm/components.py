@@ -16,13 +16,13 @@ def _digest(edges: DataFrame) -> tuple[int, int]:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")))
     return both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the smallest of them."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("k"), "m")
+    least = cut(edges.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("k"), "m"))
     moved = edges.join(least, F.col("b") == F.col("k")).select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y"))
     return moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
@@ -32,8 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Links are long ids in two columns, in any order and repeated as may be; self-links and
     links with a null are ignored. Each round is two equi-joins whose other side has one row
-    per node, so a node with very many links is split by the skew-join rule. Rounds grow with
-    the logarithm of the longest chain. Nothing but a count and a checksum goes to the driver.
+    per node and is cut from its aggregation, so that the skew-join rule can split a node with
+    very many links. Rounds grow with the logarithm of the longest chain. Nothing but a count and a checksum goes to the driver.
     """
     now = cut(edges.where(f"{a} <> {b}").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     seen = _digest(now)

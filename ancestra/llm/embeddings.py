@@ -194,7 +194,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     roots = components(edges).select(F.col("node").alias("rn"), "root")
     known = nodes.select("node", "least_id", "copies").join(counts.withColumnRenamed("node", "cn"), F.col("node") == F.col("cn"), "left").join(roots, F.col("node") == F.col("rn"), "left")
     known = known.select(F.col("node").alias("kn"), "least_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    smallest = known.groupBy(F.col("root").alias("sr")).agg(F.min("least_id").alias("component"))
+    smallest = cut(known.groupBy(F.col("root").alias("sr")).agg(F.min("least_id").alias("component")))
     known = known.join(smallest, F.col("root") == F.col("sr")).select("kn", "n_links", "component")
     out = marked.select("id", "node").join(known, F.col("node") == F.col("kn"), "left")
     component = F.coalesce("component", "id")

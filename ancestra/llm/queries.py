@@ -122,5 +122,24 @@ c AS (SELECT a, min(b) AS b FROM r GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0)::bigint AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id, vec_id IS NOT DISTINCT FROM least(vec_id, coalesce(c.b, vec_id)) AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+""",
+    "op3_chat_quotes": r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, text, coalesce(regexp_matches(text, '(^|\n)[ \t]*>'), false) AS q FROM conversations),
+l AS (SELECT rid, conv_id, turn, i, string_split_regex(text, '\r?\n')[i] AS line FROM (SELECT *, unnest(range(1, len(string_split_regex(text, '\r?\n')) + 1)) AS i FROM m WHERE q)),
+k AS (SELECT rid, conv_id, turn, i, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS level, line, regexp_replace(line, '^((?:[ \t]*>)+)[ \t]?', '') AS content FROM l),
+o AS (SELECT rid, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS own FROM k WHERE level = 0 GROUP BY rid),
+b AS (SELECT m.rid, m.conv_id, m.turn, m.role, m.q, CASE WHEN m.q THEN coalesce(o.own, '') ELSE m.text END AS own FROM m LEFT JOIN o USING (rid)),
+g AS (SELECT *, sum(CASE WHEN level IS NOT DISTINCT FROM was THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT *, lag(level) OVER (PARTITION BY rid ORDER BY i) AS was FROM k)),
+p AS (SELECT * FROM (SELECT rid, conv_id, turn, level, trim(regexp_replace(lower(string_agg(content, chr(10) ORDER BY i)), '\s+', ' ', 'g')) AS n FROM g WHERE level > 0 GROUP BY rid, conv_id, turn, run, level) WHERE n <> ''),
+u AS (SELECT conv_id, turn, trim(regexp_replace(lower(unnest(list_concat([own], string_split_regex(own, '\r?\n[ \t]*\r?\n'), string_split_regex(own, '\r?\n')))), '\s+', ' ', 'g')) AS n FROM b WHERE turn IS NOT NULL AND own IS NOT NULL),
+f AS (SELECT conv_id, n, min(turn) AS found FROM u WHERE n <> '' GROUP BY 1, 2),
+j AS (SELECT p.*, f.found FROM p LEFT JOIN f ON f.conv_id = p.conv_id AND f.n = p.n AND f.found < p.turn),
+c AS (SELECT rid, conv_id, turn, count(*) AS n_quotes, count(found) AS n_linked, max(level) AS quote_level, (min((level, -found)) FILTER (WHERE found IS NOT NULL))[2] AS neg FROM j GROUP BY 1, 2, 3),
+e AS (SELECT conv_id, turn, min(-neg) AS parent FROM c WHERE neg IS NOT NULL GROUP BY 1, 2),
+r(conv_id, turn, thread, depth) AS (SELECT conv_id, turn, parent, 1 FROM e UNION ALL SELECT r.conv_id, r.turn, e.parent, r.depth + 1 FROM r JOIN e ON e.conv_id = r.conv_id AND e.turn = r.thread),
+t AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM r GROUP BY 1, 2)
+SELECT b.conv_id, b.turn, b.role, b.own AS text, -c.neg AS parent_turn, CASE WHEN c.neg IS NULL THEN b.turn ELSE coalesce(t.thread, -c.neg) END AS thread_turn,
+       CASE WHEN c.neg IS NULL THEN 0 ELSE 1 + coalesce(t.depth, 0) END::bigint AS depth, coalesce(c.n_quotes, 0)::bigint AS n_quotes, coalesce(c.n_linked, 0)::bigint AS n_linked, coalesce(c.quote_level, 0)::int AS quote_level
+FROM b LEFT JOIN c USING (rid) LEFT JOIN t ON t.conv_id = b.conv_id AND t.turn = -c.neg
 """,
 }

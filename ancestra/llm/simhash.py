@@ -187,7 +187,7 @@ def classes(fingerprinted: DataFrame, id_col: str, radius: int) -> DataFrame:
     prints = cut(fingerprinted.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(links(prints.select("fp"), radius))
     joined = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = cut(joined.groupBy("root").agg(F.min("least").alias("component_id")))
     return joined.select("fp", F.col("root").alias("r")).join(smallest, F.col("r") == F.col("root")).select("fp", "component_id")
 
 
@@ -346,7 +346,7 @@ def similar_classes(source: DataFrame, similarity: float = 0.8, words_per_shingl
     nodes = cut(rows.groupBy("node", "fp").agg(F.min("id").alias("least")))
     roots = components(similar_links(nodes, nodes.count(), similarity)).withColumnRenamed("node", "rn")
     known = nodes.join(roots, F.col("node") == F.col("rn"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = known.groupBy(F.col("root").alias("sr")).agg(F.min("least").alias("component_id"))
+    smallest = cut(known.groupBy(F.col("root").alias("sr")).agg(F.min("least").alias("component_id")))
     return rows.select("id", "mark", "node"), known.join(smallest, F.col("root") == F.col("sr")).select("node", "component_id")
 
 

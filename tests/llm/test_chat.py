@@ -70,3 +70,19 @@ def test_plan_is_native(spark):
     df = chat.link_quotes(spark.createDataFrame([(1, 0, "user", "x")], COLUMNS))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sql_agrees_on_quotes():
+    import duckdb
+
+    from ancestra.llm.queries import ORACLE_SQL
+
+    rows = [
+        (1, 0, "user", "Hello there.\n\nHow are you?"), (1, 1, "assistant", "Fine, thanks."), (1, 2, "user", "> how  ARE you?\nStill waiting."), (1, 3, "user", ">> How are you?\n> Still waiting.\nPatience."), (1, 4, "user", "> never said\nWhat?"),
+        (1, 5, "user", "> Patience.\n> \nOk"), (2, 1, "user", "> Hello there."), (2, 2, "user", None), (2, 3, "user", "a > b"),
+    ]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = db.sql(ORACLE_SQL["op3_chat_quotes"])
+    assert sorted(map(tuple, got.select(*OUT).fetchall()), key=repr) == sorted(chat.brute(rows), key=repr)
