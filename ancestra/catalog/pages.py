@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ancestra.operators import extract
+from ancestra.engine import Engine
+from ancestra.operators import extract, index
+from ancestra.plans.ast import Options
 
 from . import query
 
@@ -54,3 +56,25 @@ def xpath_extract(t):
     body = F.when(F.col("doc_id") % 5 == 0, F.lit("#redirect [[X]]")).when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<article><surname>"), "source", F.lit("</surname><place>"), "lang", F.lit("|x</place></article>"), "text")).otherwise(F.lit("<article><broken></article>"))
     d = extract.documents(raw_pages(t, F.concat(F.lit("Title "), "doc_id"), body, "doc_id", "documents"))
     return d.select(F.col("PageId").alias("page_id"), F.get("OtherSurname", 0).alias("surname"), F.get("OtherPlace", 0).alias("place"))
+
+
+@query(f"SELECT c_custkey::varchar AS page_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Building' ELSE 'Other' END AS surname, 'Other' AS given FROM customer")
+def name_facets(t):
+    known = t("region").limit(1).select(F.lit("building").alias("name"))
+    d = index.name_facets(extract.documents(persons(t)), known, known)
+    return d.select(F.col("PageId").alias("page_id"), F.col("PersonSurnameFacet").alias("surname"), F.col("PersonGivennameFacet").alias("given"))
+
+
+@query("SELECT c_custkey::varchar AS page_id, 1.65 + 7 / 1024.0 AS score FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 100 BETWEEN 40 AND 45")
+def engine_search(t):
+    """Pages to index to search: a surname, and a range of birth years that doesn't score."""
+    docs = index.build(extract.documents(persons(t)).drop("Title"))
+    r = Engine(docs).search("+PersonSurname:building +PersonBirthYear:[1840 TO 1845]", Options(filters=(("Namespace", "Person"),)), rows=100_000)
+    return r.docs.select(F.col("PageId").alias("page_id"), F.round(F.col("score") - 0.4, 9).alias("score"))
+
+
+@query("SELECT c_custkey::varchar AS page_id, CASE WHEN c_custkey % 2 = 0 THEN c_custkey::int END AS value FROM customer")
+def sort_values(t):
+    docs = t("customer").select(F.col("c_custkey").cast("string").alias("PageId"), F.concat(F.lit("Title "), "c_custkey").alias("TitleSort"))
+    labels = t("customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("title "), "c_custkey").alias("sort_key"), F.col("c_custkey").cast("int").alias("value"))
+    return index.with_sort_values(docs, labels).select(F.col("PageId").alias("page_id"), F.col("TitleSortValue").alias("value"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ancestra import data
-from ancestra.functions import analysis
+from ancestra.functions import analysis, names, text
 from ancestra.operators import places as P
+from ancestra.operators import search as S
 from ancestra.operators.relational import resolve_redirects
 from ancestra.plans.analyze import kind
 
@@ -63,8 +64,29 @@ def _facet(i: int):
     return lambda x: x[f"place{i}"]
 
 
-def build(docs: DataFrame, options: dict[str, dict] | None = None) -> DataFrame:
-    """The index: term fields as arrays of distinct-per-value terms, year fields, stored copies; one row a document.
+def name_facets(docs: DataFrame, surnames: DataFrame, givennames: DataFrame) -> DataFrame:
+    """docs with PersonSurnameFacet and PersonGivennameFacet: known name tokens in mixed case and Other for the rest, sorted and joined by bars; Unknown for no token.
+
+    surnames and givennames (name) are tables of known tokens; both fields go through one join.
+    """
+    fields = (("PersonSurname", surnames), ("PersonGivenname", givennames))
+    tokens = F.concat(*[F.transform(F.array_distinct(F.flatten(F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda v: names.name_tokens(v)))), _tagged(f)) for f, _ in fields])
+    long = docs.select("PageId", F.explode(tokens).alias("x")).select("PageId", "x.field", "x.value")
+    known = surnames.select(F.lit("PersonSurname").alias("kf"), F.col("name").alias("kn")).unionByName(givennames.select(F.lit("PersonGivenname").alias("kf"), F.col("name").alias("kn"))).distinct()
+    shown = long.join(known, (F.col("field") == F.col("kf")) & (F.col("value") == F.col("kn")), "left").select("PageId", "field", F.when(F.col("kn").isNotNull(), text.mixed_case("value")).otherwise("Other").alias("v"))
+    per = shown.groupBy("PageId").agg(*[F.array_join(F.array_sort(F.collect_set(F.when(F.col("field") == f, F.col("v")))), "|").alias(f"__{f}") for f, _ in fields]).withColumnRenamed("PageId", "__p")
+    joined = docs.join(per, F.col("PageId") == F.col("__p"), "left")
+    return joined.withColumns({f"{f}Facet": F.coalesce(F.when(F.col(f"__{f}") != "", F.col(f"__{f}")), F.lit("Unknown")) for f, _ in fields}).drop("__p", *[f"__{f}" for f, _ in fields])
+
+
+def with_sort_values(docs: DataFrame, labels: DataFrame, title: str = "TitleSort") -> DataFrame:
+    """docs with TitleSortValue, the label of their title's sort key; null where it has none yet. labels: sort_key, value."""
+    known = labels.select(F.col("sort_key").alias("__k"), F.col("value").alias("TitleSortValue"))
+    return docs.join(known, text.sort_key(title) == F.col("__k"), "left").drop("__k")
+
+
+def build(docs: DataFrame, options: dict[str, dict] | None = None, most: int = S.MOST_TOKENS) -> DataFrame:
+    """The index: term fields as arrays of their values' terms, `most` a field; year fields; stored copies; one row a document.
 
     options: field -> options of its analyzer.
     """
@@ -76,7 +98,7 @@ def build(docs: DataFrame, options: dict[str, dict] | None = None) -> DataFrame:
         run = analysis.make(name, **options.get(field, {}))
         if not arrays[field]:
             return F.coalesce(run(F.col(field)), F.array().cast("array<string>"))
-        return F.flatten(F.transform(F.filter(field, lambda v: v.isNotNull()), lambda v: run(v)))
+        return S.indexed_tokens(F.flatten(F.transform(F.filter(field, lambda v: v.isNotNull()), lambda v: run(v))), most)
 
     for f in (*TERMS, *PLACE_FIELDS):
         if f in arrays:
