@@ -80,12 +80,11 @@ def streaming_apply_feed(t):
     """The same feed as a stream of files, applied to versions of the index; the last version is the result."""
     import uuid
 
-    from ancestra.session import cut
+    from ancestra.session import shared_dir
 
     tasks = feed(t)
     spark = tasks.sparkSession
-    cut(tasks.limit(1))  # so that a checkpoint folder is set
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
     tasks.write.parquet(f"{root}/in")
     stream = spark.readStream.schema(tasks.schema).parquet(f"{root}/in")
     start(t).write.parquet(f"{root}/index/version=-1")

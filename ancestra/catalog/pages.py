@@ -60,7 +60,7 @@ def xpath_extract(t):
 
 @query(f"SELECT c_custkey::varchar AS page_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Building' ELSE 'Other' END AS surname, 'Other' AS given FROM customer")
 def name_facets(t):
-    known = t("region").limit(1).select(F.lit("building").alias("name"))
+    known = t("region").select(F.lit("building").alias("name")).distinct()
     d = index.name_facets(extract.documents(persons(t)), known, known)
     return d.select(F.col("PageId").alias("page_id"), F.col("PersonSurnameFacet").alias("surname"), F.col("PersonGivennameFacet").alias("given"))
 

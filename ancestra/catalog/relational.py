@@ -164,14 +164,14 @@ def synonym_expand(t):
 @query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'build,building' ELSE lower(c_mktsegment) END AS s FROM customer")
 def name_variants_expand(t):
     c = t("customer").select("c_custkey", F.array(F.lower("c_mktsegment")).alias("tokens"))
-    variants = t("region").limit(1).select(F.lit("building").alias("name"), F.array(F.lit("build")).alias("confirmed"), F.array().cast("array<string>").alias("computer"))
+    variants = t("region").select(F.lit("building").alias("name"), F.array(F.lit("build")).alias("confirmed"), F.array().cast("array<string>").alias("computer")).distinct()
     return N.expanded_tokens(c, "c_custkey", "tokens", variants).select("c_custkey", F.array_join("tokens", ",").alias("s"))
 
 
 @query("SELECT s_suppkey AS k, s_name AS v FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, 'new' FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT -1, 'new'")
 def keyed_upsert(t):
     s = t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
-    changes = s.where("k % 3 = 0").select("k", F.lit("new").alias("v")).unionByName(t("region").limit(1).select(F.lit(-1).cast("long").alias("k"), F.lit("new").alias("v")))
+    changes = s.where("k % 3 = 0").select("k", F.lit("new").alias("v")).unionByName(t("region").select(F.lit(-1).cast("long").alias("k"), F.lit("new").alias("v")).distinct())
     return R.upsert(s, changes, "k")
 
 
@@ -245,6 +245,6 @@ def recursive_resolve(t):
 @query()
 def name_info(t):
     universe = t("customer").select(F.lower("c_mktsegment").alias("name"), F.lit(True).alias("common")).distinct()
-    variants = universe.limit(0).select("name", F.array("name").alias("confirmed"), F.array("name").alias("computer"))
+    variants = universe.where("false").select("name", F.array("name").alias("confirmed"), F.array("name").alias("computer"))
     out = N.info(universe.select("name"), variants, universe)
     return out.select("name", "normalized", F.array_join("candidates", ",").alias("candidates"), "code")

@@ -190,9 +190,9 @@ def alt_names_cap(t):
     return t("part").select("p_partkey", F.size(names.capped_names(many)).alias("n"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(lower({sql_romanized('left(text, 60)')}), '\\s+'), lambda w: regexp_replace(w, '[^a-z]', '', 'g')), lambda w: w <> ''), ' ') AS n FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(lower({sql_romanized('text')}), '\\s+'), lambda w: regexp_replace(w, '[^a-z]', '', 'g')), lambda w: w <> ''), ' ') AS n FROM documents")
 def name_tokens(t):
-    return t("documents").select("doc_id", F.array_join(names.name_tokens(F.substring("text", 1, 60)), " ").alias("n"))
+    return t("documents").select("doc_id", F.array_join(names.name_tokens("text"), " ").alias("n"))
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'Person' ELSE '' END AS ns, CASE WHEN lang = 'en' THEN source ELSE 'Foo:' || source END AS title FROM documents")
