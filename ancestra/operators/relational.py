@@ -23,14 +23,21 @@ def range_block(df: DataFrame, key: str, blocks: int) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key)))
 
 
+def _same(by: list[str]) -> Column:
+    out = F.lit(True)
+    for i, c in enumerate(by):
+        out = out & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    return out
+
+
 def asof(left: DataFrame, right: DataFrame, key: str, value: str, by: list[str] | None = None, how: str = "backward", out: str = "found", blocks: int = 64) -> DataFrame:
     """left with the `value` of the right row whose key is nearest: at or before ("backward"), after ("forward") or at or after ("forward_inclusive").
 
     Both sides have the key column and the `by` columns; of right rows with equal keys the
     smallest value counts. Rows of both are put in one order and each takes the last (or next)
-    right row, without pairs. With `by` this is one window per group. Without, the order is cut
-    into ranges that are ordered on their own, and what a range passes on to the next comes
-    from one summary row a range, so no single task sees all rows.
+    right row, without pairs. The order is cut into ranges that are ordered on their own, and
+    what a range of a group passes on to its next comes from one summary row, so that neither
+    all rows nor a large group go through one task. Rows with a null key find nothing.
     """
     by = by or []
     forward = how != "backward"
@@ -42,20 +49,16 @@ def asof(left: DataFrame, right: DataFrame, key: str, value: str, by: list[str]
     b = right.select(*by, F.col(key).alias("__k"), "__v", F.lit(right_rank).alias("__s"), F.lit(False).alias("__l"))
     rows = a.unionByName(b, allowMissingColumns=True)
     order = [F.desc("__k"), F.desc("__s")] if forward else [F.col("__k"), F.col("__s")]
-    take = F.last("__v", ignorenulls=True)
-    if by:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        found = rows.withColumn(out, F.when(F.col("__k").isNotNull(), take.over(w)))
-    else:
-        number = range_block(rows, "__k", blocks)
-        placed = rows.where(F.col("__k").isNotNull()).withColumn("__b", -number if forward else number)
-        w = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        inner = placed.withColumn("__o", take.over(w))
-        ends = placed.groupBy("__b").agg((F.min_by("__v", F.when(~F.col("__l"), F.col("__k"))) if forward else F.max_by("__v", F.when(~F.col("__l"), F.col("__k")))).alias("__e"))
-        before = Window.orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
-        carry = ends.withColumnRenamed("__b", "__i").withColumn("__c", F.last("__e", ignorenulls=True).over(before)).select("__i", "__c")
-        found = inner.join(F.broadcast(carry), F.col("__b") == F.col("__i"), "left").withColumn(out, F.coalesce("__o", "__c"))
-        found = found.unionByName(rows.where(F.col("__k").isNull()), allowMissingColumns=True)
+    number = range_block(rows, "__k", blocks)
+    placed = rows.where(F.col("__k").isNotNull()).withColumn("__b", -number if forward else number)
+    inner = placed.withColumn("__o", F.last("__v", ignorenulls=True).over(Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    pick = F.min_by if forward else F.max_by
+    ends = placed.where("not __l").groupBy(*by, "__b").agg(pick("__v", "__k").alias("__e"))
+    steps = placed.select(*by, "__b").distinct().join(ends.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__f"), "__e"), _same(by) & (F.col("__b") == F.col("__f")), "left")
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range of a group
+    carry = steps.withColumn("__c", F.last("__e", ignorenulls=True).over(before)).select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__i"), "__c")
+    found = inner.join(carry, _same(by) & (F.col("__b") == F.col("__i")), "left").withColumn(out, F.coalesce("__o", "__c"))
+    found = found.unionByName(rows.where(F.col("__k").isNull()), allowMissingColumns=True)
     return found.where("__l").select(*left.columns, out)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ancestra.session import cut
+
 from .relational import asof, insert_ignore, numbered
 
 LOWEST, HIGHEST = -(1 << 31), (1 << 31) - 1
@@ -20,8 +22,8 @@ def rebuilt(keys: DataFrame, key: str, growing: str, factor: int) -> DataFrame:
     distinct = keys.select(key).distinct()
     weight = weighted_count(distinct, key, growing, factor).first()[0] or 1
     gap = (1 << 32) // (weight + 1)
-    label = numbered(distinct, key)
-    heavy = numbered(distinct.where(F.col(key).startswith(growing)), key, out="passed")
+    label = cut(numbered(distinct, key))
+    heavy = cut(numbered(distinct.where(F.col(key).startswith(growing)), key, out="passed"))
     below = asof(label, heavy, key, "passed", out="passed")
     value = F.lit(LOWEST).cast("long") + gap * (F.col("label") + (factor - 1) * F.coalesce("passed", F.lit(0)))
     return below.select(key, value.cast("int").alias("value"))
@@ -36,9 +38,10 @@ def inserted(labels: DataFrame, keys: DataFrame, key: str = "sort_key") -> DataF
     """labels with the keys it hasn't, each halfway between its neighbours; where several fall between the same two, they share out the gap evenly in their order."""
     from pyspark.sql import Window
 
-    new = keys.select(key).distinct().join(labels.select(key), key, "left_anti")
-    new = asof(new, labels, key, "value", how="backward", out="low")
-    new = asof(new, labels, key, "value", how="forward", out="high")
+    labels = cut(labels.select(key, "value"))
+    new = cut(keys.select(key).distinct().join(labels.select(key), key, "left_anti"))
+    new = cut(asof(new, labels, key, "value", how="backward", out="low"))
+    new = cut(asof(new, labels, key, "value", how="forward", out="high"))
     w = Window.partitionBy("low", "high")
     low, high = F.coalesce("low", F.lit(LOWEST)).cast("long"), F.coalesce("high", F.lit(HIGHEST)).cast("long")
     at, n = F.row_number().over(w.orderBy(key)), F.count(F.lit(1)).over(w)
