@@ -27,7 +27,7 @@ def mixed_case(t):
     return t("part").select("p_partkey", text.mixed_case("p_name").alias("m"))
 
 
-@query()
+@query("SELECT p_partkey, 'The Story of ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') || ': II and the END' AS c FROM part")
 def title_case(t):
     return t("part").select("p_partkey", text.title_case(F.concat(F.lit("the story of "), "p_name", F.lit(": ii and the END"))).alias("c"))
 
@@ -184,7 +184,8 @@ def initials(t):
     return t("part").select("p_partkey", names.initials("p_name").alias("i"))
 
 
-@query()
+@query("""SELECT p_partkey, count(*)::int AS n FROM (SELECT p_partkey, coalesce(sum(length(p_name) + 1 + length(i::varchar)) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM part, unnest(range(1, 13)) u(i)) WHERE before < 100 GROUP BY 1""")
 def alt_names_cap(t):
     many = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat(F.col("p_name"), F.lit(" "), i.cast("string")))
     return t("part").select("p_partkey", F.size(names.capped_names(many)).alias("n"))
