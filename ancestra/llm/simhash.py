@@ -240,7 +240,7 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def radius_for(similarity: float, bits: int = BITS, deviations: float = 0.5) -> int:
+def radius_for(similarity: float, bits: int = BITS, deviations: float = 1.0) -> int:
     """The distance within which pairs are linked: the average at the similarity and so many standard deviations."""
     q = differing(similarity)
     return int(bits * q + deviations * math.sqrt(bits * q * (1 - q)))
