@@ -10,7 +10,8 @@ fingerprints of a corpus have no size bound under which all trees could be broad
 
 Documents of a given Jaccard similarity need a wide radius, where bands can't be exact.
 similar_classes() therefore takes longer fingerprints of the sets of shingles and shards by
-random choices of bits, as many as reach a wanted recall; the BK-trees and the rest are the same.
+random choices of bits, as many as reach a wanted recall. Its BK-trees only find candidates:
+the shingle sets lie in files of the shared folder, and a pair is linked by their exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, pieces
+from .common import Cache, cut, filesystem, fresh_path, pieces, remove_path
 from .components import components
 
 #: Shingles whose bits are counted at a time.
@@ -213,18 +215,22 @@ BLOCK = 4096
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
-def set_fingerprint(text: bytes, words_per_shingle: int = 5) -> bytes:
-    """The 256-bit SimHash of the set of a text's shingles (words as for fingerprint()); zeros for no word."""
+def shingle_set(text: bytes, words_per_shingle: int = 5) -> np.ndarray:
+    """The XXH64 values of a text's shingles (words as for fingerprint()), sorted, each once; empty for no word."""
     words = text.lower().split()
     if not words:
-        return bytes(8 * WORDS)
+        return np.empty(0, dtype=np.uint64)
     n, k = len(words), min(words_per_shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     starts, ends = starts[: n - k + 1].tolist(), ends[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], dtype=np.uint64))
+    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], dtype=np.uint64))
+
+
+def set_bits(h: np.ndarray) -> bytes:
+    """The 256-bit SimHash of a set of shingles; zeros for an empty set."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(h), CHUNK):
         part = h[at : at + CHUNK, None] * np.array(_MIX, dtype=np.uint64)
@@ -235,13 +241,66 @@ def set_fingerprint(text: bytes, words_per_shingle: int = 5) -> bytes:
     return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
+def set_fingerprint(text: bytes, words_per_shingle: int = 5) -> bytes:
+    """The 256-bit SimHash of the set of a text's shingles."""
+    return set_bits(shingle_set(text, words_per_shingle))
+
+
+#: Bits of a set's place that name the 8-byte word at which it begins; those above name the file, by its task's attempt.
+WORD_BITS = 35
+
+
+class Sets:
+    """Shingle sets by their place in the files of a folder; the last few MB stay in memory."""
+
+    def __init__(self, folder: str, most: int = 8 << 20):
+        self.fs, self.top = filesystem(folder)
+        self.files, self.kept, self.held, self.most = Cache(256), {}, 0, most
+
+    def get(self, place: int) -> np.ndarray:
+        found = self.kept.get(place)
+        if found is None:
+            task, at = place >> WORD_BITS, 8 * (place & ((1 << WORD_BITS) - 1))
+            if task not in self.files:
+                self.files.room()
+                self.files[task] = self.fs.open_input_file(f"{self.top}/{task}")
+            head = self.files[task].read_at(4096, at)
+            size = 8 + 8 * int.from_bytes(head[:8], "little")
+            whole = head[:size] if size <= len(head) else head + self.files[task].read_at(size - len(head), at + len(head))
+            found = np.frombuffer(whole, dtype="<u8")[1:]
+            if self.held + found.nbytes > self.most:
+                self.kept.clear()
+                self.held = 0
+            self.kept[place] = found
+            self.held += found.nbytes
+        return found
+
+    def similar(self, one: int, others: list[int], similarity: float) -> np.ndarray:
+        """For each of others whether its Jaccard similarity to one is so high; an empty set is like no other."""
+        base, out = self.get(one), np.zeros(len(others), dtype=bool)
+        rows, parts, total = [], [], 0
+        for i, place in enumerate(others):
+            x = self.get(place)
+            if 0 < similarity * max(len(x), len(base)) <= min(len(x), len(base)) + 1e-6:
+                rows.append(i)
+                parts.append(x)
+                total += len(x)
+            if parts and (total >= 1 << 18 or i == len(others) - 1):
+                sizes, every = np.array([len(x) for x in parts]), np.concatenate(parts)
+                same = base[np.minimum(np.searchsorted(base, every), len(base) - 1)] == every
+                shared = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)
+                out[rows] = shared / (sizes + len(base) - shared) >= similarity
+                rows, parts, total = [], [], 0
+        return out
+
+
 def differing(similarity: float) -> float:
     """The share of bits in which SimHashes differ, on average, of equally large sets of this Jaccard similarity."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def radius_for(similarity: float, bits: int = BITS, deviations: float = 1.0) -> int:
-    """The distance within which pairs are linked: the average at the similarity and so many standard deviations."""
+def radius_for(similarity: float, bits: int = BITS, deviations: float = 3.0) -> int:
+    """The distance within which pairs are candidates: the average at the similarity and so many standard deviations."""
     q = differing(similarity)
     return int(bits * q + deviations * math.sqrt(bits * q * (1 - q)))
 
@@ -258,8 +317,10 @@ def choices(count: int, similarity: float, bits: int = BITS, recall: float = REC
     return np.stack([rng.choice(bits, width, replace=False) for _ in range(rows)])
 
 
-def similar_links(prints: DataFrame, count: int, similarity: float) -> DataFrame:
-    """Links (a, b) of nodes whose fingerprints are within the radius. prints: node, fp (32 bytes); different fingerprints.
+def similar_links(prints: DataFrame, count: int, similarity: float, folder: str) -> DataFrame:
+    """Links (a, b) of nodes whose sets are so similar, found among fingerprints within the radius. prints: node (the set's place in the folder), fp (32 bytes).
+
+    A shard's links span what its similar pairs connect: a pair is compared unless its nodes are connected already.
 
     Shards are ranges of (shard, fingerprint), so a shard with very many fingerprints is split
     over tasks, and in a task it is compared block by block.
@@ -280,18 +341,26 @@ def similar_links(prints: DataFrame, count: int, similarity: float) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        sets = Sets(folder)
 
         def compared(node: np.ndarray, fp: np.ndarray, a: list, b: list) -> None:
-            root = _roots(len(node), bk_links(fp, radius))
-            moved = np.flatnonzero(root != np.arange(len(node)))
-            a.append(node[root[moved]])
-            b.append(node[moved])
+            label = np.arange(len(node))
+            for x, y in bk_links(fp, radius):
+                pivot = x[0]
+                y = y[label[y] != label[pivot]]
+                y = y[sets.similar(int(node[pivot]), node[y].tolist(), similarity)] if len(y) else y
+                if len(y):
+                    joined, first = np.unique(label[y], return_index=True)
+                    a.append(np.full(len(first), node[pivot]))
+                    b.append(node[y[first]])
+                    label[np.isin(label, joined)] = label[pivot]
 
         def solve(shard: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
             sizes, a, b = np.diff(cuts), [], []
             two = cuts[:-1][sizes == 2]  # a tree of one edge
             fits = two[np.bitwise_count(fp[two] ^ fp[two + 1]).astype(np.int64).sum(axis=1) <= radius]
+            fits = np.array([i for i in fits.tolist() if sets.similar(int(node[i]), [int(node[i + 1])], similarity)[0]], dtype=np.int64)
             a.append(node[fits])
             b.append(node[fits + 1])
             for s, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
@@ -330,22 +399,43 @@ def similar_links(prints: DataFrame, count: int, similarity: float) -> DataFrame
 
 
 def similar_classes(source: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> tuple[DataFrame, DataFrame]:
-    """((id, mark, node), (node, component_id)) of a frame (id, text): mark is a hash of the whole text, node one of its fingerprint.
+    """((id, mark, node), (node, component_id)) of a frame (id, text): mark is a hash of the whole text, node one of its shingle set.
 
-    Texts are linked whose shingle sets are estimated to be at least so similar; copies share a
-    node. component_id is the smallest id in the component, null if all are null.
+    Texts are linked whose shingle sets are at least so similar; texts of equal sets share a
+    node. component_id is the smallest id in the component, null if all are null. The sets lie
+    in the shared folder until the links are found.
     """
+    folder = fresh_path(source.sparkSession, "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [set_fingerprint(x or b"", words_per_shingle) for _, texts in pieces(batch, "text") for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "mark", "fp"])
-
-    schema = T.StructType([source.schema["id"], T.StructField("mark", T.LongType()), T.StructField("fp", T.BinaryType())])
-    rows = cut(source.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text").mapInArrow(run, schema).select("id", "mark", F.xxhash64("fp").alias("node"), "fp"))
-    nodes = cut(rows.groupBy("node", "fp").agg(F.min("id").alias("least")))
-    roots = components(similar_links(nodes, nodes.count(), similarity)).withColumnRenamed("node", "rn")
-    known = nodes.join(roots, F.col("node") == F.col("rn"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        fs, top = filesystem(folder)
+        fs.create_dir(top, recursive=True)
+        task, word, known = TaskContext.get().taskAttemptId(), 0, Cache(100_000)
+        with fs.open_output_stream(f"{top}/{task}") as out:
+            for batch in batches:
+                node, place, fp = [], [], []
+                for _, texts in pieces(batch, "text"):
+                    for x in texts:
+                        h = shingle_set(x or b"", words_per_shingle)
+                        data = h.astype("<u8").tobytes()
+                        n = xxhash.xxh64_intdigest(data, SEED)
+                        if n not in known:
+                            known.room()
+                            known[n] = task << WORD_BITS | word, set_bits(h)
+                            out.write(len(h).to_bytes(8, "little") + data)
+                            word += 1 + len(h)
+                        node.append(n)
+                        place.append(known[n][0])
+                        fp.append(known[n][1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(place, pa.int64()), pa.array(fp, pa.binary())], names=schema.names)
+
+    schema = T.StructType([source.schema["id"], *[T.StructField(c, T.LongType()) for c in ("mark", "node", "place")], T.StructField("fp", T.BinaryType())])
+    rows = cut(source.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text").mapInArrow(run, schema))
+    nodes = cut(rows.groupBy("node", "fp").agg(F.min("id").alias("least"), F.min("place").alias("place")))
+    links = similar_links(nodes.select(F.col("place").alias("node"), "fp"), nodes.count(), similarity, folder)
+    roots = cut(components(links)).withColumnRenamed("node", "rn")
+    remove_path(source.sparkSession, folder)
+    known = nodes.join(roots, F.col("place") == F.col("rn"), "left").select("node", "least", F.coalesce("root", "place").alias("root"))
     smallest = cut(known.groupBy(F.col("root").alias("sr")).agg(F.min("least").alias("component_id")))
     return rows.select("id", "mark", "node"), known.join(smallest, F.col("root") == F.col("sr")).select("node", "component_id")
 

@@ -174,3 +174,33 @@ def test_similar_edge_cases(spark):
     got = [r.doc_id for r in simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=repr) == sorted([3, 7, None, 2, 8], key=repr)
     assert simhash.keep_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def overlapping(shared, seed=6, words=104):
+    """Two texts that share so many of their first words, and their exact similarity."""
+    rng = random.Random(seed)
+    base = [f"s{rng.randrange(10**6)}" for _ in range(words)]
+    other = base[:shared] + [f"t{rng.randrange(10**6)}" for _ in range(words - shared)]
+    a, b = shingles(" ".join(base)), shingles(" ".join(other))
+    return " ".join(base), " ".join(other), len(a & b) / len(a | b)
+
+
+def test_links_are_exact_at_the_similarity(spark):
+    rows, want = [], set()
+    for seed in range(120):
+        a, b, j = overlapping(80 + seed % 20, seed)
+        rows += [(2 * seed, a), (2 * seed + 1, b)]
+        want |= {2 * seed} if j >= 0.8 else {2 * seed, 2 * seed + 1}
+    got = {r.doc_id for r in simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got  # no text without a partner goes
+    assert len(got - want) <= 4  # pairs that meet in no shard
+
+
+def test_radius_keeps_candidates_at_the_similarity():
+    lost = 0
+    for seed in range(400):
+        a, b, j = overlapping(93, seed)
+        assert 0.8 <= j < 0.81
+        d = int.from_bytes(simhash.set_fingerprint(a.encode()), "little") ^ int.from_bytes(simhash.set_fingerprint(b.encode()), "little")
+        lost += d.bit_count() > simhash.radius_for(0.8)
+    assert lost <= 6
