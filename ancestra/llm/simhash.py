@@ -77,6 +77,7 @@ def bk_links(values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.n
     of a node go down together: only those whose distance to the pivot is within the radius
     of an edge's key follow this edge. Each pair is found once, from its earlier member.
     """
+    values = values.view(np.uint64) if values.dtype == np.int64 else values
     stack = [(np.arange(len(values)), np.arange(len(values)))]
     wide = values.ndim == 2  # a fingerprint is a row of words
 
@@ -150,7 +151,8 @@ def links(prints: DataFrame, radius: int, column: str = "fp") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_fp, kept_shard = np.empty(0, np.int64), np.empty(0, np.int64)
 
-        def solve(fp: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def solve(signed: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
+            fp = signed.view(np.uint64)  # of negative integers bitwise_count counts the absolute value
             if len(fp) < 2:
                 return
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(fp)]))
@@ -166,7 +168,7 @@ def links(prints: DataFrame, radius: int, column: str = "fp") -> DataFrame:
                 b.append(part[moved])
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
-                pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+                pairs = np.unique(np.stack([a, b], axis=1), axis=0).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:

@@ -204,3 +204,20 @@ def test_radius_keeps_candidates_at_the_similarity():
         d = int.from_bytes(simhash.set_fingerprint(a.encode()), "little") ^ int.from_bytes(simhash.set_fingerprint(b.encode()), "little")
         lost += d.bit_count() > simhash.radius_for(0.8)
     assert lost <= 6
+
+
+def test_links_where_the_first_bit_differs(spark):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rng = random.Random(7)
+    pairs = []
+    for bit in range(63):
+        x = rng.getrandbits(64)
+        pairs.append((x, x ^ 1 << 63 ^ 1 << bit))
+    x = rng.getrandbits(64)
+    far = (x, x ^ 7 << 61)  # three bits
+    values = np.array([signed(v) for p in [*pairs, far] for v in p])
+    near = [(2 * i, 2 * i + 1) for i in range(63)]
+    assert [p for p in simhash.bk_pairs(values, 2)] == near
+    frame = spark.createDataFrame([(int(v),) for v in values], "fp long")
+    got = {tuple(sorted(r)) for r in simhash.links(frame, 2).collect()}
+    assert got == {tuple(sorted(map(signed, p))) for p in pairs}
