@@ -184,15 +184,15 @@ def links(prints: DataFrame, radius: int, column: str = "fp") -> DataFrame:
 
 
 def classes(fingerprinted: DataFrame, id_col: str, radius: int) -> DataFrame:
-    """(fp, component_id) of each different fingerprint in columns (id_col, fp).
+    """(fp, root, component_id) of each different fingerprint in columns (id_col, fp).
 
-    component_id is the smallest id in the fingerprint's component, null if all are null.
+    root names the fingerprint's component; component_id is the smallest id in the fingerprint's component, null if all are null.
     """
     prints = cut(fingerprinted.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(links(prints.select("fp"), radius))
     joined = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = cut(joined.groupBy("root").agg(F.min("least").alias("component_id")))
-    return joined.select("fp", F.col("root").alias("r")).join(smallest, F.col("r") == F.col("root")).select("fp", "component_id")
+    return joined.select("fp", F.col("root").alias("r")).join(smallest, F.col("r") == F.col("root")).select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words_per_shingle: int = 3) -> DataFrame:
@@ -401,11 +401,11 @@ def similar_links(prints: DataFrame, count: int, similarity: float, folder: str)
 
 
 def similar_classes(source: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> tuple[DataFrame, DataFrame]:
-    """((id, mark, node), (node, component_id)) of a frame (id, text): mark is a hash of the whole text, node one of its shingle set.
+    """((id, mark, node), (node, root, component_id)) of a frame (id, text): mark is a hash of the whole text, node one of its shingle set.
 
     Texts are linked whose shingle sets are at least so similar; texts of equal sets share a
-    node. component_id is the smallest id in the component, null if all are null. The sets lie
-    in the shared folder until the links are found.
+    node. root names the component; component_id is its smallest id, null if all are null, and
+    components may share it. The sets lie in the shared folder until the links are found.
     """
     folder = fresh_path(source.sparkSession, "shingles")
 
@@ -439,20 +439,20 @@ def similar_classes(source: DataFrame, similarity: float = 0.8, words_per_shingl
     remove_path(source.sparkSession, folder)
     known = nodes.join(roots, F.col("place") == F.col("rn"), "left").select("node", "least", F.coalesce("root", "place").alias("root"))
     smallest = cut(known.groupBy(F.col("root").alias("sr")).agg(F.min("least").alias("component_id")))
-    return rows.select("id", "mark", "node"), known.join(smallest, F.col("root") == F.col("sr")).select("node", "component_id")
+    return rows.select("id", "mark", "node"), known.join(smallest, F.col("root") == F.col("sr")).select("node", "root", "component_id")
 
 
 def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their class of similar texts.
 
     Of each class the row with the smallest id stays; of repeated rows one stays; ids that are
-    null come last. Null and empty texts are one class. The documents are shuffled once, by id.
+    null come last. Classes whose smallest ids are equal or null each keep a row. Null and empty texts are one class. The documents are shuffled once, by id.
     """
     keep, mark = "__keep", "__mark"
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     rows, found = similar_classes(source, similarity, words_per_shingle)
     members = rows.groupBy("id", "mark", "node").count().drop("count").join(found.withColumnRenamed("node", "fn"), F.col("node") == F.col("fn"))
-    chosen = members.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("id").alias(keep), "component_id").agg(F.min("mark").alias("m"))
+    chosen = members.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", F.col("id").alias(keep)).agg(F.min("mark").alias("m"))
     marked = docs.withColumn(mark, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
     return marked.join(chosen, marked[id_col].eqNullSafe(chosen[keep]) & (marked[mark] == chosen["m"]), "left_semi").dropDuplicates([id_col, mark]).select(*docs.columns)
 
@@ -468,6 +468,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     prints = cut(with_fingerprint(source, "text", "fp", words_per_shingle).select("id", "fp"))
     found = classes(prints, "id", radius)
     members = prints.groupBy("id", "fp").count().join(found.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2"))
-    chosen = members.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("id").alias(keep), "component_id").agg(F.min("fp").alias("fp"))
+    chosen = members.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", F.col("id").alias(keep)).agg(F.min("fp").alias("fp"))
     marked = with_fingerprint(docs, text_col, mark, words_per_shingle)
     return marked.join(chosen, marked[id_col].eqNullSafe(chosen[keep]) & (marked[mark] == chosen["fp"]), "left_semi").dropDuplicates([id_col, mark]).select(*docs.columns)

@@ -221,3 +221,12 @@ def test_links_where_the_first_bit_differs(spark):
     frame = spark.createDataFrame([(int(v),) for v in values], "fp long")
     got = {tuple(sorted(r)) for r in simhash.links(frame, 2).collect()}
     assert got == {tuple(sorted(map(signed, p))) for p in pairs}
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_similar, simhash.keep_one])
+def test_classes_of_null_or_equal_ids_each_keep_a_row(spark, keep):
+    rng = random.Random(9)
+    texts = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3])]
+    got = [tuple(r) for r in keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])], key=repr)
