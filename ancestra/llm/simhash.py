@@ -212,7 +212,7 @@ WORDS = 4
 BITS = 64 * WORDS
 #: Random choices of bits are made so that pairs of the wanted similarity meet with this probability.
 RECALL = 0.95
-#: Fingerprints of one shard that are compared at a time: each block with itself and the one before.
+#: A shard of over twice so many fingerprints is cut into blocks of about so many; each two blocks meet in a shard of their own.
 BLOCK = 4096
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -319,27 +319,64 @@ def choices(count: int, similarity: float, bits: int = BITS, recall: float = REC
     return np.stack([rng.choice(bits, width, replace=False) for _ in range(rows)])
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Mixed bits of integers (the end of MurmurHash3)."""
+    x = x.astype(np.uint64)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ x >> np.uint64(33)) * np.uint64(factor)
+    return x ^ x >> np.uint64(33)
+
+
 def similar_links(prints: DataFrame, count: int, similarity: float, folder: str) -> DataFrame:
     """Links (a, b) of nodes whose sets are so similar, found among fingerprints within the radius. prints: node (the set's place in the folder), fp (32 bytes).
 
     A shard's links span what its similar pairs connect: a pair is compared unless its nodes are connected already.
 
-    Shards are ranges of (shard, fingerprint), so a shard with very many fingerprints is split
-    over tasks, and in a task it is compared block by block.
+    Shards over twice BLOCK are cut into blocks by the node's hash, and each pair of blocks is a
+    shard of its own, so all pairs of a shard meet and no task holds more than two blocks of it.
     """
-    picked, radius = choices(count, similarity), radius_for(similarity)
+    picked, radius, block = choices(count, similarity), radius_for(similarity), BLOCK
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shards(batch: pa.RecordBatch) -> np.ndarray:
         powers = 1 << np.arange(picked.shape[1], dtype=np.int64)
+        bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little").astype(np.int64)
+        return np.stack([bits[:, row] @ powers + (i << 40) for i, row in enumerate(picked)], axis=1)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little").astype(np.int64)
-                shard = np.stack([bits[:, row] @ powers + (i << 40) for i, row in enumerate(picked)], axis=1)
-                again = pa.array(np.repeat(np.arange(batch.num_rows), len(picked)))
-                yield pa.RecordBatch.from_arrays([pa.array(shard.reshape(-1)), batch.column(0).take(again), batch.column(1).take(again)], names=["shard", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(shards(whole.slice(at, 2048)).reshape(-1))], names=["shard"])
 
-    routed = prints.select("node", "fp").mapInArrow(route, "shard long, node long, fp binary").repartitionByRange("shard", "fp").sortWithinPartitions("shard", "fp")
+    prints = prints.select("node", "fp")
+    large = prints.mapInArrow(name, "shard long").groupBy("shard").count().where(F.col("count") > 2 * block).collect()  # at most rows of choices x count / (2 x BLOCK)
+    large_shards = np.array(sorted(r["shard"] for r in large), dtype=np.int64)
+    parts = dict((r["shard"], -(-r["count"] // block)) for r in large)
+    large_parts = np.array([parts[x] for x in large_shards.tolist()], dtype=np.int64)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                shard = shards(batch).reshape(-1)
+                again = np.repeat(np.arange(batch.num_rows), len(picked))
+                if len(large_shards):
+                    found = np.minimum(np.searchsorted(large_shards, shard), len(large_shards) - 1)
+                    cut_up = np.flatnonzero(large_shards[found] == shard)
+                    own = mixed(batch.column(0).to_numpy())[again[cut_up]]
+                    copies = large_parts[found[cut_up]] - 1
+                    mine = np.repeat((own % large_parts[found[cut_up]].astype(np.uint64)).astype(np.int64), copies)
+                    other = np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
+                    other += other >= mine  # every block but the own
+                    low, high = np.minimum(mine, other).astype(np.uint64), np.maximum(mine, other).astype(np.uint64)
+                    cells = mixed(np.repeat(shard[cut_up], copies)) ^ low
+                    cells = (mixed(mixed(cells) ^ high) >> np.uint64(2) | np.uint64(1 << 62)).astype(np.int64)
+                    rest = np.delete(np.arange(len(shard)), cut_up)
+                    shard, again = np.concatenate([shard[rest], cells]), np.concatenate([again[rest], np.repeat(again[cut_up], copies)])
+                for a in range(0, len(shard), 1 << 17):
+                    rows = pa.array(again[a : a + (1 << 17)])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[a : a + (1 << 17)]), batch.column(0).take(rows), batch.column(1).take(rows)], names=["shard", "node", "fp"])
+
+    routed = prints.mapInArrow(route, "shard long, node long, fp binary").repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -366,9 +403,7 @@ def similar_links(prints: DataFrame, count: int, similarity: float, folder: str)
             a.append(node[fits])
             b.append(node[fits + 1])
             for s, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                for at in range(0, max(1, n - BLOCK), BLOCK):
-                    part = slice(s + at, s + min(n, at + 2 * BLOCK))
-                    compared(node[part], fp[part], a, b)
+                compared(node[s : s + n], fp[s : s + n], a, b)
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
@@ -382,17 +417,13 @@ def similar_links(prints: DataFrame, count: int, similarity: float, folder: str)
                 continue
             fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp))
-            if sum(len(h[0]) for h in held) < 2 * BLOCK:
+            if sum(len(h[0]) for h in held) < 2 * block:
                 continue
             shard, node, fp = joined()
             ends = np.flatnonzero(shard != shard[-1])
             whole = int(ends[-1]) + 1 if len(ends) else 0
             if whole:
                 yield from solve(shard[:whole], node[:whole], fp[:whole])
-            rest = len(shard) - whole
-            if rest > 4 * BLOCK:  # one large shard: go on from its last block
-                yield from solve(shard[whole:], node[whole:], fp[whole:])
-                whole = len(shard) - BLOCK
             held[:] = [(shard[whole:], node[whole:], fp[whole:])]
         if held:
             yield from solve(*joined())

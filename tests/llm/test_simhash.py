@@ -230,3 +230,27 @@ def test_classes_of_null_or_equal_ids_each_keep_a_row(spark, keep):
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3])]
     got = [tuple(r) for r in keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=repr) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])], key=repr)
+
+
+def test_all_pairs_of_a_large_shard_meet(spark, monkeypatch):
+    rng = random.Random(10)
+    texts = []
+    for _ in range(40):  # pairs of near copies, all with an equal fingerprint but for a bit
+        words = [f"p{rng.randrange(10**6)}" for _ in range(104)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    sets = [simhash.shingle_set(t.encode()) for t in texts]
+    folder = simhash.fresh_path(spark, "sets")
+    fs, top = simhash.filesystem(folder)
+    fs.create_dir(top, recursive=True)
+    rows, at = [], 0
+    with fs.open_output_stream(f"{top}/1") as out:
+        order = list(range(0, 80, 2)) + list(range(1, 80, 2))  # partners are 40 apart in byte order
+        for rank, i in enumerate(order):
+            out.write(len(sets[i]).to_bytes(8, "little") + sets[i].tobytes())
+            rows.append((1 << simhash.WORD_BITS | at, bytearray([rank, *[0] * 31])))
+            at += 1 + len(sets[i])
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "choices", lambda *_: np.arange(200, 212)[None, :])  # bits that all share: one shard
+    frame = spark.createDataFrame(rows, "node long, fp binary").repartition(3)
+    got = {tuple(sorted(r)) for r in simhash.similar_links(frame, len(rows), 0.8, folder).collect()}
+    assert got == {(rows[k][0], rows[k + 40][0]) for k in range(40)}
