@@ -35,18 +35,24 @@ def person_index(t):
     )
 
 
-@query("SELECT s_suppkey::varchar AS page_id, 'B' AS husband, 'D' AS wife, '1800' AS born, '0000' AS wife_born, 'B, A and D, C' AS fullname, 'Family:B, A and D, C' AS sort FROM supplier")
+LETTER = "translate((s_suppkey % 10)::varchar, '0123456789', 'abcdefghij')"
+
+
+@query(f"""SELECT s_suppkey::varchar AS page_id, 'Hus' || {LETTER} AS husband, CASE WHEN s_suppkey % 2 = 0 THEN 'Wed' || {LETTER} ELSE 'D' END AS wife, (1700 + s_suppkey % 200)::varchar AS born, CASE WHEN s_suppkey % 2 = 0 THEN '1801' ELSE '0000' END AS wife_born,
+'Hus' || {LETTER} || ', A and ' || CASE WHEN s_suppkey % 2 = 0 THEN 'Wed' || {LETTER} || ', Eve' ELSE 'D, C' END AS fullname, 'Family:B, A and D, C' AS sort FROM supplier""")
 def family_index(t):
-    p = raw_pages(t, F.concat(F.lit("Family:A B and C D ("), "s_suppkey", F.lit(")")), F.lit("<family><husband given='A' surname='B' birthdate='1800'/></family>text"), "s_suppkey", "supplier")
-    d = extract.documents(p)
+    k = F.translate((F.col("s_suppkey") % 10).cast("string"), "0123456789", "abcdefghij")
+    wife = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("<wife given='Eve' surname='Wed"), k, F.lit("' birthdate='1801'/>"))).otherwise("")
+    xml = F.concat(F.lit("<family><husband given='A' surname='Hus"), k, F.lit("' birthdate='"), (1700 + F.col("s_suppkey") % 200).cast("string"), F.lit("'/>"), wife, F.lit("</family>text"))
+    d = extract.documents(raw_pages(t, F.concat(F.lit("Family:A B and C D ("), "s_suppkey", F.lit(")")), xml, "s_suppkey", "supplier"))
     return d.select(F.col("PageId").alias("page_id"), F.get("HusbandSurname", 0).alias("husband"), F.get("WifeSurname", 0).alias("wife"), F.get("HusbandBirthDate", 0).alias("born"), F.get("WifeBirthDate", 0).alias("wife_born"), F.col("FullnameStored").alias("fullname"), F.col("TitleSort").alias("sort"))
 
 
-@query("SELECT n_nationkey::varchar AS page_id, upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS name, ' Earth' AS located, n_nationkey::varchar AS lat FROM nation WHERE n_name NOT LIKE '% %'")
+@query("SELECT n_nationkey::varchar AS page_id, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS name, ' Earth' AS located, n_nationkey::varchar AS lat FROM nation")
 def place_page_index(t):
     n = F.initcap("n_name")
     p = raw_pages(t, F.concat(F.lit("Place:"), n, F.lit(", Earth")), F.concat(F.lit("<place><type>Country</type><latitude>"), "n_nationkey", F.lit("</latitude></place>")), "n_nationkey", "nation")
-    d = extract.documents(p).where("TitleStored not like '% %, %'")
+    d = extract.documents(p)
     return d.select(F.col("PageId").alias("page_id"), F.get("PlaceName", 0).alias("name"), F.get("LocatedInPlace", 0).alias("located"), F.get("Latitude", 0).alias("lat"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ancestra.functions import text
+from ancestra.operators import index as X
 from ancestra.operators import nameservice as N
 from ancestra.operators import places as P
 from ancestra.operators import relational as R
@@ -66,18 +67,6 @@ def place_tokens(t):
     return P.index_tokens(p.select("n_nationkey", "title"), index).select("n_nationkey", F.array_join("tokens", ";").alias("tokens"))
 
 
-@query("SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')")
-def located_in_semi(t):
-    parents = t("region").where("r_name in ('ASIA', 'EUROPE')").select("r_name")
-    return place_paths(t).join(parents, "r_name", "left_semi").select("n_name")
-
-
-@query("SELECT c_custkey, (SELECT min(p_partkey) FROM part WHERE p_size = c_nationkey) AS first FROM customer")
-def first_match_lookup(t):
-    known = t("part").groupBy("p_size").agg(F.min("p_partkey").alias("first"))
-    return t("customer").join(known, F.col("c_nationkey") == F.col("p_size"), "left").select("c_custkey", "first")
-
-
 @query("SELECT s_suppkey, coalesce(n_name, s_name) AS s_name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 2) ON s_nationkey = n_nationkey")
 def update_join(t):
     source = t("nation").where("n_regionkey < 2").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("s_name"))
@@ -103,7 +92,8 @@ def latest_revision(t):
 
 @query("SELECT DISTINCT p_name FROM part")
 def distinct_keys(t):
-    return t("part").select("p_name").distinct()
+    """The different keys that get a label."""
+    return K.rebuilt(t("part").select("p_name"), "p_name", "c", 3).select("p_name")
 
 
 @query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, (o_orderkey % 7)::bigint AS w FROM orders),
@@ -135,23 +125,46 @@ def midpoint_labels(t):
     return K.inserted(labels, n.where("n_nationkey % 5 = 2").select(F.col("n_name").alias("sort_key")))
 
 
-@query("SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS known FROM customer")
+@query("""SELECT c_custkey::varchar AS page_id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) ELSE 'Other' END || CASE WHEN c_custkey % 2 = 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY') THEN '|Other' ELSE '' END AS surname,
+CASE WHEN c_custkey % 3 = 0 THEN 'Mary' WHEN c_custkey % 3 = 1 THEN 'Other' ELSE 'Unknown' END AS given FROM customer""")
 def known_name_flag(t):
-    known = t("customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')").select(F.col("c_mktsegment").alias("n")).distinct()
-    return t("customer").join(known, F.col("c_mktsegment") == F.col("n"), "left").select("c_custkey", F.col("n").isNotNull().alias("known"))
+    """Tokens of names by whether the list of known names has them."""
+    known = t("customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')").select(F.lower("c_mktsegment").alias("name")).distinct()
+    docs = t("customer").select(F.col("c_custkey").cast("string").alias("PageId"), F.array(F.col("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, "van Strange")).alias("PersonSurname"), F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("MARY"))).when(F.col("c_custkey") % 3 == 1, F.array(F.lit("zz"))).alias("PersonGivenname"))
+    given = t("region").select(F.lit("mary").alias("name")).distinct()
+    return X.name_facets(docs, known, given).select(F.col("PageId").alias("page_id"), F.col("PersonSurnameFacet").alias("surname"), F.col("PersonGivennameFacet").alias("given"))
+
+
+WORDS = "(SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part)"
 
 
-@query("SELECT p_partkey, array_to_string(list_filter(list_sort(list_distinct(string_split(p_name, ' '))), lambda w: w NOT LIKE 'a%'), ',') AS c FROM part")
+def sql_soundex(x: str) -> str:
+    """The sound code of a lower-case word in SQL."""
+    codes = f"translate(upper({x}), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000077')"
+    coded = f"left({codes}, 1) || replace(substr({codes}, 2), '7', '')"
+    for d in "123456":
+        coded = f"regexp_replace({coded}, '{d}+', '{d}', 'g')"
+    return f"rpad(upper(left({x}, 1)) || left(replace(substr({coded}, 2), '0', ''), 3), 4, '0')"
+
+
+def words_universe(t):
+    return t("part").select(F.explode(F.split("p_name", " ")).alias("name")).distinct().select("name", (~F.col("name").startswith("s")).alias("common"))
+
+
+@query(f"""WITH w AS (SELECT name, {sql_soundex("name")} AS code FROM {WORDS})
+SELECT a.name, coalesce((SELECT string_agg(b.name, ',' ORDER BY b.name) FROM w b WHERE b.code = a.code AND b.name <> a.name AND b.name NOT LIKE 's%'), '') AS c FROM w a""")
 def candidates_except(t):
-    words = F.split("p_name", " ")
-    return t("part").select("p_partkey", F.array_join(F.array_sort(F.array_except(words, F.filter(words, lambda w: w.startswith("a")))), ",").alias("c"))
+    """Common names of a name's sound, without itself."""
+    u = words_universe(t)
+    return N.candidates(u.select("name"), u).select("name", F.array_join("candidates", ",").alias("c"))
 
 
-@query("SELECT p_partkey, 'added,kept' AS confirmed, 'other' AS computer FROM part")
+@query("""SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(['kept', 'gone', split_part(p_name, ' ', 1)]), lambda x: x <> 'gone')), ',') AS confirmed,
+array_to_string(list_sort(list_filter(list_distinct(string_split(p_name, ' ')), lambda x: x <> split_part(p_name, ' ', 1) AND x <> 'gone')), ',') AS computer FROM part""")
 def variants_merge(t):
-    lit = lambda *x: F.array(*[F.lit(v) for v in x])
-    v = t("part").select("p_partkey", lit("kept", "gone").alias("confirmed"), lit("added", "other", "gone").alias("computer"))
-    m = R.variants_merged(v, lit("added"), lit("gone"))
+    words = F.split("p_name", " ")
+    v = t("part").select("p_partkey", F.array(F.get(words, 0)).alias("adds"), F.array(F.lit("kept"), F.lit("gone")).alias("confirmed"), F.array_distinct(words).alias("computer"))
+    m = R.variants_merged(v, F.col("adds"), F.array(F.lit("gone")))
     return m.select("p_partkey", F.array_join("confirmed", ",").alias("confirmed"), F.array_join("computer", ",").alias("computer"))
 
 
@@ -214,9 +227,12 @@ def standardize_places(t):
     return P.standardize(q, place_index(t)).select("id", "result", "error")
 
 
-@query(f"SELECT n_nationkey AS id, n || ', ' || r AS title FROM {NR} UNION ALL SELECT n_nationkey, r FROM {NR} WHERE FALSE")
+@query(f"""SELECT n_nationkey AS id, n || ', ' || r AS title FROM {NR} WHERE n_nationkey % 4 <> 2 UNION ALL
+SELECT a.n_nationkey, {INITCAP.format('r_name')} FROM {NR} a, region WHERE a.n_nationkey % 4 = 2 AND left(r_name, 2) = upper(left(a.r, 2))""")
 def autocomplete(t):
-    q = lands(t).select(F.col("n_nationkey").alias("id"), F.lower(F.concat("n_name", F.lit(","))).alias("q"))
+    """A whole name, a whole name within a region, the two first letters of a region, and a name within a region of which two letters are there."""
+    k = F.col("n_nationkey") % 4
+    q = lands(t).select(F.col("n_nationkey").alias("id"), F.lower(F.when(k == 0, F.concat("n_name", F.lit(","))).when(k == 1, F.concat("n_name", F.lit(", "), "r_name", F.lit(","))).when(k == 2, F.substring("r_name", 1, 2)).otherwise(F.concat("n_name", F.lit(", "), F.substring("r_name", 1, 2)))).alias("q"))
     return P.autocomplete(q, place_index(t)).select("id", "title")
 
 
@@ -233,18 +249,63 @@ def top_places(t):
     return P.matches(q, place_index(t)).select("id", F.get("titles", 0).alias("first"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT r_name AS t, NULL::varchar AS up FROM region UNION ALL SELECT n_name || ', ' || r_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
-w(t, top, depth) AS (SELECT t, t, 0 FROM p UNION ALL SELECT w.t, p.up, depth + 1 FROM w JOIN p ON w.top = p.t WHERE p.up IS NOT NULL) SELECT t AS title, max(depth)::int AS depth FROM w GROUP BY 1""")
+DEEP = 8
+
+
+def deep_places(t):
+    """A chain of places eight levels deep in each region."""
+    names = F.transform(F.sequence(F.lit(1), F.lit(DEEP)), lambda i: F.concat(F.lit("Lev"), F.translate(i.cast("string"), "123456789", "abcdefghi")))
+    each = t("region").select("r_regionkey", F.initcap("r_name").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(DEEP))).alias("n"))
+    return each.select("r_regionkey", "n", F.array_join(F.concat(F.reverse(F.slice(names, F.lit(1), F.col("n"))), F.array("r")), ", ").alias("title"))
+
+
+def deep_index(t):
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    return P.indexed(deep_places(t).select("title", empty.alias("names"), F.lit(None).cast("array<string>").alias("also_located_in"), F.lit("place").alias("place_type"), none.alias("lat"), none.alias("lng")))
+
+
+@query(f"""WITH RECURSIVE p(k, n, title) AS (SELECT r_regionkey, 0, {INITCAP.format('r_name')} FROM region UNION ALL SELECT k, n + 1, 'Lev' || translate((n + 1)::varchar, '123456789', 'abcdefghi') || ', ' || title FROM p WHERE n < {DEEP})
+SELECT k::int AS r_regionkey, n::int AS n, title, CASE WHEN n % 2 = 0 THEN title ELSE 'Nowhere, ' || title END AS standard FROM p""")
 def recursive_resolve(t):
-    """How many levels are above each place."""
-    p = place_paths(t)
-    r = t("region").select(F.col("r_name").alias("title"))
-    return p.select("title").unionByName(r).select("title", F.expr("length(title) - length(replace(title, ',', ''))").alias("depth"))
+    """Texts of up to nine levels, every second with a level that no place has, resolved level by level."""
+    q = deep_places(t).select(F.struct("r_regionkey", "n").alias("id"), F.lower(F.when(F.col("n") % 2 == 0, F.col("title")).otherwise(F.concat(F.lit("Nowhere, "), "title"))).alias("lookup"), F.lit(False).alias("strict"), F.lit(False).alias("begun"))
+    found = P.resolve(q, deep_index(t)).select("id.r_regionkey", "id.n", "titles", "standard")
+    return found.select("r_regionkey", "n", F.coalesce(F.get("titles", 0), F.regexp_replace("standard", "^Nowhere, ", "")).alias("title"), "standard")
+
+
+@query(f"SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n || ', ' || r END AS found FROM {NR}")
+def first_match_lookup(t):
+    """Places by their title, whatever its case and spaces; the first of several."""
+    k = F.col("n_nationkey") % 3
+    q = lands(t).select(F.col("n_nationkey").alias("id"), F.when(k == 0, F.col("n_name")).when(k == 1, F.upper("title")).otherwise(F.concat(F.lit(" "), "n_name", F.lit(" ,  "), F.lower("r_name"))).alias("q"))
+    return P.by_title(q, place_index(t), "q", "found").select("id", "found")
+
+
+@query(f"SELECT n_nationkey AS id, CASE WHEN r IN ('Asia', 'Europe') THEN n || ', ' || r END AS title FROM {NR} WHERE r IN ('Asia', 'Europe')")
+def located_in_semi(t):
+    """Names looked up within the places that are located in given ones."""
+    asked = lands(t).select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("level"), P.wanted(F.col("n_name")).alias("want"), F.array(F.lit("asia"), F.lit("europe")).alias("asked_located"), F.lit(False).alias("begun"))
+    return P.level_matches(asked, place_index(t)).select("id", "title")
+
+
+@query(f"""SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN r_regionkey::float END AS lat, CASE n_nationkey % 3 WHEN 0 THEN 0 ELSE 2 END::int AS error FROM {NR} WHERE n_nationkey % 3 <> 1
+UNION ALL SELECT n_nationkey, CASE (SELECT count(*) FROM nation WHERE left(n_name, 1) = 'A') WHEN 1 THEN NULL END, 3 FROM nation WHERE n_nationkey % 3 = 1""")
+def place_coordinates(t):
+    """A place's coordinates or its parent's; a text without a place and one of several places have an error's number instead."""
+    k = F.col("n_nationkey") % 3
+    q = lands(t).select(F.col("n_nationkey").alias("id"), F.when(k == 0, F.col("title")).when(k == 1, F.lit("Twin")).otherwise(F.concat(F.lit("zz"), "n_name")).alias("q"))
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    twins = t("region").where("r_regionkey < 2").select(F.concat(F.lit("Twin, "), F.initcap("r_name")).alias("title"))
+    twins = P.indexed(twins.select("title", empty.alias("names"), F.lit(None).cast("array<string>").alias("also_located_in"), F.lit("place").alias("place_type"), none.alias("lat"), none.alias("lng")))
+    return P.coordinates(q, place_index(t).unionByName(twins)).select("id", "lat", "error")
 
 
-@query()
+@query(f"""WITH u AS (SELECT name, {sql_soundex("name")} AS code FROM {WORDS})
+SELECT u.name, u.name AS normalized, CASE WHEN u.name LIKE 'b%' THEN 'kept' ELSE '' END AS confirmed,
+coalesce((SELECT string_agg(b.name, ',' ORDER BY b.name) FROM u b WHERE b.code = u.code AND b.name <> u.name AND b.name NOT LIKE 's%'), '') AS candidates, u.code FROM u""")
 def name_info(t):
-    universe = t("customer").select(F.lower("c_mktsegment").alias("name"), F.lit(True).alias("common")).distinct()
-    variants = universe.where("false").select("name", F.array("name").alias("confirmed"), F.array("name").alias("computer"))
-    out = N.info(universe.select("name"), variants, universe)
-    return out.select("name", "normalized", F.array_join("candidates", ",").alias("candidates"), "code")
+    """What is known of names: variants, names of the same sound and the sound's code."""
+    u = words_universe(t)
+    variants = u.where("name like 'b%'").select("name", F.array(F.lit("kept")).alias("confirmed"), F.array().cast("array<string>").alias("computer"))
+    out = N.info(u.select("name"), variants, u)
+    return out.select("name", "normalized", F.array_join("confirmed", ",").alias("confirmed"), F.array_join("candidates", ",").alias("candidates"), "code")

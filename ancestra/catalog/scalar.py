@@ -27,9 +27,11 @@ def mixed_case(t):
     return t("part").select("p_partkey", text.mixed_case("p_name").alias("m"))
 
 
-@query("SELECT p_partkey, 'The Story of ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') || ': II and the END' AS c FROM part")
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name || CASE p_partkey % 3 WHEN 0 THEN ' and the vii' WHEN 1 THEN ' NASA De ' ELSE ' over ' END || p_brand, ' ') AS w FROM part)
+SELECT p_partkey, array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN upper(w[i]) = 'VII' THEN 'VII' WHEN i > 1 AND w[i] IN ('and', 'the', 'over') THEN w[i] WHEN w[i] = lower(w[i]) THEN upper(left(w[i], 1)) || substr(w[i], 2) ELSE w[i] END), ' ') AS c FROM w""")
 def title_case(t):
-    return t("part").select("p_partkey", text.title_case(F.concat(F.lit("the story of "), "p_name", F.lit(": ii and the END"))).alias("c"))
+    k = F.col("p_partkey") % 3
+    return t("part").select("p_partkey", text.title_case(F.concat("p_name", F.when(k == 0, " and the vii").when(k == 1, " NASA De ").otherwise(" over "), "p_brand")).alias("c"))
 
 
 @query(f"SELECT p_partkey, {ENTITY} AS e FROM part")

@@ -28,10 +28,10 @@ def found(t, q: str, **options):
     return docs.where(Compiler(docs).match(parse(q, Options(**options)))).select("PageId")
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en' AND n_chars > 500")
+@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en' AND source = 'src3'")
 def project_filter(t):
-    """Projection and filter, both pushed to the scan."""
-    return t("documents").select("doc_id", "lang", "source", "n_chars").where("lang = 'en' and n_chars > 500")
+    """Projection and filters that don't score, both pushed to the scan."""
+    return S.filtered(t("documents").select("doc_id", "lang", "source", "n_chars"), (("lang", "en"), ("source", "src3")))
 
 
 @query(f"{D} SELECT PageId FROM d WHERE list_contains(k, 'was')")
@@ -193,14 +193,15 @@ def name_expand_score(t):
     return scored(t, docs, "PersonSurname:building", Options(related_names=lambda n, s: ["machinery"]))
 
 
-@query("SELECT doc_id AS PageId, 1.65::double AS score FROM documents WHERE (source = 'src1' AND doc_id % 3 <> 2) OR (lang = 'en' AND FALSE)")
+@query("SELECT doc_id AS PageId, CASE WHEN doc_id % 3 = 0 OR (doc_id % 3 = 1 AND lang = 'en') THEN 1.65 ELSE 0.8 END::double AS score FROM documents WHERE source = 'src1' AND (doc_id % 3 = 0 OR lang = 'en')")
 def virtual_field_score(t):
-    """Surname asks all surname fields and takes the best."""
+    """Surname asks all surname fields and takes the best; another clause may add to it."""
     n = F.regexp_replace("source", "[0-9]", "")
     s = F.concat(n, F.translate(F.regexp_replace("source", "[a-z]", ""), "0123456789", "abcdefghij"))
-    field = lambda k: F.array_compact(F.array(F.when(F.col("doc_id") % 3 == k, s)))
-    docs = t("documents").select(F.col("doc_id").alias("PageId"), field(0).alias("PersonSurname"), field(1).alias("OtherSurname"))
-    return scored(t, docs, "Surname:srcb")
+    english = F.col("lang") == "en"
+    field = lambda c, v: F.array_compact(F.array(F.when(c, v)))
+    docs = t("documents").select(F.col("doc_id").alias("PageId"), field(F.col("doc_id") % 3 == 0, s).alias("PersonSurname"), field((F.col("doc_id") % 3 == 1) & english, s).alias("OtherSurname"), field((F.col("doc_id") % 3 == 2) & english, F.concat(s, F.lit("x"))).alias("WifeSurname"), field((F.col("doc_id") % 3 == 2) & english, s).alias("Other"))
+    return scored(t, docs, "Surname:srcb Other:srcb^0.8")
 
 
 @query("""WITH c AS (SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
@@ -212,11 +213,11 @@ def place_level_boost(t):
     return scored(t, docs, 'PersonBirthPlace:"FRANCE, EUROPE"', Options(match_places=lambda x: ["FRANCE, EUROPE"]))
 
 
-@query("""SELECT doc_id, regexp_replace(text, '(\\b)(the|of)(\\b)', '<b>\\2</b>', 'gi') AS marked FROM documents WHERE lang = 'en' AND regexp_matches(text, '\\b(the|of)\\b', 'i')""")
+@query("""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\\pL\\pN]+|[^\\pL\\pN]+'), lambda x: CASE WHEN lower(x) IN ('the', 'of', 'onth') THEN '<b>' || x || '</b>' ELSE x END), '') AS marked
+FROM documents WHERE len(list_filter(regexp_extract_all(text, '[\\pL\\pN]+'), lambda x: lower(x) IN ('the', 'of', 'onth'))) > 0""")
 def highlight_terms(t):
     """Whole texts with the words marked."""
-    d = t("documents").where("lang = 'en'")
-    return d.select("doc_id", S.highlighted(F.col("text"), ["the", "of"]).alias("marked")).where("marked is not null")
+    return t("documents").select("doc_id", S.highlighted(F.col("text"), ["the", "of", "onth"]).alias("marked")).where("marked is not null")
 
 
 @query("SELECT conv_id, left(string_agg(text, '; ' ORDER BY turn), 80) AS shown FROM conversations GROUP BY 1")
@@ -230,7 +231,8 @@ def wikilist_lines(t):
     return S.wiki_lines(place_paths(t), F.col("n_name"), [F.col("r_name")])
 
 
-@query("SELECT r_regionkey, (i - 1)::int AS position, string_split('a|' || r_name || '|', '|')[i] AS q FROM region, unnest([1, 2, 3]) u(i)")
+@query("SELECT (i - 1)::int AS position, string_split('a|' || r_name || '|', '|')[i] AS q FROM region, unnest([1, 2, 3]) u(i)")
 def batch_split(t):
     r = t("region").select("r_regionkey", F.concat(F.lit("a|"), "r_name", F.lit("|")).alias("q"))
-    return r.select("r_regionkey", F.posexplode(F.split("q", r"\|", -1)).alias("position", "q"))
+    each = S.batch_split(r.select(F.concat("r_regionkey", F.lit("#"), "q").alias("q")))
+    return each.withColumn("q", F.regexp_replace("q", "^[0-9]+#", ""))

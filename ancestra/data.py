@@ -56,8 +56,8 @@ NAME_WORDS = frozenset("a à contra das de der des die du ein el en la le les o
 
 # Stop words of the text analyzer.
 STOP_WORDS = frozenset(
-    """all also amp any can from genealogy has have here its may more my next our stub through time tips usage use var we web which who you your
-    asp com htm html http org www sources display eng fhlcatalog supermainframeset titledetails titleno
+    """all also amp any can from has have here its more my next our stub through time tips usage use var we web which who you your
+    asp com htm html http org www display eng fhlcatalog supermainframeset titledetails titleno
     an and are as at be but by for if in into is it no not of on or s such t that the their then there these they this to was will with""".split()
 )
 

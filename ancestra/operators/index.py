@@ -70,7 +70,7 @@ def name_facets(docs: DataFrame, surnames: DataFrame, givennames: DataFrame) ->
     surnames and givennames (name) are tables of known tokens; both fields go through one join.
     """
     fields = (("PersonSurname", surnames), ("PersonGivenname", givennames))
-    tokens = F.concat(*[F.transform(F.array_distinct(F.flatten(F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda v: names.name_tokens(v)))), _tagged(f)) for f, _ in fields])
+    tokens = F.concat(*[F.transform(F.array_distinct(F.flatten(F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda v: F.coalesce(names.name_tokens(v), F.array().cast("array<string>"))))), _tagged(f)) for f, _ in fields])
     long = docs.select("PageId", F.explode(tokens).alias("x")).select("PageId", "x.field", "x.value")
     known = surnames.select(F.lit("PersonSurname").alias("kf"), F.col("name").alias("kn")).unionByName(givennames.select(F.lit("PersonGivenname").alias("kf"), F.col("name").alias("kn"))).distinct()
     shown = long.join(known, (F.col("field") == F.col("kf")) & (F.col("value") == F.col("kn")), "left").select("PageId", "field", F.when(F.col("kn").isNotNull(), text.mixed_case("value")).otherwise("Other").alias("v"))

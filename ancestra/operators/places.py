@@ -40,29 +40,30 @@ def sort_key_of(title: Column, wanted: Column) -> Column:
     return F.when(exact, shown).otherwise(F.concat(shown, F.lit("alternate name match-----")))
 
 
-def level_matches(asked: DataFrame, index: DataFrame, prefix_last: bool = False) -> DataFrame:
+def level_matches(asked: DataFrame, index: DataFrame) -> DataFrame:
     """(id, title, ...) of the places with all the tokens of a level's name, in one of the located titles where there are any.
 
-    asked: id, level (lower case), located (reversed titles). One token is an equi-join key;
-    the others, and the parents, are checked on the pairs it gives.
+    asked: id, want (the name's tokens), asked_located (reversed titles), begun (whether the last
+    token is the beginning of one, of any length). One token is an equi-join key, a whole one where
+    there is one, else the first letters of the begun one, three at most; the other tokens, and
+    the parents, are checked on the pairs it gives.
     """
-    tokens = F.filter(names.name_tokens("level"), lambda t: t != data.UNKNOWN)
-    q = asked.withColumn("want", tokens).where(F.size("want") > 0)
-    whole = F.slice(F.col("want"), 1, F.size("want") - 1) if prefix_last else F.col("want")
-    q = q.withColumn("whole", whole).withColumn("last", F.element_at("want", -1)).withColumn("probe", F.element_at("want", 1))
-    terms = index.withColumn("term", F.explode("tokens"))
-    if prefix_last:
-        first = F.substring("probe", 1, 3)  # a prefix has three letters at least to be an equi-join key; shorter ones match by all their letters
-        terms = terms.withColumn("start", F.substring("term", 1, 3)).dropDuplicates(["title", "start"])
-        pairs = q.where(F.length("probe") >= 3).join(terms, first == F.col("start"))
-        good = F.forall("whole", lambda t: F.array_contains(F.col("tokens"), t)) & F.exists("tokens", lambda t: t.startswith(F.col("last")))
-    else:
-        pairs = q.join(terms, F.col("probe") == F.col("term"))
-        good = F.forall("want", lambda t: F.array_contains(F.col("tokens"), t))
+    q = asked.where(F.size("want") > 0)
+    whole = F.when(F.col("begun"), F.slice("want", F.lit(1), F.size("want") - 1)).otherwise(F.col("want"))
+    q = q.withColumn("whole", whole).withColumn("last", F.when(F.col("begun"), F.element_at("want", -1)))
+    q = q.withColumn("probe", F.when(F.size("whole") > 0, F.concat(F.lit("="), F.get("whole", 0))).otherwise(F.concat(F.lit("^"), F.substring("last", 1, 3))))
+    starts = F.flatten(F.transform("tokens", lambda t: F.array(F.concat(F.lit("="), t), *[F.concat(F.lit("^"), F.substring(t, 1, n)) for n in (1, 2, 3)])))
+    pairs = q.join(index.withColumn("term", F.explode(F.array_distinct(starts))), F.col("probe") == F.col("term"))
+    good = F.forall("whole", lambda t: F.array_contains(F.col("tokens"), t)) & (F.col("last").isNull() | F.exists("tokens", lambda t: t.startswith(F.col("last"))))
     inside = (F.size("asked_located") == 0) | F.arrays_overlap("located", "asked_located")
     return pairs.where(good & inside)
 
 
+def wanted(level: Column) -> Column:
+    """The tokens by which a level's name is looked up."""
+    return F.filter(names.name_tokens(level), lambda t: t != data.UNKNOWN)
+
+
 def top_matches(found: DataFrame, most: Column) -> DataFrame:
     """(id, titles, lat, lng): matches of the fewest levels, in the order of their keys, `most` of them."""
     keyed = found.withColumn("k", sort_key_of(F.col("title"), F.col("level"))).withColumn("depth", text.occurrences("k", ","))
@@ -70,78 +71,84 @@ def top_matches(found: DataFrame, most: Column) -> DataFrame:
     kept = keyed.join(best, (F.col("id") == F.col("bid")) & (F.col("depth") == F.col("best")))
     w = Window.partitionBy("id").orderBy(F.length("k"), "k", "title")
     ranked = kept.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
-    return ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "title", "lat", "lng"))).alias("hits"))
+    return ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "title", "reversed", "lat", "lng"))).alias("hits"))
 
 
-def resolve(requests: DataFrame, index: DataFrame, strict: bool, depth: int = 6, most: int = MOST_MATCHES, prefix_last: bool = False, prefer_top: bool = True) -> DataFrame:
-    """(id, titles, standard, lat, lng) of requests (id, lookup): levels from right to left, each looked up within what the last one found.
+def resolve(requests: DataFrame, index: DataFrame, most: int = MOST_MATCHES, prefer_top: bool = True) -> DataFrame:
+    """(id, titles, standard, lat, lng) of requests (id, lookup, strict, begun): levels from right to left, each looked up within what the last one found.
 
     The United States at the end need no lookup; empty levels are passed over; a level without a
     match goes before the standardized title, capitalized, and leaves the parents as they are.
     strict: a first level that is found only deeper than the second level of the hierarchy doesn't
-    count. titles are those of the last level looked up, null where it had no match. A text of
-    more than `depth` levels is looked up by its last `depth` ones. One round of joins per level, each cut from the last.
+    count. begun: the text ends within a name. titles are those of the last level looked up, null
+    where it had no match. One round of joins per level, each cut from the last; a request leaves
+    after its own last level, however many others have. What depends on the texts alone is computed once, before the rounds.
     """
-    levels = F.slice(F.reverse(place.levels("lookup")), 1, depth)
-    state = requests.select("id", levels.alias("levels")).withColumns({
+    parts = F.transform(F.reverse(place.levels("lookup")), lambda x: F.struct(x.alias("name"), F.lower(x).alias("level"), wanted(x).alias("want"), text.place_level_case(x).alias("cased")))
+    state = requests.select("id", "strict", "begun", parts.alias("levels")).withColumns({
         "located": F.array().cast("array<string>"), "standard": F.lit(""), "titles": F.lit(None).cast("array<string>"), "lat": F.lit(None).cast("string"), "lng": F.lit(None).cast("string"), "us": F.lit(False),
     })
     state = cut(state)
+    done = state.where(F.coalesce(F.size("levels"), F.lit(0)) < 1)
     states = [s.lower() for s in data.US_STATES]
     for i in range(state.agg(F.max(F.size("levels"))).first()[0] or 0):
-        name = F.get("levels", i)
-        lower = F.lower(name)
-        state = state.withColumns({"name": name, "level": lower, "active": name.isNotNull() & (F.coalesce(name, F.lit("")) != "") & ~(F.lit(i == 0) & F.coalesce(lower == "united states", F.lit(False))), "final": F.size("levels") == i + 1})
-        asked = state.where("active").select("id", "level", "final", F.col("located").alias("asked_located"), "us")
+        state = state.where(F.size("levels") > i)
+        now = F.get("levels", i)
+        state = state.withColumns({"level": now["level"], "want": now["want"], "cased": now["cased"], "active": (now["name"] != "") & ~(F.lit(i == 0) & (now["level"] == "united states")), "final": F.size("levels") == i + 1})
+        asked = state.where("active").select("id", "level", "want", "final", F.col("located").alias("asked_located"), "us", (F.col("begun") & F.lit(i == 0)).alias("begun"))  # the text's end is its last level
         if i == 1:  # a US state is taken by its title
             short = asked.where(F.col("us") & F.col("level").isin(states)).join(index, F.col("reversed") == F.concat(F.lit("united states,"), F.col("level")))
-            short = short.groupBy("id").agg(F.array(F.min(F.struct(F.lit(1).alias("r"), "title", "lat", "lng"))).alias("hits"))
+            short = short.groupBy("id").agg(F.array(F.min(F.struct(F.lit(1).alias("r"), "title", "reversed", "lat", "lng"))).alias("hits"))
             rest = asked.join(short.select(F.col("id").alias("sid")), F.col("id") == F.col("sid"), "left_anti")
         else:
             short, rest = None, asked
-        found = level_matches(rest, index, prefix_last and i == 0)  # the text's end is its last level
+        found = level_matches(rest, index)
         limit = F.when(F.col("final"), most).otherwise(MOST_LOCATED_IN)
         hits = top_matches(found, limit) if prefer_top else first_matches(found, limit)
         if short is not None:
             hits = hits.unionByName(short)
         hits = hits.withColumnRenamed("id", "hid")
         state = state.join(hits, F.col("id") == F.col("hid"), "left")
-        if strict and i == 0:
-            state = state.withColumn("hits", F.when(text.occurrences(F.get("hits", 0)["title"], ",") <= 1, F.col("hits")))
+        if i == 0:
+            state = state.withColumn("hits", F.when(~F.col("strict") | (text.occurrences(F.get("hits", 0)["title"], ",") <= 1), F.col("hits")))
         hit = F.col("hits").isNotNull()
         first = F.get("hits", 0)
-        is_us = F.lit(i == 0) & F.coalesce(F.col("level") == "united states", F.lit(False))
+        is_us = F.lit(i == 0) & (F.col("level") == "united states")
         found_titles = F.transform("hits", lambda h: h["title"])
-        failed = F.concat(text.place_level_case("name"), F.when(F.col("standard") == "", "").otherwise(F.concat(F.lit(", "), F.col("standard"))))
+        failed = F.concat("cased", F.when(F.col("standard") == "", "").otherwise(F.concat(F.lit(", "), F.col("standard"))))
         state = state.select(
-            "id", "levels", F.when(is_us, F.array(F.lit("united states"))).when(F.col("active") & hit & ~F.col("final"), F.transform(found_titles, lambda t: F.lower(text.romanize(place.reversed_place(t))))).otherwise(F.col("located")).alias("located"),
+            "id", "strict", "begun", "levels", F.when(is_us, F.array(F.lit("united states"))).when(F.col("active") & hit & ~F.col("final"), F.transform("hits", lambda h: h["reversed"])).otherwise(F.col("located")).alias("located"),
             F.when(is_us, "United States").when(~F.col("active"), F.col("standard")).when(hit, first["title"]).otherwise(failed).alias("standard"),
             F.when(F.col("active"), F.when(hit, found_titles)).otherwise(F.col("titles")).alias("titles"), F.when(F.col("active") & hit, F.coalesce(first["lat"], F.col("lat"))).otherwise(F.col("lat")).alias("lat"), F.when(F.col("active") & hit, F.coalesce(first["lng"], F.col("lng"))).otherwise(F.col("lng")).alias("lng"),
             (F.col("us") | is_us).alias("us"),
         )
         state = cut(state)
-    return state.select("id", "titles", "standard", "lat", "lng")
+        done = done.unionByName(state.where(F.size("levels") == i + 1))
+    return done.select("id", "titles", "standard", "lat", "lng")
 
 
 def first_matches(found: DataFrame, most: Column) -> DataFrame:
     """(id, hits): the first matches by title, whatever their level."""
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("title"))).where(F.col("r") <= most)
-    return ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "title", "lat", "lng"))).alias("hits"))
+    return ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "title", "reversed", "lat", "lng"))).alias("hits"))
 
 
 def matches(requests: DataFrame, index: DataFrame, default_country: str | None = None) -> DataFrame:
-    """(id, q, lookup, titles, error, standard) of requests (id, q): by title, then strictly, then in the default country, then without strictness, else missing."""
+    """(id, q, lookup, titles, error, standard) of requests (id, q): by title, then strictly, then in the default country, then without strictness, else missing.
+
+    All tries of all requests go through the levels together.
+    """
     q = requests.select("id", "q", place.lookup_text("q").alias("lookup"))
     q = cut(by_title(q, index, "lookup", "exact"))
-    named = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.col("titles").alias(n), F.col("standard").alias(f"{n}_standard"))
-    tries = [named(resolve(q, index, True), "strict")]
-    if default_country:
-        tries.append(named(resolve(q.select("id", place.lookup_text(F.concat("q", F.lit(f", {default_country}"))).alias("lookup")), index, True), "country"))
-    tries.append(named(resolve(q, index, False), "lax"))
-    for t in tries:
-        q = q.join(t, F.col("id") == F.col(t.columns[0]), "left")
-    found = F.coalesce(F.when(F.col("exact").isNotNull(), F.array("exact")), *[F.col(t.columns[1]) for t in tries])
-    return q.select("id", "q", "lookup", found.alias("titles"), F.when(found.isNull(), "missing").alias("error"), F.col("lax_standard").alias("standard"))
+    inland = place.lookup_text(F.concat("q", F.lit(f", {default_country}"))) if default_country else F.lit(None).cast("string")
+    tries = F.array(*[F.struct(F.lit(n).alias("n"), x.alias("lookup"), F.lit(n != "lax").alias("strict")) for n, x in (("strict", F.col("lookup")), ("country", inland), ("lax", F.col("lookup")))])
+    each = q.select("id", F.explode(tries).alias("t")).where("t.lookup is not null")
+    found = resolve(each.select(F.struct("id", "t.n").alias("id"), "t.lookup", "t.strict", F.lit(False).alias("begun")), index)
+    of = lambda n, c: F.max_by(F.when(F.col("id.n") == n, F.col(c)), F.col("id.n") == n)
+    got = found.groupBy(F.col("id.id").alias("rid")).agg(*[of(n, "titles").alias(n) for n in ("strict", "country", "lax")], of("lax", "standard").alias("standard"))
+    q = q.join(got, F.col("id") == F.col("rid"), "left")
+    titles = F.coalesce(F.when(F.col("exact").isNotNull(), F.array("exact")), "strict", "country", "lax")
+    return q.select("id", "q", "lookup", titles.alias("titles"), F.when(titles.isNull(), "missing").alias("error"), "standard")
 
 
 def standardize(requests: DataFrame, index: DataFrame, default_country: str | None = None) -> DataFrame:
@@ -156,7 +163,7 @@ def standardize(requests: DataFrame, index: DataFrame, default_country: str | No
     r = r.withColumn("display", F.when(F.lower("display") == F.lower("title"), "").otherwise(F.col("display"))).withColumn("stripped", place.lookup_text("display"))
     r = cut(r)
     checked = r.where((F.col("display") != "") & (F.col("stripped") != F.col("title")) & place.consistent("stripped", "title"))
-    single = resolve(checked.select("id", F.col("stripped").alias("lookup")), index, False, prefer_top=False).where(F.size("titles") == 1).select(F.col("id").alias("si"))
+    single = resolve(checked.select("id", F.col("stripped").alias("lookup"), F.lit(False).alias("strict"), F.lit(False).alias("begun")), index, prefer_top=False).where(F.size("titles") == 1).select(F.col("id").alias("si"))
     r = r.join(single, F.col("id") == F.col("si"), "left")
     shown = F.when(F.col("si").isNotNull(), F.replace("display", F.col("stripped"), F.col("title"))).otherwise(F.col("display"))
     shown = F.when(F.lower(shown) == F.lower("title"), "").otherwise(shown)
@@ -178,10 +185,8 @@ def autocomplete(requests: DataFrame, index: DataFrame, most: int = MOST_COMPLET
     """(id, title, place_type): completions of requests (id, q). A comma at the end means the name is whole."""
     q = F.lower(F.trim("q"))
     whole = q.endswith(",")
-    base = requests.select("id", F.regexp_replace(q, r",+$", "").alias("lookup"), whole.alias("whole"))
-    done = resolve(base.where("whole").select("id", "lookup"), index, False, most=most, prefer_top=False)
-    begun = resolve(base.where("not whole").select("id", "lookup"), index, False, most=most, prefix_last=True, prefer_top=False)
-    hits = done.unionByName(begun).select("id", F.explode("titles").alias("title"))
+    base = requests.select("id", F.regexp_replace(q, r",+$", "").alias("lookup"), F.lit(False).alias("strict"), (~whole).alias("begun"))
+    hits = resolve(base, index, most=most, prefer_top=False).select("id", F.explode("titles").alias("title"))
     kinds = index.groupBy(F.col("title").alias("t")).agg(F.min("place_type").alias("place_type"))
     return hits.join(kinds, F.col("title") == F.col("t"), "left").select("id", "title", "place_type")
 

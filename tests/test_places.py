@@ -52,3 +52,23 @@ def test_autocomplete_tokens_coordinates(spark, index):
     at = {r.id: tuple(r)[1:] for r in places.coordinates(asked(spark, "Provo, Utah", "Utah, Utah, United States", "Kent, England", "Salem", "Atlantis", "Georgia (country)"), index).collect()}
     assert at[0] == (pytest.approx(40.2), pytest.approx(-111.6), 0) and at[1][:2] == (40.0, -111.0) and at[2][:2] == (52.0, -1.0)
     assert at[3] == (None, None, 3) and at[4] == (None, None, 2) and at[5] == (None, None, 1)
+
+
+def test_short_beginnings(spark, index):
+    """First tokens of one and two letters complete, and whole tokens before the begun one count."""
+    got = sorted(map(tuple, places.autocomplete(asked(spark, "sa", "bo", "pro", "ut", "united st", "kent, e"), index).select("id", "title").collect()))
+    assert [g for g in got if g[0] == 0] == [(0, "Salem, Kent, England"), (0, "Salem, Ohio, United States")]
+    assert [g[1] for g in got if g[0] == 1] == ["Boston, Kent, England"] and [g[1] for g in got if g[0] == 2] == ["Provo, Utah, Utah, United States"]
+    assert [g[1] for g in got if g[0] == 3] == ["Utah, United States", "Utah, Utah, United States"] and [g[1] for g in got if g[0] == 4] == ["United States"]
+    assert [g[1] for g in got if g[0] == 5] == ["Kent, England"]
+
+
+def test_deep_texts(spark):
+    """All levels of a text count, however many, and others' depth doesn't matter."""
+    titles = [", ".join(f"Level{chr(97 + i)}" for i in range(n, -1, -1)) for n in range(9)]
+    index = places.indexed(spark.createDataFrame([(t, [], None, "place", None, None) for t in titles], places.SCHEMA))
+    got = {r.id: r for r in places.matches(asked(spark, *titles, "Nowhere, " + titles[8].lower(), ""), index).collect()}
+    assert [got[i].titles for i in range(9)] == [[t] for t in titles]
+    shuffled = {r.id: r for r in places.resolve(asked(spark, *[t.lower() for t in titles]).selectExpr("id", "q as lookup", "false as strict", "false as begun"), index).collect()}
+    assert [shuffled[i].titles for i in range(9)] == [[t] for t in titles]
+    assert got[9].error == "missing" and got[9].standard == "Nowhere, " + titles[8] and got[10].error == "missing"
