@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, embeddings, lm, quality, simhash, tokencounts, urls, warc
@@ -23,8 +23,21 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotation links and threads of all conversations."""
-    return chat.link_quotes(table(spark, sf_dir, "conversations"))
+    """Quotation links and threads of all conversations, in reply order."""
+    return chat.reply_ordered(chat.link_quotes(table(spark, sf_dir, "conversations")))
+
+
+def chat_quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every message but each third quotes the one before it, whole or from its second sentence on, and every third the two before it, nested."""
+    at = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    lines = lambda c: F.regexp_replace(c, r"\. ", ".\n")
+    t = table(spark, sf_dir, "conversations").withColumn("text", lines(F.col("text")))
+    t = t.withColumns({"one": F.lag("text").over(at), "two": F.lag("text", 2).over(at)})
+    t = t.withColumn("some", F.when((F.col("turn") % 2 == 0) & F.contains("one", F.lit("\n")), F.substr("one", F.instr("one", "\n") + 1)).otherwise(F.col("one")))
+    marked = lambda c, mark: F.concat(F.lit(mark), F.regexp_replace(c, "\n", "\n" + mark), F.lit("\n"))
+    nested = F.concat(marked(F.col("two"), ">> "), marked(F.col("one"), "> "), F.col("text"))
+    said = F.when(F.col("turn") % 3 == 1, F.concat(marked(F.col("some"), "> "), F.col("text"))).when(F.col("turn") % 3 == 2, nested)
+    return chat.reply_ordered(chat.link_quotes(t.withColumn("text", F.coalesce(said, "text"))))
 
 
 #: Fixed by the query's contract.
@@ -79,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
+    "chat_quoted_threads": chat_quoted_threads,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -132,14 +146,26 @@ b AS (SELECT m.rid, m.conv_id, m.turn, m.role, m.q, CASE WHEN m.q THEN coalesce(
 g AS (SELECT *, sum(CASE WHEN level IS NOT DISTINCT FROM was THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT *, lag(level) OVER (PARTITION BY rid ORDER BY i) AS was FROM k)),
 p AS (SELECT * FROM (SELECT rid, conv_id, turn, level, trim(regexp_replace(lower(string_agg(content, chr(10) ORDER BY i)), '\s+', ' ', 'g')) AS n FROM g WHERE level > 0 GROUP BY rid, conv_id, turn, run, level) WHERE n <> ''),
 u AS (SELECT conv_id, turn, trim(regexp_replace(lower(unnest(list_concat([own], string_split_regex(own, '\r?\n[ \t]*\r?\n'), string_split_regex(own, '\r?\n')))), '\s+', ' ', 'g')) AS n FROM b WHERE turn IS NOT NULL AND own IS NOT NULL),
-f AS (SELECT conv_id, n, min(turn) AS found FROM u WHERE n <> '' GROUP BY 1, 2),
+nl AS (SELECT rid, conv_id, turn, list_filter(list_transform(string_split_regex(own, '\r?\n'), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '') AS ls FROM b
+  WHERE turn IS NOT NULL AND own IS NOT NULL AND conv_id IN (SELECT conv_id FROM p)),
+w AS (SELECT conv_id, turn, array_to_string(ls[i:k], ' ') AS n FROM (SELECT conv_id, turn, ls, i, unnest(range(i, len(ls) + 1)) AS k FROM (SELECT conv_id, turn, ls, unnest(range(1, len(ls) + 1)) AS i FROM nl))
+  UNION ALL SELECT conv_id, turn, trim(regexp_replace(lower(unnest(string_split_regex(text, '(?m)^[ \t]*>[^\n]*(?:\n|\z)'))), '\s+', ' ', 'g')) FROM m WHERE turn IS NOT NULL AND text IS NOT NULL
+  UNION ALL SELECT conv_id, turn, n FROM u),
+f AS (SELECT conv_id, n, min(turn) AS found FROM w WHERE n <> '' GROUP BY 1, 2),
 j AS (SELECT p.*, f.found FROM p LEFT JOIN f ON f.conv_id = p.conv_id AND f.n = p.n AND f.found < p.turn),
 c AS (SELECT rid, conv_id, turn, count(*) AS n_quotes, count(found) AS n_linked, max(level) AS quote_level, (min((level, -found)) FILTER (WHERE found IS NOT NULL))[2] AS neg FROM j GROUP BY 1, 2, 3),
 e AS (SELECT conv_id, turn, min(-neg) AS parent FROM c WHERE neg IS NOT NULL GROUP BY 1, 2),
 r(conv_id, turn, thread, depth) AS (SELECT conv_id, turn, parent, 1 FROM e UNION ALL SELECT r.conv_id, r.turn, e.parent, r.depth + 1 FROM r JOIN e ON e.conv_id = r.conv_id AND e.turn = r.thread),
 t AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM r GROUP BY 1, 2)
 SELECT b.conv_id, b.turn, b.role, b.own AS text, -c.neg AS parent_turn, CASE WHEN c.neg IS NULL THEN b.turn ELSE coalesce(t.thread, -c.neg) END AS thread_turn,
-       CASE WHEN c.neg IS NULL THEN 0 ELSE 1 + coalesce(t.depth, 0) END::bigint AS depth, coalesce(c.n_quotes, 0)::bigint AS n_quotes, coalesce(c.n_linked, 0)::bigint AS n_linked, coalesce(c.quote_level, 0)::int AS quote_level
+       CASE WHEN c.neg IS NULL THEN 0 ELSE 1 + coalesce(t.depth, 0) END::bigint AS depth, coalesce(c.n_quotes, 0)::bigint AS n_quotes, coalesce(c.n_linked, 0)::bigint AS n_linked, coalesce(c.quote_level, 0)::int AS quote_level,
+       CASE WHEN b.conv_id IS NOT NULL AND b.turn IS NOT NULL THEN dense_rank() OVER (PARTITION BY b.conv_id ORDER BY CASE WHEN c.neg IS NULL THEN b.turn ELSE coalesce(t.thread, -c.neg) END, b.turn) END::bigint AS position
 FROM b LEFT JOIN c USING (rid) LEFT JOIN t ON t.conv_id = b.conv_id AND t.turn = -c.neg
 """,
 }
+
+ORACLE_SQL["chat_quoted_threads"] = ORACLE_SQL["op3_chat_quotes"].replace("FROM conversations", """FROM (
+  SELECT conv_id, turn, role, coalesce(CASE turn % 3 WHEN 1 THEN '> ' || replace(part, chr(10), chr(10) || '> ') || chr(10) || text
+    WHEN 2 THEN '>> ' || replace(two, chr(10), chr(10) || '>> ') || chr(10) || '> ' || replace(one, chr(10), chr(10) || '> ') || chr(10) || text END, text) AS text
+  FROM (SELECT *, CASE WHEN turn % 2 = 0 AND contains(one, chr(10)) THEN substr(one, instr(one, chr(10)) + 1) ELSE one END AS part
+    FROM (SELECT *, lag(text) OVER a AS one, lag(text, 2) OVER a AS two FROM (SELECT conv_id, turn, role, replace(text, '. ', '.' || chr(10)) AS text FROM conversations) WINDOW a AS (PARTITION BY conv_id ORDER BY turn, role, text))))""", 1)

@@ -67,7 +67,7 @@ def test_very_long_message(spark):
 
 
 def test_plan_is_native(spark):
-    df = chat.link_quotes(spark.createDataFrame([(1, 0, "user", "x")], COLUMNS))
+    df = chat.reply_ordered(chat.link_quotes(spark.createDataFrame([(1, 0, "user", "x")], COLUMNS)))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -86,3 +86,26 @@ def test_sql_agrees_on_quotes():
     db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     got = db.sql(ORACLE_SQL["op3_chat_quotes"])
     assert sorted(map(tuple, got.select(*OUT).fetchall()), key=repr) == sorted(chat.brute(rows), key=repr)
+
+
+def test_quotes_of_some_lines_and_around_removed_quotes(spark):
+    rows = [
+        (1, 0, "user", "one\ntwo\nthree\n\nfour\n\nfive"), (1, 1, "a", "> Two\n> three\nfine"), (1, 2, "a", "> four\n> five\nyes"), (1, 3, "a", "> three\n>\n> four\nno"),
+        (1, 4, "a", "> one\nl1\nl2\n> two\nl3\nl4"), (1, 5, "user", "> l1 l2\nleft"), (1, 6, "user", "> l3\n> l4\nright"), (1, 7, "user", "> l2\n> l3\nboth"), (1, 8, "user", "> two\n> four\nneither"), (1, 9, "user", "> two\n> four"),
+    ]
+    got = linked(spark, rows)
+    assert got == sorted(chat.brute(rows), key=repr)
+    parents = {r[1]: r[4] for r in got}
+    assert parents == {0: None, 1: 0, 2: 0, 3: 0, 4: 0, 5: 4, 6: 4, 7: 4, 8: None, 9: None}
+
+
+def test_reply_order(spark):
+    rows = [(1, 0, "u", "a b"), (1, 1, "u", "c d"), (1, 2, "u", "> a b\nx y"), (1, 3, "u", "> c d\nz"), (1, 4, "u", "> x y\nw"), (1, 4, "u", "> x y\nw"), (None, 1, "u", "q"), (1, None, "u", "q"), (2, 7, "u", None)]
+    for parts in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = chat.reply_ordered(chat.link_quotes(spark.createDataFrame(rows, COLUMNS))).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert len(got) == len(rows)
+        told = [(r.position, r.turn, r.text) for r in sorted((r for r in got if r.conv_id == 1 and r.turn is not None), key=lambda r: r.position)]
+        assert told == [(1, 0, "a b"), (2, 2, "x y"), (3, 4, "w"), (3, 4, "w"), (4, 1, "c d"), (5, 3, "z")]
+        assert sorted((r.conv_id, r.turn, r.position) for r in got if r.conv_id == 2) == [(2, 7, 1)] and all(r.position is None for r in got if r.conv_id is None or r.turn is None)
