@@ -24,6 +24,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't, whatever their case: the given one with as many _ as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def filesystem(path: str):
     """(pyarrow file system, path inside it) of a path or URI; usable on executors."""
     from pyarrow import fs

@@ -62,7 +62,43 @@ def test_keep_clean(spark):
 def test_prefix_is_the_rarest_shingle():
     import numpy as np
 
-    x = decontam.Index([(1, b"a b c d e f g h i j")], 10, 5)
-    frequency = np.full(x.size, 9)
-    frequency[4] = 1
-    assert list(x.prefixes(frequency)) == [4] and len(x.windows) == 1
+    x = decontam.Block([(1, b"a b c d e f g h i j")], 10, 5)
+    known = x.hashes[5]
+    fifth = x.hash(5, x.flat)[4]
+    frequency = np.full(x.count, 9)
+    frequency[np.searchsorted(known, fifth)] = 1
+    x.choose(frequency)
+    assert x.prefix[5].tolist() == [fifth] and x.under[5][2].tolist() == [4] and len(x.start) == 1
+
+
+def test_a_worker_holds_one_block(spark, tmp_path, monkeypatch):
+    """Of three blocks one is in memory at a time, and the documents' result is that of one block."""
+    docs, items = corpus(9)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    words = sum(len(t.split()) for _, t in items)
+    paths = decontam.prepared(d, b, "text", "item_id", "text", 10, 5, words // 3)
+    assert len(paths) >= 3
+    for p in paths:
+        decontam.loaded(p)
+        assert list(decontam._HELD) == [p]
+    decontam._HELD.clear()
+    one = sorted(map(str, decontam.report(d, b).collect()))
+    assert one == sorted(map(str, decontam.report(d, b, block_words=words // 3).collect()))
+
+
+def test_memory_of_a_block():
+    """Arrays of a block take little more than its words."""
+    import pickle
+    import random
+
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(100)).encode()) for i in range(2_000)]
+    block = decontam.Block(items, 10, 5)
+    assert len(pickle.dumps(block)) < 80 * 200_000
+
+
+def test_clashing_names(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g h i j", 1, 2, 3), (2, "x", 1, 2, 3)], "doc_id long, text string, N_words int, hit int, items int")
+    b = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    assert [tuple(r) for r in decontam.keep_clean(d, b).collect()] == [(2, "x", 1, 2, 3)]
