@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, cut, pieces
+from .common import Cache, cut, pieces, unused
 
 #: Words and runs of punctuation of a UTF-8 text; case is kept.
 TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+")
@@ -101,10 +101,10 @@ def counts(docs: DataFrame, sample: DataFrame, buckets: int) -> tuple[np.ndarray
     return target, raw
 
 
-def scored(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, keep: list[str], seed: int = SEED) -> DataFrame:
+def scored(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, keep: list[str], seed: int = SEED, names: tuple[str, str, str] = ("__n", "__weight", "__key")) -> DataFrame:
     """The columns `keep` of docs with __n (n-grams), __weight (log importance) and __key (with Gumbel noise). Map only."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("__n", T.LongType()), T.StructField("__weight", T.DoubleType()), T.StructField("__key", T.DoubleType())])
+    schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, t()) for n, t in zip(names, (T.LongType, T.DoubleType, T.DoubleType), strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lam = shared.value
@@ -193,4 +193,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", k: int | None = None, buckets: int = BUCKETS, most_labelled: int = LABELLED, seed: int = SEED) -> DataFrame:
     """The rows of docs, with all their columns, that classify() accepts. The last pass is a map: nothing is joined back."""
     fit = Fitted(docs, labels, id_col, text_col, label_id_col, label_col, k, buckets, most_labelled, seed)
-    return scored(docs, fit.weights, id_col, text_col, docs.columns, seed).where(F.col("__key") >= F.lit(fit.bound)).select(*docs.columns)
+    names = tuple(unused(docs, n) for n in ("n_grams", "log_weight", "gumbel_key"))
+    return scored(docs, fit.weights, id_col, text_col, docs.columns, seed, names).where(F.col(names[2]) >= F.lit(fit.bound)).select(*docs.columns)

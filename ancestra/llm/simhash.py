@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, cut, filesystem, fresh_path, pieces, remove_path
+from .common import Cache, cut, filesystem, fresh_path, pieces, remove_path, unused
 from .components import components
 
 #: Shingles whose bits are counted at a time.
@@ -479,13 +479,13 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Of each class the row with the smallest id stays; of repeated rows one stays; ids that are
     null come last. Classes whose smallest ids are equal or null each keep a row. Null and empty texts are one class. The documents are shuffled once, by id.
     """
-    keep, mark = "__keep", "__mark"
+    keep, mark = unused(docs, "keep"), unused(docs, "mark")
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     rows, found = similar_classes(source, similarity, words_per_shingle)
     members = rows.groupBy("id", "mark", "node").count().drop("count").join(found.withColumnRenamed("node", "fn"), F.col("node") == F.col("fn"))
-    chosen = members.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", F.col("id").alias(keep)).agg(F.min("mark").alias("m"))
+    chosen = members.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", F.col("id").alias(keep)).agg(F.min("mark").alias("kept_mark")).select(F.col(keep), "kept_mark")
     marked = docs.withColumn(mark, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    return marked.join(chosen, marked[id_col].eqNullSafe(chosen[keep]) & (marked[mark] == chosen["m"]), "left_semi").dropDuplicates([id_col, mark]).select(*docs.columns)
+    return marked.join(chosen, marked[id_col].eqNullSafe(chosen[keep]) & (marked[mark] == chosen["kept_mark"]), "left_semi").dropDuplicates([id_col, mark]).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words_per_shingle: int = 3) -> DataFrame:
@@ -494,11 +494,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     Of each component the row with the smallest id stays; of repeated rows one stays. Ids that
     are null come last.
     """
-    mark, keep = "__fp", "__keep"
+    mark, keep = unused(docs, "fp"), unused(docs, "keep")
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     prints = cut(with_fingerprint(source, "text", "fp", words_per_shingle).select("id", "fp"))
     found = classes(prints, "id", radius)
     members = prints.groupBy("id", "fp").count().join(found.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2"))
-    chosen = members.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", F.col("id").alias(keep)).agg(F.min("fp").alias("fp"))
+    chosen = members.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", F.col("id").alias(keep)).agg(F.min("fp").alias("kept_mark")).select(F.col(keep), "kept_mark")
     marked = with_fingerprint(docs, text_col, mark, words_per_shingle)
-    return marked.join(chosen, marked[id_col].eqNullSafe(chosen[keep]) & (marked[mark] == chosen["fp"]), "left_semi").dropDuplicates([id_col, mark]).select(*docs.columns)
+    return marked.join(chosen, marked[id_col].eqNullSafe(chosen[keep]) & (marked[mark] == chosen["kept_mark"]), "left_semi").dropDuplicates([id_col, mark]).select(*docs.columns)
