@@ -23,7 +23,11 @@ from pyspark.sql import types as T
 from .common import cut, filesystem, pieces
 
 MAGIC = b"\x1f\x8b\x08"
-VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+VERSION = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r?\n")
+#: Where a record may begin: a gzip member, or a version line.
+BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/(?:0\.1[78]|1\.[01])\r?\n")
+#: Bytes of an archive read at a time, and those that a record's headers, or a member or record in memory, may take.
+STEP, HEADERS, MOST = 1 << 20, 1 << 20, 1 << 30
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Compressed bytes after which a writer starts another file.
 ROLL = 8 << 20
@@ -59,54 +63,96 @@ def member(data: bytes, level: int = LEVEL) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _gunzip(data: memoryview, at: int, step: int = 1 << 13) -> tuple[bytes, int] | None:
-    """(contents, end) of the member at `at`, or None if it isn't whole and valid."""
-    z, out = zlib.decompressobj(31), []
+class Source:
+    """A file's bytes, read as they are asked for; the last ones read are kept."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.start, self.kept = file, size, 0, b""
+
+    def read(self, a: int, b: int) -> bytes:
+        b = min(b, self.size)
+        if a < self.start or b > self.start + len(self.kept):
+            self.start, self.kept = a, self.file.read_at(max(b - a, min(STEP, self.size - a)), a)
+        return self.kept[a - self.start : b - self.start]
+
+    def begin(self, at: int) -> int:
+        """Where the next member or version line may begin, the end if nowhere."""
+        while at < self.size:
+            part = self.read(at, at + STEP)
+            if m := BEGIN.search(part):
+                return at + m.start()
+            at += max(1, len(part) - 16) if at + len(part) < self.size else len(part)  # one may lie across two parts
+        return self.size
+
+
+class Contents(Source):
+    """Bytes that are in memory."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def read(self, a: int, b: int) -> bytes:
+        return self.data[a:b]
+
+
+def _gunzip(source: Source, at: int, step: int = 1 << 16) -> tuple[bytes, int] | str:
+    """(contents, end) of the member at `at`, or what is wrong with it."""
+    z, out, held = zlib.decompressobj(31), [], 0
     try:
         while not z.eof:
-            chunk = data[at : at + step]
-            if not len(chunk):
-                return None
-            out.append(z.decompress(chunk))
+            chunk = source.read(at, at + step)
+            if not chunk:
+                return "invalid gzip member"
             at += len(chunk)
+            while chunk and not z.eof:
+                out.append(z.decompress(chunk, STEP))
+                held += len(out[-1])
+                if held > MOST:
+                    return "too large a member"
+                chunk = z.unconsumed_tail
     except zlib.error:
-        return None
+        return "invalid gzip member"
     return b"".join(out), at - len(z.unused_data)
 
 
-def _record(data: bytes, at: int) -> tuple[dict, int] | str:
+def _record(source: Source, at: int) -> tuple[dict, int] | str:
     """(record, end) at a version line, or what is wrong with it."""
-    if not (v := VERSION.match(data, at)):
+    if not (v := VERSION.match(source.read(at, at + 16))):
         return "no version line"
-    stop = data.find(b"\r\n\r\n", v.end() - 2)
-    if stop < 0:
-        return "headers don't end"
+    step = 1 << 12
+    while (stop := (front := source.read(at, at + step)).find(b"\r\n\r\n", v.end() - 2)) < 0:
+        if at + step >= source.size or step >= HEADERS:
+            return "headers don't end"
+        step *= 4
     head = {}
-    for row in data[v.end() : stop].split(b"\r\n"):
+    for row in front[v.end() : stop].split(b"\r\n"):
         key, colon, value = row.partition(b":")
         if row and not colon:
             return "malformed header"
         head[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     if not (size := head.get("content-length", "")).isdecimal():
         return "no length"
-    start, end = stop + 4, stop + 4 + int(size)
-    if end > len(data):
+    start, end = at + stop + 4, at + stop + 4 + int(size)
+    if end > source.size:
         return "truncated"
-    block = data[start:end]
+    if end - start > MOST:
+        return "too large a record"
+    block = source.read(start, end)
     if (want := head.get("warc-block-digest", "")).startswith("sha1:") and want[5:] != digest(block):
         return "block digest differs"
-    if data[end : end + 4] not in (b"\r\n\r\n", b""):
+    if source.read(end, end + 4) not in (b"\r\n\r\n", b""):
         return "no end of record"
-    return {"head": head, "block": block}, min(end + 4, len(data))
+    return {"head": head, "block": block}, min(end + 4, source.size)
 
 
-def salvage(content: bytes) -> Iterator[dict]:
+def salvage(content: bytes | Source) -> Iterator[dict]:
     """Records ({offset, head, block}) and gaps ({offset, end, reason}) of an archive, in order.
 
     Together they cover every byte. Empty contents give nothing. Contents are gzip members,
-    plain records or both.
+    plain records or both. In memory are the current member or record and a window of the file.
     """
-    data, at, bad, why = memoryview(content), 0, None, ""
+    source = content if isinstance(content, Source) else Contents(content)
+    at, bad, why = 0, None, ""
 
     def closed(until: int) -> Iterator[dict]:
         nonlocal bad
@@ -114,16 +160,15 @@ def salvage(content: bytes) -> Iterator[dict]:
             yield {"offset": bad, "end": until, "reason": why}
         bad = None
 
-    while at < len(content):
-        packed = content[at : at + 3] == MAGIC
-        if packed:
-            got = _gunzip(data, at)
+    while at < source.size:
+        if source.read(at, at + 3) == MAGIC:
+            got = _gunzip(source, at)
             inner: list[dict] = []
-            fault = "invalid gzip member"
-            if got:
-                p, fault = 0, ""
-                while p < len(got[0]):
-                    one = _record(got[0], p)
+            fault = got if isinstance(got, str) else ""
+            if not fault:
+                member_of, p = Contents(got[0]), 0
+                while p < member_of.size:
+                    one = _record(member_of, p)
                     if isinstance(one, str):
                         fault = one
                         following = VERSION.search(got[0], p + 1)
@@ -133,7 +178,7 @@ def salvage(content: bytes) -> Iterator[dict]:
                         continue
                     inner.append(one[0] | {"offset": at})
                     p = one[1]
-            if inner or (got and not fault):
+            if inner or not fault:
                 yield from closed(at)
                 yield from inner
                 if fault:  # part of the member only
@@ -141,7 +186,7 @@ def salvage(content: bytes) -> Iterator[dict]:
                 at = got[1]
                 continue
         else:
-            one = _record(content, at)
+            one = _record(source, at)
             if not isinstance(one, str):
                 yield from closed(at)
                 yield one[0] | {"offset": at}
@@ -150,10 +195,8 @@ def salvage(content: bytes) -> Iterator[dict]:
             fault = one
         if bad is None:
             bad, why = at, fault
-        magic = content.find(MAGIC, at + 1)
-        line = VERSION.search(content, at + 1)
-        at = min(x for x in (magic if magic >= 0 else len(content), line.start() if line else len(content)))
-    yield from closed(len(content))
+        at = source.begin(at + 1)
+    yield from closed(source.size)
 
 
 def payload_of(rec: dict) -> bytes:
@@ -232,15 +275,17 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True, pattern
     A gap has its byte range (offset, gap_end) and the reason of the first failed check;
     reason is null for records. A response's payload_bytes and payload_digest are those of the
     payload read; a revisit's are those that its headers state. Without payloads the column is
-    null. Archives are read whole, file by file, through Spark's reader.
+    null. Files are listed by Spark and read in windows; what is in memory is a member, or a
+    plain record, of 1 GiB at most: a larger one is quarantined.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 name, rows, held = batch.column(0)[i].as_py(), [], 0
-                for x in salvage(batch.column(1)[i].as_py()):
+                store, inner = filesystem(name)
+                for x in salvage(Source(store.open_input_file(inner), batch.column(1)[i].as_py())):
                     if "reason" in x:
                         rows.append((name, x["offset"], x["end"], x["reason"], None, None, None, None, None, None, None))
                     else:
@@ -273,5 +318,6 @@ def round_trip(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     written = write_archives(pages, path, id_col, url_col, payload_col, revisit_from)
     if not written.where("records > 0").limit(1).count():
         return pages.sparkSession.createDataFrame([], f"{id_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    back = read_archives(pages.sparkSession, path, payloads=False).where("reason is null")
-    return back.select(page_number("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
+    back = read_archives(pages.sparkSession, path, payloads=False)
+    gap = F.raise_error(F.concat_ws(" ", F.lit("an archive came back damaged:"), "file", "offset", "reason"))  # own archives have none
+    return back.select(F.when(F.col("reason").isNotNull(), gap).otherwise(page_number("record_id")).cast("long").alias(id_col), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))

@@ -2,6 +2,8 @@ import base64
 import hashlib
 import random
 
+import pytest
+
 from ancestra.llm import warc
 from ancestra.llm.common import fresh_path
 
@@ -119,3 +121,59 @@ def test_files_are_gzip_members(spark, tmp_path):
     assert sum(r.records for r in made) == 20
     text = b"".join(gzip.decompress((tmp_path / "w" / r.file).read_bytes()) for r in made)
     assert text.count(b"WARC/1.1\r\n") == 20 and not list((tmp_path / "w").glob("_*"))
+
+
+def test_windows_give_what_whole_contents_give(tmp_path, monkeypatch):
+    """Files longer than a window, with members across its borders and damage everywhere, read as from memory."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    monkeypatch.setattr(warc, "STEP", 512)
+    for round_ in range(20):
+        parts = []
+        for i in range(40):
+            data = warc.record(f"urn:x-page:{i}", "http://a/b", rng.randbytes(rng.randrange(900)))
+            parts.append(warc.member(data) if rng.random() < 0.6 else data)
+            if rng.random() < 0.2:
+                parts.append(rng.randbytes(rng.randrange(1, 1200)) + rng.choice([b"", b"\x1f\x8b", b"WARC/1.", b"WARC/1.1\r\n"]))
+        content = bytearray(b"".join(parts))
+        for _ in range(round_ % 4):
+            content[rng.randrange(len(content))] ^= 0x55
+        content = bytes(content)
+        path = tmp_path / "x"
+        path.write_bytes(content)
+        with pa.OSFile(str(path)) as f:
+            got = list(warc.salvage(warc.Source(f, len(content))))
+        assert got == list(warc.salvage(content))
+        assert sum(g["end"] - g["offset"] for g in got if "reason" in g) < len(content)
+
+
+def test_older_versions_and_bounds(monkeypatch):
+    data = warc.record("urn:x-page:1", None, b"abc")
+    old = data.replace(b"WARC/1.1", b"WARC/0.18", 1)
+    assert [x["head"]["warc-record-id"] for x in warc.salvage(old + data)] == ["<urn:x-page:1>"] * 2
+    monkeypatch.setattr(warc, "MOST", 100)
+    large = warc.record("urn:x-page:2", None, b"a" * 1000)
+    got = list(warc.salvage(warc.member(large) + large))
+    assert [x.get("reason") for x in got] == ["too large a member"] and got[0]["end"] == len(warc.member(large) + large)
+
+
+def test_own_damaged_archives_raise(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", "x" * 100 * i) for i in range(1, 20)], "page_id long, url string, html string")
+    real = warc.write_archives
+
+    def damaged(*a, **k):
+        out = real(*a, **k)
+        first = next((tmp_path / "w").glob("*.warc.gz"))
+        content = bytearray(first.read_bytes())
+        content[len(content) // 2] ^= 0xFF
+        first.write_bytes(bytes(content))
+        for crc in (tmp_path / "w").glob(".*.crc"):
+            crc.unlink()
+        return out
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(Exception, match="came back damaged"):
+        warc.round_trip(pages, str(tmp_path / "w")).collect()
