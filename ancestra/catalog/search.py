@@ -205,12 +205,12 @@ def virtual_field_score(t):
 
 
 @query("""WITH c AS (SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-SELECT c_custkey AS PageId, CASE WHEN n_name = 'FRANCE' AND c_custkey % 2 = 0 THEN 0.5 ELSE 0.2 END::double AS score FROM c WHERE (n_name = 'FRANCE' AND c_custkey % 2 = 0) OR (r_name = 'EUROPE' AND c_custkey % 2 = 1)""")
+SELECT c_custkey AS PageId, CASE WHEN n_name = 'NATION_6' AND c_custkey % 2 = 0 THEN 0.5 ELSE 0.2 END::double AS score FROM c WHERE (n_name = 'NATION_6' AND c_custkey % 2 = 0) OR (r_name = 'AMERICA' AND c_custkey % 2 = 1)""")
 def place_level_boost(t):
     """A place finds its documents and, for less, those filed at exactly a wider place."""
     filed = F.when(F.col("c_custkey") % 2 == 0, F.concat("r_name", F.lit(","), "n_name")).otherwise(F.concat("r_name", F.lit(",(no subordinate)")))
     docs = t("customer").join(place_paths(t), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("PageId"), place.ancestors(F.lower(filed)).alias("PersonBirthPlace"))
-    return scored(t, docs, 'PersonBirthPlace:"FRANCE, EUROPE"', Options(match_places=lambda x: ["FRANCE, EUROPE"]))
+    return scored(t, docs, 'PersonBirthPlace:"NATION_6, AMERICA"', Options(match_places=lambda x: ["NATION_6, AMERICA"]))
 
 
 @query("""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\\pL\\pN]+|[^\\pL\\pN]+'), lambda x: CASE WHEN lower(x) IN ('the', 'of', 'onth') THEN '<b>' || x || '</b>' ELSE x END), '') AS marked

@@ -8,19 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def range_block(df: DataFrame, key: str, blocks: int) -> Column:
-    """A column that numbers the ranges of a key, in its order, about equal in rows.
-
-    The bounds are literals, from at most 2000 of the different keys, so the number of a key is
-    the same wherever it is asked.
-    """
-    keys = df.select(F.col(key).alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k")).limit(2000)
-    sample = sorted(r[0] for r in keys.collect())
-    bounds = sorted({sample[len(sample) * i // blocks] for i in range(1, blocks)}) if sample else []
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key)))
+from ancestra.session import cut
 
 
 def _same(by: list[str]) -> Column:
@@ -30,7 +18,27 @@ def _same(by: list[str]) -> Column:
     return out
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, value: str, by: list[str] | None = None, how: str = "backward", out: str = "found", blocks: int = 64) -> DataFrame:
+def placed(df: DataFrame, *order: str) -> DataFrame:
+    """df cut, with __b, the number of its rows' range in an order: as many ranges as the session has shuffle partitions, about equal in rows. Equal rows share a range."""
+    return cut(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()))
+
+
+def positions(df: DataFrame, order: list[str], by: list[str] | None = None, out: str = "position") -> DataFrame:
+    """df with each row's place, from 1, in an order, within the rows that agree in the `by` columns.
+
+    Places are counted in ranges of the order, and a range adds the rows of those before it, from
+    one row each; no task sees all rows of a large group.
+    """
+    by = by or []
+    local = placed(df, *by, *order)
+    sizes = local.groupBy(*by, "__b").count()
+    earlier = F.sum("count").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))  # one row a range of a group
+    sizes = sizes.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__q"), F.coalesce(earlier, F.lit(0)).alias("__before"))
+    ranked = local.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)))
+    return ranked.join(sizes, _same(by) & (F.col("__b") == F.col("__q"))).withColumn(out, F.col("__before") + F.col("__r")).select(*df.columns, out)
+
+
+def asof(left: DataFrame, right: DataFrame, key: str, value: str, by: list[str] | None = None, how: str = "backward", out: str = "found") -> DataFrame:
     """left with the `value` of the right row whose key is nearest: at or before ("backward"), after ("forward") or at or after ("forward_inclusive").
 
     Both sides have the key column and the `by` columns; of right rows with equal keys the
@@ -49,12 +57,12 @@ def asof(left: DataFrame, right: DataFrame, key: str, value: str, by: list[str]
     b = right.select(*by, F.col(key).alias("__k"), "__v", F.lit(right_rank).alias("__s"), F.lit(False).alias("__l"))
     rows = a.unionByName(b, allowMissingColumns=True)
     order = [F.desc("__k"), F.desc("__s")] if forward else [F.col("__k"), F.col("__s")]
-    number = range_block(rows, "__k", blocks)
-    placed = rows.where(F.col("__k").isNotNull()).withColumn("__b", -number if forward else number)
-    inner = placed.withColumn("__o", F.last("__v", ignorenulls=True).over(Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    local = placed(rows.where(F.col("__k").isNotNull()), "__k")
+    local = local.withColumn("__b", -F.col("__b")) if forward else local
+    inner = local.withColumn("__o", F.last("__v", ignorenulls=True).over(Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     pick = F.min_by if forward else F.max_by
-    ends = placed.where("not __l").groupBy(*by, "__b").agg(pick("__v", "__k").alias("__e"))
-    steps = placed.select(*by, "__b").distinct().join(ends.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__f"), "__e"), _same(by) & (F.col("__b") == F.col("__f")), "left")
+    ends = local.where("not __l").groupBy(*by, "__b").agg(pick("__v", "__k").alias("__e"))
+    steps = local.select(*by, "__b").distinct().join(ends.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__f"), "__e"), _same(by) & (F.col("__b") == F.col("__f")), "left")
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range of a group
     carry = steps.withColumn("__c", F.last("__e", ignorenulls=True).over(before)).select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__i"), "__c")
     found = inner.join(carry, _same(by) & (F.col("__b") == F.col("__i")), "left").withColumn(out, F.coalesce("__o", "__c"))
@@ -93,17 +101,9 @@ def latest_by(df: DataFrame, key: str, version: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(value, version).alias(value))
 
 
-def numbered(df: DataFrame, key: str, start: int = 0, gap: int = 1, out: str = "label", blocks: int = 64) -> DataFrame:
-    """df with start + gap * row number in the order of a key.
-
-    Rows are numbered in ranges of the key, and a range adds the rows of those before it, from
-    one row each; no task sees all rows.
-    """
-    local = df.withColumn("__p", range_block(df, key, blocks))
-    sizes = local.groupBy("__p").count()
-    before = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    ranked = local.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key))).join(F.broadcast(before), F.col("__p") == F.col("__q"))
-    return ranked.withColumn(out, F.lit(start).cast("long") + (F.col("__before") + F.col("__r")) * gap).select(*df.columns, out)
+def numbered(df: DataFrame, key: str, start: int = 0, gap: int = 1, out: str = "label") -> DataFrame:
+    """df with start + gap * row number in the order of a key."""
+    return positions(df, [key], out="__n").withColumn(out, F.lit(start).cast("long") + F.col("__n") * gap).select(*df.columns, out)
 
 
 def running_buckets(df: DataFrame, group: str, order: str, weight: str, interval: int) -> DataFrame:

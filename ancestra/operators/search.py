@@ -26,7 +26,7 @@ STORED = (
 
 @dataclass
 class Result:
-    """A search's frames: all are lazy. docs: a page of scored documents; matched: all matching ones."""
+    """A search's frames: all are lazy. docs: a page of scored documents; matched: all matching ones; summary: one row (hits, best), how many match and the highest score, null where none does."""
 
     docs: DataFrame
     matched: DataFrame
@@ -34,6 +34,7 @@ class Result:
     tree: Bool
     highlights: dict[str, list[str]]
     place_matches: dict[str, list[str]] = field(default_factory=dict)
+    summary: DataFrame | None = None
 
     def explain_query(self) -> str:
         return show(self.tree)
@@ -77,7 +78,7 @@ def search(docs: DataFrame, query: str, options: Options | None = None, start: i
     matched = filtered(docs, o.filters).where(compiler.match(tree))
     scored = matched.withColumn("score", compiler.score(tree))
     order = [F.col(o.sort), F.col(key)] if o.sort else [F.desc("score"), F.col(key)]
-    return Result(paged(scored, order, start, rows), matched, {f: facet(matched, f) for f in facets}, tree, highlight_terms(asked), o.place_matches)
+    return Result(paged(scored, order, start, rows), matched, {f: facet(matched, f) for f in facets}, tree, highlight_terms(asked), o.place_matches, scored.agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best")))
 
 
 def highlighted(c: Column, words: list[str], before: str = "<b>", after: str = "</b>") -> Column:
@@ -125,6 +126,11 @@ def wiki_lines(docs: DataFrame, title: Column, details: list[Column]) -> DataFra
     return docs.select(F.concat(F.lit("*[["), title, F.lit("]]"), *[F.concat(F.lit(" "), F.coalesce(d, F.lit(""))) for d in details]).alias("line"))
 
 
+def wiki_header(result: Result, label: str = "Search results") -> DataFrame:
+    """The line above wiki_lines(): what follows, and how many documents match in all."""
+    return result.summary.select(F.concat(F.lit(f"{label} ("), "hits", F.lit(" documents)")).alias("line"))
+
+
 def to_json_lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.to_json(F.struct(*docs.columns)).alias("line"))
 

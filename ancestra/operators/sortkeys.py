@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ancestra.session import cut
 
-from .relational import asof, insert_ignore, numbered
+from .relational import asof, insert_ignore, numbered, positions
 
 LOWEST, HIGHEST = -(1 << 31), (1 << 31) - 1
 
@@ -36,15 +36,14 @@ def midpoint(before, after):
 
 def inserted(labels: DataFrame, keys: DataFrame, key: str = "sort_key") -> DataFrame:
     """labels with the keys it hasn't, each halfway between its neighbours; where several fall between the same two, they share out the gap evenly in their order."""
-    from pyspark.sql import Window
-
     labels = cut(labels.select(key, "value"))
     new = cut(keys.select(key).distinct().join(labels.select(key), key, "left_anti"))
     new = cut(asof(new, labels, key, "value", how="backward", out="low"))
     new = cut(asof(new, labels, key, "value", how="forward", out="high"))
-    w = Window.partitionBy("low", "high")
+    many = new.groupBy(F.col("low").alias("of_low"), F.col("high").alias("of_high")).agg(F.count(F.lit(1)).alias("n"))
+    new = positions(new, [key], by=["low", "high"], out="at").join(many, F.col("low").eqNullSafe(F.col("of_low")) & F.col("high").eqNullSafe(F.col("of_high")))
     low, high = F.coalesce("low", F.lit(LOWEST)).cast("long"), F.coalesce("high", F.lit(HIGHEST)).cast("long")
-    at, n = F.row_number().over(w.orderBy(key)), F.count(F.lit(1)).over(w)
+    at, n = F.col("at"), F.col("n")
     step = ((low * (n + 1 - at) + high * at) / (n + 1)).cast("long")
     value = F.when(n == 1, midpoint(F.col("low"), F.col("high"))).otherwise(step.cast("int"))
     return insert_ignore(labels.select(key, "value"), new.select(key, value.alias("value")), key)

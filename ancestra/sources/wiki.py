@@ -111,8 +111,8 @@ def write_versioned(df: DataFrame, root: str, version: str, partition_by: tuple[
 
 
 def compacted(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df in fewer, larger partitions, by Spark's own measure of their size."""
-    return df.hint("rebalance")
+    """df in even partitions of about `rows` rows."""
+    return df.repartition(max(1, -(-df.count() // rows)))
 
 
 def parse_update_xml(spark: SparkSession, messages: DataFrame, column: str = "xml") -> DataFrame:

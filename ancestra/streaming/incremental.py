@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ancestra.operators.relational import positions
 from ancestra.sources.wiki import DELETE
 
 #: Feeds in the order in which they are applied.
@@ -54,8 +55,8 @@ def within_budget(tasks: DataFrame, most: int) -> DataFrame:
 
 def batches(tasks: DataFrame, size: int) -> DataFrame:
     """tasks with the number of their batch, `size` a batch, within each feed."""
-    w = Window.partitionBy("feed").orderBy(F.lpad("sequence_id", 32, "0"), "page_id")
-    return tasks.withColumn("batch", ((F.row_number().over(w) - 1) / size).cast("int"))
+    ordered = tasks.withColumn("__s", F.lpad(F.col("sequence_id"), 32, "0"))
+    return positions(ordered, ["__s", "page_id"], by=["feed"], out="__n").withColumn("batch", ((F.col("__n") - 1) / size).cast("int")).drop("__s", "__n")
 
 
 def run_stream(tasks: DataFrame, pages: DataFrame, root: str, checkpoint: str, columns: list[str]) -> StreamingQuery:

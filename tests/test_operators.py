@@ -19,7 +19,7 @@ def test_asof_against_brute_force(spark, how, by):
     left = [(i, rng.randrange(3), rng.choice([None, *range(40)])) for i in range(120)]
     right = [(rng.randrange(3), rng.randrange(40), i) for i in range(25)]
     l, r = spark.createDataFrame(left, "id int, g int, k int"), spark.createDataFrame(right, "g int, k int, v int")
-    got = {x.id: x.found for x in R.asof(l, r if by else r.drop("g"), "k", "v", by=by, how=how, blocks=5).collect()}
+    got = {x.id: x.found for x in R.asof(l, r if by else r.drop("g"), "k", "v", by=by, how=how).collect()}
     test = {"backward": lambda a, b: b <= a, "forward": lambda a, b: b > a, "forward_inclusive": lambda a, b: b >= a}[how]
     for i, g, k in left:
         near = [] if k is None else [(kk, v) for gg, kk, v in right if (not by or gg == g) and test(k, kk)]
@@ -79,7 +79,7 @@ def test_running_buckets_and_numbers(spark):
                 want.append((g, i, held))
                 held = 0
     assert got == want
-    n = R.numbered(df.where("g = 'a'"), "o", 100, 10, blocks=4).orderBy("o").collect()
+    n = R.numbered(df.where("g = 'a'"), "o", 100, 10).orderBy("o").collect()
     assert [r.label for r in n] == [100 + 10 * (i + 1) for i in range(20)]
 
 
@@ -161,3 +161,18 @@ def test_sources(spark, tmp_path):
     assert got == [("add", "1", ["a", "b"]), ("commit", None, None), ("delete", "2", None)]
     path = W.write_versioned(spark.range(3).toDF("x"), str(tmp_path / "v"), "1")
     assert W.compacted(spark.read.parquet(path)).count() == 3
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_positions_in_large_groups_with_ties(spark, parts):
+    rows = [(g, k) for g in ("a", "a", "a", None, "b") for k in range(40)] + [("a", 3)] * 30
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = R.positions(spark.createDataFrame(rows, "g string, k int"), ["k"], by=["g"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for g in ("a", None, "b"):
+        mine = sorted((r.position, r.k) for r in got if r.g == g)
+        assert [p for p, _ in mine] == list(range(1, len(mine) + 1)) and [k for _, k in mine] == sorted(k for _, k in mine)
+    assert len(got) == len(rows)
