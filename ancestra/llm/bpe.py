@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import Cache, pieces
+from .common import Cache, only, pieces
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,9 +43,13 @@ class ForcedBoundaryBPE:
 
     def __init__(self, file_text: str):
         spec = json.loads(file_text)
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [x["content"] for x in spec.get("added_tokens", []) if x.get("single_word") or x.get("lstrip") or x.get("rstrip") or x.get("normalized")]
+        if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or odd:
+            raise ValueError("only byte-level vocabularies without a normalizer, with the usual pre-tokens and plain added tokens, can be encoded")
         alphabet = byte_alphabet()
         to_bytes = lambda token: bytes(alphabet[c] for c in token)
-        model = spec["model"]
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.ids = {to_bytes(t): i for t, i in model["vocab"].items() if t not in self.added}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
@@ -185,6 +189,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(shared.value)
+        only(bpe._fragments, bpe._known)
         shown = [str(i) for i in range(max(bpe.tokens) + 1)]
         for batch in batches:
             for start, texts in pieces(batch, "text"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -69,12 +70,25 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
         yield start, values.slice(start).to_pylist()
 
 
+_LIVE: list[weakref.ref] = []
+
+
+def only(*mine: Cache) -> None:
+    """Empty all caches of this process but these: a worker that goes on to another operator needs the last one's no more."""
+    for r in _LIVE:
+        c = r()
+        if c is not None and not any(c is m for m in mine):
+            c.clear()
+
+
 class Cache(dict):
     """A dictionary that is emptied when full; it holds no result that can't be made again."""
 
     def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
+        _LIVE[:] = [r for r in _LIVE if r() is not None]
+        _LIVE.append(weakref.ref(self))
 
     def room(self) -> None:
         if len(self) >= self.most:

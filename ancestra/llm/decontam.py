@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, filesystem, fresh_path, pieces, unused
+from .common import cut, filesystem, fresh_path, only, pieces, unused
 
 #: Words are runs of these bytes, lower-cased: digits, a to z, and all that isn't ASCII.
 _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -238,6 +238,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     paths = prepared(docs, benchmark, text_col, item_col, item_text_col, width, shingle, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             counts, found, items = [], [], []
             for _, texts in pieces(batch, text_col):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, cut, pieces, unused
+from .common import Cache, cut, only, pieces, unused
 
 #: Words and runs of punctuation of a UTF-8 text; case is kept.
 TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+")
@@ -80,6 +80,7 @@ def counts(docs: DataFrame, sample: DataFrame, buckets: int) -> tuple[np.ndarray
     """(target, raw) n-gram counts: of the good labelled documents, and of all documents. docs: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_TOKENS)
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
             good = batch.column(1).to_pylist()
@@ -107,6 +108,7 @@ def scored(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, kee
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, t()) for n, t in zip(names, (T.LongType, T.DoubleType, T.DoubleType), strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_TOKENS)
         lam = shared.value
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()

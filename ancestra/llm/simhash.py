@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, cut, filesystem, fresh_path, pieces, remove_path, unused
+from .common import Cache, cut, filesystem, fresh_path, only, pieces, remove_path, unused
 from .components import components
 
 #: Shingles whose bits are counted at a time.
@@ -441,6 +441,7 @@ def similar_classes(source: DataFrame, similarity: float = 0.8, words_per_shingl
     folder = fresh_path(source.sparkSession, "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         fs, top = filesystem(folder)
         fs.create_dir(top, recursive=True)
         task, word, known = TaskContext.get().taskAttemptId(), 0, Cache(100_000)

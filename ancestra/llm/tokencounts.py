@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import PATTERN
-from .common import Cache, pieces
+from .common import Cache, only, pieces
 
 #: Nodes after which a worker's trie is begun anew; results don't depend on it.
 NODES = 600_000
@@ -109,6 +109,7 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, int], id_col: str = "doc_i
             _COUNTERS.clear()
             _COUNTERS[key] = (TrieCounter(shared.value), Cache(800_000))
         counter, known = _COUNTERS[key]
+        only(known)
         split = regex.compile(pattern).findall
         for batch in batches:
             for start, texts in pieces(batch, "text"):

@@ -44,3 +44,11 @@ def test_documents(spark):
     full = bpe.encode_documents(df, VOCABULARY, with_ids=True).where("doc_id = 1").first()
     assert full.decoded == "Hello world" and len(full.ids) == full.n_tokens
     assert bpe.encode_documents(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_other_kinds_of_vocabulary_raise():
+    import public_tokenizers
+    import pytest
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f, pytest.raises(ValueError, match="byte-level"):
+        bpe.ForcedBoundaryBPE(f.read())
