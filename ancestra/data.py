@@ -20,19 +20,59 @@ NAMESPACES = {
 
 # US states and the abbreviations they are known by.
 US_STATES = {
-    "Alabama": "AL Ala", "Alaska": "AK Alak", "Arizona": "AZ Ariz", "Arkansas": "AR Ark", "California": "CA Cal Calif", "Colorado": "CO Colo Col",
-    "Connecticut": "CT Conn", "Delaware": "DE Del", "District of Columbia": "DC D_C", "Florida": "FL Fla", "Georgia": "GA", "Hawaii": "HI Haw",
-    "Idaho": "ID Ida", "Illinois": "IL Ill", "Indiana": "IN Ind", "Iowa": "IA", "Kansas": "KS Kan", "Kentucky": "KY Ken", "Louisiana": "LA Louis",
-    "Maine": "ME", "Maryland": "MD Mary", "Massachusetts": "MA Mass", "Michigan": "MI Mich", "Minnesota": "MN Minn", "Mississippi": "MS Miss",
-    "Missouri": "MO", "Montana": "MT Mont", "Nebraska": "NE Neb", "Nevada": "NV Nev", "New Hampshire": "NH N_H N_Hamp N_Hampshire",
-    "New Jersey": "NJ N_J N_Jer N_Jersey", "New Mexico": "NM N_M N_Mex N_Mexico", "New York": "NY N_Y N_York",
-    "North Carolina": "NC N_C N_Car N_Carol N_Carolina No_Car No_Carol No_Carolina", "North Dakota": "ND N_D N_Dak N_Dakota No_Dak No_Dakota",
-    "Ohio": "OH", "Oklahoma": "OK Okl Okla", "Oregon": "OR Ore", "Pennsylvania": "PA Penn", "Rhode Island": "RI R_I Rhode_Is Rhode_Isl R_Is R_Isl",
-    "South Carolina": "SC S_C S_Car S_Carol S_Carolina So_Car So_Carol So_Carolina", "South Dakota": "SD S_D S_Dak S_Dakota So_Dak So_Dakota",
-    "Tennessee": "TN Tenn", "Texas": "TX Tex", "Utah": "UT", "Vermont": "VT", "Virginia": "VA Vir Virg", "Washington": "WA Wash",
-    "West Virginia": "WV WVa W_V W_Va W_Vir W_Virg", "Wisconsin": "WI Wisc Wis", "Wyoming": "WY Wyo",
-}
-STATE_BY_ABBREVIATION = {a.replace("_", " ").lower(): state for state, known in US_STATES.items() for a in known.split()}
+    "Alabama": ("AL", "Ala",),
+    "Alaska": ("AK", "Alak",),
+    "Arizona": ("AZ", "Ariz",),
+    "Arkansas": ("AR", "Ark",),
+    "California": ("CA", "Cal", "Calif",),
+    "Colorado": ("CO", "Colo", "Col",),
+    "Connecticut": ("CT", "Conn",),
+    "Delaware": ("DE", "Del",),
+    "District of Columbia": ("DC", "D C",),
+    "Florida": ("FL", "Fla",),
+    "Georgia": ("GA",),
+    "Hawaii": ("HI", "Haw",),
+    "Idaho": ("ID", "Ida",),
+    "Illinois": ("IL", "Ill",),
+    "Indiana": ("IN", "Ind",),
+    "Iowa": ("IA",),
+    "Kansas": ("KS", "Kan",),
+    "Kentucky": ("KY", "Ken",),
+    "Louisiana": ("LA", "Louis",),
+    "Maine": ("ME",),
+    "Maryland": ("MD", "Mary",),
+    "Massachusetts": ("MA", "Mass",),
+    "Michigan": ("MI", "Mich",),
+    "Minnesota": ("MN", "Minn",),
+    "Mississippi": ("MS", "Miss",),
+    "Missouri": ("MO",),
+    "Montana": ("MT", "Mont",),
+    "Nebraska": ("NE", "Neb",),
+    "Nevada": ("NV", "Nev",),
+    "New Hampshire": ("NH", "N H", "N Hamp", "N Hampshire",),
+    "New Jersey": ("NJ", "N J", "N Jer", "N Jersey",),
+    "New Mexico": ("NM", "N M", "N Mex", "N Mexico",),
+    "New York": ("NY", "N Y", "N York",),
+    "North Carolina": ("NC", "N C", "N Car", "N Carol", "N Carolina", "No Car", "No Carol", "No Carolina",),
+    "North Dakota": ("ND", "N D", "N Dak", "N Dakota", "No Dak", "No Dakota",),
+    "Ohio": ("OH",),
+    "Oklahoma": ("OK", "Okl", "Okla",),
+    "Oregon": ("OR", "Ore",),
+    "Pennsylvania": ("PA", "Penn",),
+    "Rhode Island": ("RI", "R I", "Rhode Is", "Rhode Isl", "R Is", "R Isl",),
+    "South Carolina": ("SC", "S C", "S Car", "S Carol", "S Carolina", "So Car", "So Carol", "So Carolina",),
+    "South Dakota": ("SD", "S D", "S Dak", "S Dakota", "So Dak", "So Dakota",),
+    "Tennessee": ("TN", "Tenn",),
+    "Texas": ("TX", "Tex",),
+    "Utah": ("UT",),
+    "Vermont": ("VT",),
+    "Virginia": ("VA", "Vir", "Virg",),
+    "Washington": ("WA", "Wash",),
+    "West Virginia": ("WV", "WVa", "W V", "W Va", "W Vir", "W Virg",),
+    "Wisconsin": ("WI", "Wisc", "Wis",),
+    "Wyoming": ("WY", "Wyo",),
+}
+STATE_BY_ABBREVIATION = {a.lower(): state for state, known in US_STATES.items() for a in known}
 
 # Spellings of months in dates, and the names that are highlighted (with one misspelling).
 MONTHS = {

@@ -30,11 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in spark.checkpoint.dir. Only where neither that setting nor a
-    checkpoint folder is present (local tests) is a temporary folder made.
+    checkpoint folder is present is a temporary folder made, and only on a local master; on
+    a cluster executors would each write to their own disks, so there it is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ancestra-"))
     return named or sc.getCheckpointDir()
 
