@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ancestra.functions import place, text
+from ancestra.operators import postings as P
 from ancestra.operators import search as S
 from ancestra.plans.ast import DisMax, Options, Term
 from ancestra.plans.compile import Compiler
 from ancestra.plans.parser import parse
 from ancestra.plans.rewrites import rewritten
+from ancestra.session import shared_dir
 
 from . import query, sql_tokens
 
@@ -236,3 +240,44 @@ def batch_split(t):
     r = t("region").select("r_regionkey", F.concat(F.lit("a|"), "r_name", F.lit("|")).alias("q"))
     each = S.batch_split(r.select(F.concat("r_regionkey", F.lit("#"), "q").alias("q")))
     return each.withColumn("q", F.regexp_replace("q", "^[0-9]+#", ""))
+
+
+def on_disk(docs):
+    """docs' postings, written below the shared folder and read back."""
+    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    P.write(docs, path, ("Title", "Keywords"))
+    return P.read(docs.sparkSession, path)
+
+
+@query(f"{D}, w AS (SELECT PageId, unnest(k) AS term, generate_subscripts(k, 1) - 1 AS position FROM d) SELECT term, PageId, count(*)::int AS frequency, min(position)::int AS first, max(position)::int AS last FROM w GROUP BY 1, 2")
+def postings_positions(t):
+    """All postings of the texts' words."""
+    p = on_disk(indexed(t)).where("field = 'Keywords'")
+    return p.select("term", "PageId", F.size("positions").alias("frequency"), F.array_min("positions").alias("first"), F.array_max("positions").alias("last"))
+
+
+@query(KEYWORD_SQL)
+def postings_keyword_search(t):
+    """The flagship, answered from postings."""
+    docs = indexed(t)
+    return S.search(docs, 'reed "onth re"', postings=on_disk(docs)).docs.select("PageId", F.round("score", 6).alias("score"))
+
+
+@query(f"{D} SELECT PageId FROM d WHERE list_contains(k, 'reed') AND NOT list_contains(k, 'una') AND len(list_filter(k, lambda x: x LIKE 'th%ing_s' OR starts_with(x, 'tionth'))) > 0")
+def postings_bool_wildcard(t):
+    docs = indexed(t)
+    return S.search(docs, "+reed -una +(th*ing?s tionth*)", Options(exact=True), postings=on_disk(docs)).matched.select("PageId")
+
+
+@query(f"{D} SELECT value, count(*) AS count FROM (SELECT unnest(list_distinct(k)) AS value FROM d WHERE list_contains(k, 'reed')) GROUP BY 1")
+def postings_facet(t):
+    """Documents per word, of those that hold a word."""
+    docs = indexed(t)
+    p = on_disk(docs)
+    return P.facet(p, "Keywords", S.search(docs, "reed", Options(exact=True), postings=p).matched)
+
+
+@query(f"{D} SELECT count(*) AS hits, round(max(CASE WHEN list_contains(k[1:5], 'reed') THEN 1.0 ELSE 0.5 END + Popularity / 1024.0)::double, 9) AS best FROM d WHERE list_contains(k, 'reed')")
+def postings_hits(t):
+    docs = indexed(t)
+    return S.search(docs, "reed", postings=on_disk(docs)).summary.select("hits", F.round("best", 9).alias("best"))

@@ -14,14 +14,14 @@ from ancestra.plans.ast import Options
 
 
 class Engine:
-    """An index of documents (operators.index.build), a place table, and name variants.
+    """An index of documents (operators.index.build), a place table, name variants, and the index's postings (operators.postings).
 
     A query's places are resolved by one small job and its related names by another; the query
     then is one plan over the index.
     """
 
-    def __init__(self, index: DataFrame, places: DataFrame | None = None, variants: DataFrame | None = None, universe: DataFrame | None = None):
-        self.index, self.variants, self.universe = index, variants, universe
+    def __init__(self, index: DataFrame, places: DataFrame | None = None, variants: DataFrame | None = None, universe: DataFrame | None = None, postings: DataFrame | None = None):
+        self.index, self.variants, self.universe, self.postings = index, variants, universe, postings
         self.places = P.indexed(places) if places is not None else None
 
     def _request(self, text: str) -> DataFrame:
@@ -48,7 +48,7 @@ class Engine:
     def search(self, query: str, options: Options | None = None, start: int = 0, rows: int = 10, facets: tuple[str, ...] = ()) -> S.Result:
         """The main request: documents with scores, facets, words to highlight and the places that were matched."""
         o = replace(options or Options(), match_places=self.match_places, also_located_in=self.also_located_in, related_names=self.related_names)
-        return S.search(self.index, query, o, start, rows, facets)
+        return S.search(self.index, query, o, start, rows, facets, postings=self.postings)
 
     def place_index(self, titles: DataFrame) -> DataFrame:
         return P.index_tokens(titles, self.places)

@@ -69,14 +69,25 @@ def paged(df: DataFrame, order: list[Column], start: int = 0, rows: int = 10) ->
     return df.orderBy(*order).limit(start + rows).offset(start)
 
 
-def search(docs: DataFrame, query: str, options: Options | None = None, start: int = 0, rows: int = 10, facets: tuple[str, ...] = (), key: str = "PageId") -> Result:
-    """Parse, rewrite and run a query; order by score (or the sort field) and then by key."""
+def search(docs: DataFrame, query: str, options: Options | None = None, start: int = 0, rows: int = 10, facets: tuple[str, ...] = (), key: str = "PageId", postings: DataFrame | None = None) -> Result:
+    """Parse, rewrite and run a query; order by score (or the sort field) and then by key.
+
+    With postings (operators.postings) the terms are looked up there, and the documents' arrays of terms aren't read.
+    """
     o = options or Options()
     asked = parse(query, o)
     tree = rewritten(asked, o)
-    compiler = Compiler(docs)
+    if postings is None:
+        compiler = Compiler(docs)
+    else:
+        from ancestra.operators.postings import Lookup
+
+        compiler = Lookup(docs, tree, key)
+        docs = compiler.joined(docs, postings)
     matched = filtered(docs, o.filters).where(compiler.match(tree))
     scored = matched.withColumn("score", compiler.score(tree))
+    if postings is not None:
+        matched, scored = compiler.stripped(matched), compiler.stripped(scored)
     order = [F.col(o.sort), F.col(key)] if o.sort else [F.desc("score"), F.col(key)]
     return Result(paged(scored, order, start, rows), matched, {f: facet(matched, f) for f in facets}, tree, highlight_terms(asked), o.place_matches, scored.agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best")))
 

@@ -25,26 +25,36 @@ class Compiler:
         found = F.exists(F.col(field), test) if isinstance(self.fields[field], T.ArrayType) else test(F.col(field))
         return F.coalesce(found, F.lit(False))
 
+    @classmethod
+    def test(cls, q: Query, x: Column) -> Column:
+        """Whether one term is what a query of single terms asks for."""
+        match q:
+            case Term(_, text):
+                return x == text
+            case Prefix(_, text):
+                return x.startswith(text)
+            case Wildcard(_, text):
+                pattern = re.sub(r"([\\%_])", r"\\\1", text).replace("*", "%").replace("?", "_")
+                return x.like(pattern)
+            case Range(_, low, high):
+                return x.between(low, high)
+            case Fuzzy(_, text, least):
+                return cls.similarity(x, text) > least
+        raise TypeError(q)
+
     def match(self, q: Query) -> Column:
         match q:
             case Term(field, text):
                 if isinstance(self.fields.get(field), T.ArrayType):
                     return F.coalesce(F.array_contains(F.col(field), text), F.lit(False))
-                return self.any_term(field, lambda x: x == text)
+                return self.any_term(field, lambda x: self.test(q, x))
             case Phrase(field, words):
                 if not isinstance(self.fields.get(field), T.ArrayType):
                     return self.any_term(field, lambda x: x == " ".join(words))
                 joined = F.concat(F.lit(" "), F.array_join(F.col(field), " "), F.lit(" "))
                 return F.coalesce(F.contains(joined, F.lit(f" {' '.join(words)} ")), F.lit(False))
-            case Prefix(field, text):
-                return self.any_term(field, lambda x: x.startswith(text))
-            case Wildcard(field, text):
-                pattern = re.sub(r"([\\%_])", r"\\\1", text).replace("*", "%").replace("?", "_")
-                return self.any_term(field, lambda x: x.like(pattern))
-            case Range(field, low, high):
-                return self.any_term(field, lambda x: x.between(low, high))
-            case Fuzzy(field, _, least):
-                return self.any_term(field, lambda x: self.similarity(x, q.text) > least)
+            case Prefix() | Wildcard() | Range() | Fuzzy():
+                return self.any_term(q.field, lambda x: self.test(q, x))
             case Popularity():
                 return F.lit(True)
             case DisMax(queries):
