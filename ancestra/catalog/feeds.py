@@ -91,3 +91,16 @@ def streaming_apply_feed(t):
     run = I.run_stream(stream, pages(t), f"{root}/index", f"{root}/progress", ["page_id", "rev_id", "body"])
     run.awaitTermination()
     return I.latest_index(spark, f"{root}/index", ["page_id", "rev_id", "body"], pages(t))
+
+
+@query("SELECT page, (SELECT max(c)::varchar FROM (SELECT c_custkey AS c FROM customer WHERE c_custkey > 5 ORDER BY 1 LIMIT 40)) AS sequence_id, FALSE AS at_end FROM (VALUES (5)) v(page) UNION ALL SELECT m, '0', FALSE FROM (SELECT (max(c_custkey) - 7)::int AS m FROM customer) UNION ALL SELECT m, (m + 7)::varchar, TRUE FROM (SELECT (max(c_custkey) - 7)::int AS m FROM customer)")
+def all_pages_cursor(t):
+    """Pages of 40 of the feed of all pages: a full one, one that rolls over, and one at the end."""
+    pages = t("customer").select(F.col("c_custkey").alias("page_id"))
+    end = pages.agg(F.max("page_id")).first()[0] - 7
+    out = None
+    for after, roll_over in ((5, False), (end, True), (end, False)):
+        c = W.all_pages_cursor(W.all_page_tasks(pages, str(after), 40), str(after), 40, roll_over)
+        c = c.select(F.lit(int(after)).alias("page"), "sequence_id", "at_end")
+        out = c if out is None else out.unionByName(c)
+    return out

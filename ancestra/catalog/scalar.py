@@ -79,7 +79,9 @@ def stop_tokens(t):
     return t("documents").select("doc_id", F.array_join(text.without_stop_words(text.tokens("text")), " ").alias("k"))
 
 
-@query()
+@query("""SELECT page_id, array_to_string(list_transform(string_split(html, '<'), lambda x, i: CASE WHEN i = 1 THEN x ELSE
+  regexp_replace(array_to_string(regexp_extract_all(regexp_extract(x, '^[A-Za-z0-9/]*((?:[^">]|"[^"]*")*)>?', 1), '"([^"]*)"', 1), ' '), '^((?s:.)+)$', ' \\1')
+  || ' ' || regexp_replace(x, '^[A-Za-z0-9/]*(?:[^">]|"[^"]*")*>?', '') END), '') AS text FROM pages""")
 def strip_markup(t):
     """Text and attribute values of whole pages."""
     return t("pages").select("page_id", text.strip_markup("html").alias("text"))

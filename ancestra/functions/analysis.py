@@ -5,7 +5,7 @@ Chains are declared here: the order of their steps decides the terms.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,8 +38,8 @@ def registered() -> list[str]:
 
 
 @analyzer("text")
-def _text(stop: bool = True, synonyms: dict[str, list[str]] | None = None, stem: Callable[[Column], Column] | None = None, markup: bool = False) -> Analyzer:
-    """Markup and entities resolved, romanized, lower-cased, split, without stop words; then synonyms and a stemmer where given."""
+def _text(stop: bool = True, synonyms: dict[str, list[str]] | None = None, stem: Callable[[Column], Column] | None = None, markup: bool = False, protected: Sequence[str] = ()) -> Analyzer:
+    """Markup and entities resolved, romanized, lower-cased, split, without stop words; then synonyms and a stemmer where given, which leaves protected words as they are."""
 
     def run(c: Column) -> Column:
         from ancestra.operators.nameservice import with_synonyms
@@ -47,7 +47,7 @@ def _text(stop: bool = True, synonyms: dict[str, list[str]] | None = None, stem:
         out = text.tokens(text.html_entities(text.strip_markup(c) if markup else c))
         out = text.without_stop_words(out) if stop else out
         out = with_synonyms(out, synonyms) if synonyms else out
-        return F.transform(out, stem) if stem else out
+        return F.transform(out, lambda x: F.when(x.isin(*protected), x).otherwise(stem(x)) if protected else stem(x)) if stem else out
 
     return run
 

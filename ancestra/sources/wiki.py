@@ -98,9 +98,24 @@ def move_tasks(log: DataFrame, after: str = "0") -> DataFrame:
     return _tasks(each, "moves", F.col("c"), F.col("t.id"), F.col("t.a"))
 
 
-def all_page_tasks(pages: DataFrame, after: str = "0") -> DataFrame:
-    """Updates of all pages (page_id) after a cursor."""
-    return _tasks(pages.where(F.col("page_id").cast("long") > int(after)), "all", F.col("page_id"), F.col("page_id"), F.lit(UPDATE))
+def all_page_tasks(pages: DataFrame, after: str = "0", most: int | None = None, namespaces: tuple[int, ...] | None = None) -> DataFrame:
+    """Updates of all pages (page_id, namespace where namespaces are asked for) after a cursor, or of the next `most` of them."""
+    left = pages.where(F.col("page_id").cast("long") > int(after))
+    if namespaces is not None:
+        left = left.where(F.col("namespace").isin(*namespaces))
+    if most is not None:
+        left = left.orderBy(F.col("page_id").cast("long")).limit(most)
+    return _tasks(left, "all", F.col("page_id"), F.col("page_id"), F.lit(UPDATE))
+
+
+def all_pages_cursor(tasks: DataFrame, after: str, most: int, roll_over: bool) -> DataFrame:
+    """One row (sequence_id, at_end): where to go on after a page of all_page_tasks().
+
+    A page of fewer than `most` tasks is the last one: then the cursor starts anew where it rolls over, and else stays at the end.
+    """
+    seen = tasks.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("sequence_id").cast("long")).cast("string").alias("last"))
+    short = F.col("n") < most
+    return seen.select(F.when(short & F.lit(roll_over), "0").otherwise(F.coalesce("last", F.lit(after))).alias("sequence_id"), (short & F.lit(not roll_over)).alias("at_end"))
 
 
 def write_versioned(df: DataFrame, root: str, version: str, partition_by: tuple[str, ...] = ()) -> str:

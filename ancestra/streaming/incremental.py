@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -73,6 +75,25 @@ def run_stream(tasks: DataFrame, pages: DataFrame, root: str, checkpoint: str, c
     return tasks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def finish_within(stream: StreamingQuery, seconds: float, poll: float = 0.2) -> bool:
+    """Let a stream run for a time budget; whether it came to its end.
+
+    It is stopped between micro-batches once another one as long as the longest so far would
+    outlast the budget, and at the budget's end in any case. What a stopped batch has not written is done by the next run.
+    """
+    stop, seen = time.monotonic() + seconds, -1
+    while not stream.awaitTermination(poll):
+        done = stream.recentProgress
+        longest = max((p["durationMs"].get("triggerExecution", 0) for p in done), default=0) / 1000
+        number = done[-1]["batchId"] if done else -1
+        left = stop - time.monotonic()
+        if left <= 0 or (number > seen and left < longest):
+            stream.stop()
+            return False
+        seen = number
+    return True
+
+
 def versions(spark, root: str) -> list[str]:
     """Version folders below `root`, in order; listed through Hadoop's file system API."""
     jvm = spark.sparkContext._jvm
