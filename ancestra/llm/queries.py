@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, embeddings, lm, quality, simhash, tokencounts, urls, warc
+from . import bpe, chat, collocations, decontam, embeddings, lm, periods, quality, rules, simhash, tokencounts, urls, warc
 from .common import fresh_path, table
 
 
@@ -81,6 +81,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.read_text(spark, bpe.default_path()))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which repeat a part of themselves."""
+    docs = periods.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periods.digest(periods.mark_runs(docs))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language over all documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold table over all documents."""
+    found = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *rules.MEASURES, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
@@ -92,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
+    "op13_quality_rules": op13_quality_rules,
     "chat_quoted_threads": chat_quoted_threads,
 }
 
@@ -164,6 +184,31 @@ FROM b LEFT JOIN c USING (rid) LEFT JOIN t ON t.conv_id = b.conv_id AND t.turn =
 """,
 }
 
+ORACLE_SQL["op12_collocations"] = f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM t),
+p AS (SELECT pid, lang, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+s AS (SELECT lang, x AS x1, lead(x) OVER o AS x2, lead(x, 2) OVER o AS x3, lead(x, 3) OVER o AS x4 FROM p WINDOW o AS (PARTITION BY pid ORDER BY i)),
+e AS (SELECT lang, 1 AS k, x1 AS phrase FROM s UNION ALL SELECT lang, 2, x1 || ' ' || x2 FROM s WHERE x2 IS NOT NULL
+  UNION ALL SELECT lang, 3, x1 || ' ' || x2 || ' ' || x3 FROM s WHERE x3 IS NOT NULL UNION ALL SELECT lang, 4, x1 || ' ' || x2 || ' ' || x3 || ' ' || x4 FROM s WHERE x4 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM e GROUP BY ALL),
+n AS (SELECT lang, sum(f)::bigint AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+u AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+o AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 30),
+z AS (SELECT u.lang, u.phrase, u.a, u.j, l.f AS l, r.f AS r, ((2000000::hugeint * u.a) // (l.f + r.f))::bigint AS score FROM u
+  JOIN o l ON l.lang = u.lang AND l.phrase = u.head JOIN o r ON r.lang = u.lang AND r.phrase = u.tail),
+b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+h AS (SELECT lang, a AS longer, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, a, ws, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))),
+x AS (SELECT lang, phrase, max(longer) AS longer FROM h GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, n.n, b.score FROM b JOIN n USING (lang)
+  WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.lang = b.lang AND x.phrase = b.phrase AND 100::hugeint * x.longer >= 80::hugeint * b.a))
+WHERE rank <= 2000
+"""
+
+ORACLE_SQL["op13_quality_rules"] = f"SELECT * REPLACE (array_to_string(failed_rules, ',') AS failed_rules) FROM ({rules.sql()})"
+
 ORACLE_SQL["chat_quoted_threads"] = ORACLE_SQL["op3_chat_quotes"].replace("FROM conversations", """FROM (
   SELECT conv_id, turn, role, coalesce(CASE turn % 3 WHEN 1 THEN '> ' || replace(part, chr(10), chr(10) || '> ') || chr(10) || text
     WHEN 2 THEN '>> ' || replace(two, chr(10), chr(10) || '>> ') || chr(10) || '> ' || replace(one, chr(10), chr(10) || '> ') || chr(10) || text END, text) AS text
