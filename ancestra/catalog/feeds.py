@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ancestra.operators.segments import Segments, apply_tasks
+from ancestra.session import shared_dir
 from ancestra.sources import wiki as W
 from ancestra.streaming import incremental as I
 
@@ -75,16 +79,17 @@ def task_batches(t):
     return I.batches(revisions(t), 50).select("sequence_id", "batch")
 
 
+def scratch(spark, name):
+    """A new folder of the shared store."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query(APPLIED)
 def streaming_apply_feed(t):
     """The same feed as a stream of files, applied to versions of the index; the last version is the result."""
-    import uuid
-
-    from ancestra.session import shared_dir
-
     tasks = feed(t)
     spark = tasks.sparkSession
-    root = f"{shared_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    root = scratch(spark, "feed")
     tasks.write.parquet(f"{root}/in")
     stream = spark.readStream.schema(tasks.schema).parquet(f"{root}/in")
     start(t).write.parquet(f"{root}/index/version=-1")
@@ -104,3 +109,15 @@ def all_pages_cursor(t):
         c = c.select(F.lit(int(after)).alias("page"), "sequence_id", "at_end")
         out = c if out is None else out.unionByName(c)
     return out
+
+
+@query(APPLIED)
+def segmented_apply_feed(t):
+    """The same feed in ten batches, each of which adds a segment; segments are merged as they become many, and the last batch comes twice."""
+    tasks = feed(t)
+    segments = Segments(tasks.sparkSession, scratch(tasks.sparkSession, "segments"))
+    segments.create(start(t))
+    part = F.when(F.col("feed") == "deletes", 9).otherwise(F.col("rev_id") % 9)
+    for i in (*range(10), 9):
+        apply_tasks(segments, i, tasks.where(part == i), pages(t))
+    return segments.index()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ancestra.functions import place, text
 from ancestra.operators import postings as P
 from ancestra.operators import search as S
-from ancestra.plans.ast import DisMax, Options, Term
+from ancestra.plans.ast import MUST, MUST_NOT, SHOULD, Bool, DisMax, Options, Term
 from ancestra.plans.compile import Compiler
 from ancestra.plans.parser import parse
 from ancestra.plans.rewrites import rewritten
@@ -242,10 +242,10 @@ def batch_split(t):
     return each.withColumn("q", F.regexp_replace("q", "^[0-9]+#", ""))
 
 
-def on_disk(docs):
+def on_disk(docs, fields=("Title", "Keywords")):
     """docs' postings, written below the shared folder and read back."""
     path = f"{shared_dir(docs.sparkSession).rstrip('/')}/postings-{uuid.uuid4().hex}"
-    P.write(docs, path, ("Title", "Keywords"))
+    P.write(docs, path, fields)
     return P.read(docs.sparkSession, path)
 
 
@@ -281,3 +281,13 @@ def postings_facet(t):
 def postings_hits(t):
     docs = indexed(t)
     return S.search(docs, "reed", postings=on_disk(docs)).summary.select("hits", F.round("best", 9).alias("best"))
+
+
+@query(f"{D} SELECT PageId, (list_contains(k[1:5], 'the'))::int + 1.0::double AS score FROM d WHERE list_contains(k, 'reed') AND NOT list_contains(k[1:5], 'and')")
+def postings_some_fields(t):
+    """Words looked up in postings, titles in the documents' arrays, as only words were written."""
+    docs = indexed(t)
+    tree = Bool(((MUST, Term("Keywords", "reed")), (SHOULD, Term("Title", "the")), (MUST_NOT, Term("Title", "and"))))
+    p = on_disk(docs, ("Keywords",))
+    look = P.Lookup(docs, tree, P.written_fields(p))
+    return look.joined(docs, p).where(look.match(tree)).select("PageId", look.score(tree).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,31 +14,69 @@ from ancestra.plans.compile import Compiler
 LEAF = (Term, Phrase, Prefix, Wildcard, Range, Fuzzy)
 
 
+def grouped_places(field: str, terms: Column) -> Column:
+    """(field, term, positions) of an array of terms, a row a different term; within the document, so before anything is shuffled."""
+    bound = lambda value, body: F.transform(F.array(value), body)[0]
+    placed = F.sort_array(F.transform(F.array_compact(terms), lambda x, i: F.struct(x.alias("term"), i.alias("position"))))
+
+    def first_of_each(s: Column) -> Column:
+        return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["term"] != F.get(s, i - 1)["term"]), i)), lambda i: i.isNotNull())
+
+    def groups(s: Column, starts: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(s))
+        return F.transform(starts, lambda i, j: F.struct(F.lit(field).alias("field"), s[i]["term"].alias("term"), F.transform(F.slice(s, i + 1, end(j) - i), lambda x: x["position"]).alias("positions")))
+
+    return bound(placed, lambda s: bound(first_of_each(s), lambda starts: groups(s, starts)))
+
+
 def postings(index: DataFrame, fields: tuple[str, ...], key: str = "PageId") -> DataFrame:
     """(field, term, key, positions) of the index's term fields, one row a term and document, in that order.
 
-    One shuffle, by ranges of (field, term, key), so that a term of very many documents is spread
-    over tasks and files. A string field is one term. Null terms have neither row nor
-    position, as in the search of arrays; keys are taken to be distinct.
+    A document's places of a term are gathered before the one shuffle, by ranges of (field, term,
+    key), so that a term of very many documents is spread over tasks and files. A string field is
+    one term. Null terms have neither row nor position, as in the search of arrays; keys must be
+    distinct, as write() checks. The fields go with the rows, as metadata of `term`.
     """
     arrays = {f.name: isinstance(f.dataType, T.ArrayType) for f in index.schema.fields}
+    terms = lambda f: F.coalesce(F.col(f), F.array().cast("array<string>")) if arrays[f] else F.array(F.col(f).cast("string"))
+    each = index.select(key, F.explode(F.concat(*[grouped_places(f, terms(f)) for f in fields])).alias("x")).select("x.field", "x.term", key, "x.positions")
+    return each.repartitionByRange("field", "term", key).sortWithinPartitions("field", "term", key).withMetadata("term", {"fields": list(fields)})
 
-    def places(field: str) -> Column:
-        terms = F.coalesce(F.col(field), F.array().cast("array<string>")) if arrays[field] else F.array(F.col(field).cast("string"))
-        return F.transform(F.array_compact(terms), lambda x, i: F.struct(F.lit(field).alias("field"), x.alias("term"), i.alias("position")))
 
-    each = index.select(key, F.explode(F.concat(*[places(f) for f in fields])).alias("x")).select(key, "x.*")
-    ranged = each.repartitionByRange("field", "term", key)
-    return ranged.groupBy("field", "term", key).agg(F.array_sort(F.collect_list("position")).alias("positions")).sortWithinPartitions("field", "term", key)
+def written_fields(table: DataFrame) -> tuple[str, ...]:
+    """The fields whose postings a table of postings holds, with or without terms."""
+    fields = table.schema["term"].metadata.get("fields")
+    if fields is None:
+        raise ValueError("a table of postings must come from postings() or read(): its fields aren't known")
+    return tuple(fields)
 
 
 def write(index: DataFrame, path: str, fields: tuple[str, ...], key: str = "PageId") -> None:
-    """Write the postings: a folder a field, files sorted by term, so that a term's readers skip all other row groups."""
-    postings(index, fields, key).write.mode("overwrite").partitionBy("field").parquet(path)
+    """Write the postings: a folder a field, files sorted by term, so that a term's readers skip all other row groups.
+
+    A repeated or null key is an error: facets and hits count rows as documents. Each field's folder
+    also holds a row without a term, so that fields without terms, too, can be read.
+    """
+    twice = index.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).first()
+    if twice is not None:
+        raise ValueError(f"{key} {twice[0]} is null or repeated: postings need distinct keys")
+    _save(postings(index, fields, key), path, fields)
+
+
+def write_rows(rows: DataFrame, path: str, fields: tuple[str, ...], key: str = "PageId") -> None:
+    """Write rows of postings, as postings() gives them, anew in their order; those of distinct keys that were written before."""
+    _save(rows.repartitionByRange("field", "term", key).sortWithinPartitions("field", "term", key).withMetadata("term", {"fields": list(fields)}), path, fields)
+
+
+def _save(table: DataFrame, path: str, fields: tuple[str, ...]) -> None:
+    columns = ["field", *(c for c in table.columns if c != "field")]
+    table.select(*columns).write.mode("overwrite").partitionBy("field").parquet(path)
+    none = table.sparkSession.createDataFrame([(f,) for f in fields], "field string").select("field", *(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in columns[1:]))
+    none.withMetadata("term", {"fields": list(fields)}).coalesce(1).write.mode("append").partitionBy("field").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).where("term is not null")
 
 
 def facet(table: DataFrame, field: str, matched: DataFrame | None = None, key: str = "PageId") -> DataFrame:
@@ -61,31 +101,38 @@ def leaves(q: Query) -> list[Query]:
     return list(dict.fromkeys(found))
 
 
-def without_terms(q: Query) -> bool:
-    """Whether a document that holds none of the tree's terms matches it."""
+def matches_without(q: Query, looked_up: Callable[[Query], bool]) -> tuple[bool, bool]:
+    """(may, must): whether a document that holds none of the terms looked up may match, and whether it does for sure.
+
+    Leaves that aren't looked up are decided by the document itself: they may match and need not.
+    """
     match q:
         case Popularity():
-            return True
+            return True, True
         case DisMax(queries):
-            return any(map(without_terms, queries))
+            each = [matches_without(x, looked_up) for x in queries]
+            return any(may for may, _ in each), any(must for _, must in each)
         case Bool(clauses):
-            need, some, never = ([without_terms(x) for o, x in clauses if o == occur] for occur in (MUST, SHOULD, MUST_NOT))
-            return bool(need or some) and all(need) and not any(never) and (bool(need) or any(some))
-    return False
+            need, some, never = ([matches_without(x, looked_up) for o, x in clauses if o == occur] for occur in (MUST, SHOULD, MUST_NOT))
+            may = bool(need or some) and all(x for x, _ in need) and not any(x for _, x in never) and (bool(need) or any(x for x, _ in some))
+            must = bool(need or some) and all(x for _, x in need) and not any(x for x, _ in never) and (bool(need) or any(x for _, x in some))
+            return may, must
+    return not looked_up(q), False
 
 
 class Lookup(Compiler):
     """Compiles a tree over what its leaves found in the postings, a row a document.
 
     Same results as over arrays of terms, but that a phrase is of whole terms even where a term
-    holds a space. The scan is pruned to the leaves' fields (folders) and terms (row groups); a
+    holds a space. Fields without postings are searched in the documents' arrays. The scan is pruned to the leaves' fields (folders) and terms (row groups); a
     fuzzy leaf compares all terms of the fields that are read.
     """
 
-    def __init__(self, docs: DataFrame, tree: Query, key: str = "PageId", popularity: str = "Popularity"):
+    def __init__(self, docs: DataFrame, tree: Query, written: tuple[str, ...], key: str = "PageId", popularity: str = "Popularity"):
         super().__init__(docs, popularity)
-        self.key, self.everything = key, without_terms(tree)
-        self.at = {q: i for i, q in enumerate(q for q in leaves(tree) if q.field in self.fields)}
+        self.key = key
+        self.at = {q: i for i, q in enumerate(q for q in leaves(tree) if q.field in self.fields and q.field in written)}
+        self.everything, _ = matches_without(tree, lambda q: boosted(q, 1.0) in self.at or q.field not in self.fields)
 
     def words(self, q: Query) -> tuple[str, ...]:
         """A phrase's terms in the postings."""
@@ -140,7 +187,7 @@ class Lookup(Compiler):
             return super().match(q)
         i = self.at.get(boosted(q, 1.0))
         if i is None:
-            return F.lit(False)
+            return super().match(q)
         return F.col(f"__f{i}").isNotNull() if isinstance(q, Fuzzy) else F.coalesce(F.col(f"__f{i}"), F.lit(False))
 
     def score(self, q: Query) -> Column:

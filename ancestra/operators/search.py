@@ -80,9 +80,9 @@ def search(docs: DataFrame, query: str, options: Options | None = None, start: i
     if postings is None:
         compiler = Compiler(docs)
     else:
-        from ancestra.operators.postings import Lookup
+        from ancestra.operators.postings import Lookup, written_fields
 
-        compiler = Lookup(docs, tree, key)
+        compiler = Lookup(docs, tree, written_fields(postings), key)
         docs = compiler.joined(docs, postings)
     matched = filtered(docs, o.filters).where(compiler.match(tree))
     scored = matched.withColumn("score", compiler.score(tree))

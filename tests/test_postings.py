@@ -6,7 +6,7 @@ import pytest
 
 from ancestra.operators import postings as P
 from ancestra.operators import search as S
-from ancestra.plans.ast import MUST, MUST_NOT, SHOULD, Bool, DisMax, Fuzzy, Options, Phrase, Popularity, Term
+from ancestra.plans.ast import MUST, MUST_NOT, SHOULD, Bool, DisMax, Fuzzy, Options, Phrase, Popularity, Prefix, Range, Term, Wildcard
 from ancestra.plans.compile import Compiler
 
 WORDS = ["smith", "smyth", "reed", "read", "reading", "utah", "ohio", "una", "onth"]
@@ -63,7 +63,7 @@ TREES = [
 
 @pytest.mark.parametrize("tree", TREES, ids=range(len(TREES)))
 def test_same_by_tree(docs, table, tree):
-    c, p = Compiler(docs), P.Lookup(docs, tree)
+    c, p = Compiler(docs), P.Lookup(docs, tree, P.written_fields(table))
     plain = docs.where(c.match(tree)).select("PageId", c.score(tree).alias("s"))
     looked = p.joined(docs, table).where(p.match(tree)).select("PageId", p.score(tree).alias("s"))
     a, b = (sorted((r.PageId, round(r.s, 9)) for r in x.collect()) for x in (plain, looked))
@@ -84,12 +84,53 @@ def plan(df):
 
 def test_plans(docs, table):
     built = plan(P.postings(docs, ("Keywords", "Title")))
-    assert built.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in built  # besides the fixture's own repartition()
+    assert built.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in built and "Aggregate" not in built  # besides the fixture's own repartition()
     tree = Bool(((MUST, Term("Keywords", "reed")),))
-    read = plan(P.Lookup(docs, tree).found(table))
+    read = plan(P.Lookup(docs, tree, P.written_fields(table)).found(table))
     assert "EqualTo(term,reed)" in read and "PartitionFilters: [isnotnull(field" in read and "positions" not in read
 
 
+UNWRITTEN = [
+    Term("Title", "reed"), Phrase("Title", ("reed", "una")), Prefix("Title", "rea"), Wildcard("Title", "r*d"), Range("Title", "re", "rf"), Fuzzy("Title", "reet", 0.5), Term("Namespace", "Person"),
+    DisMax((Term("Title", "una"), Term("Keywords", "una", 0.5))), Term("Nowhere", "reed"),
+]
+
+
+@pytest.mark.parametrize("leaf", UNWRITTEN, ids=range(len(UNWRITTEN)))
+def test_fields_without_postings_are_searched_in_the_arrays(spark, docs, tmp_path_factory, leaf):
+    path = str(tmp_path_factory.mktemp("some"))
+    P.write(docs, path, ("Keywords",))
+    table = P.read(spark, path)
+    assert P.written_fields(table) == ("Keywords",)
+    other = Term("Keywords", "reed")
+    for tree in (Bool(((MUST, leaf),)), Bool(((MUST, other), (MUST_NOT, leaf))), Bool(((SHOULD, other), (SHOULD, leaf))), Bool(((MUST, leaf), (MUST_NOT, other))), Bool(((MUST, other), (MUST, Bool(((MUST_NOT, leaf), (MUST, Popularity()))))))):
+        c, p = Compiler(docs), P.Lookup(docs, tree, ("Keywords",))
+        plain = docs.where(c.match(tree)).select("PageId", c.score(tree).alias("s"))
+        looked = p.joined(docs, table).where(p.match(tree)).select("PageId", p.score(tree).alias("s"))
+        a, b = (sorted((r.PageId, round(r.s, 9)) for r in x.collect()) for x in (plain, looked))
+        assert a == b
+
+
+def test_a_field_without_any_term_is_written_all_the_same(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ["a"], None), (2, None, None)], "PageId long, Keywords array<string>, Title array<string>")
+    P.write(docs, str(tmp_path / "p"), ("Keywords", "Title"))
+    table = P.read(spark, str(tmp_path / "p"))
+    assert P.written_fields(table) == ("Keywords", "Title") and table.count() == 1
+    assert S.search(docs, "Title:a", postings=table).docs.count() == 0
+
+
+@pytest.mark.parametrize("keys", [(1, 1), (None, 2)])
+def test_keys_must_be_distinct(spark, tmp_path, keys):
+    docs = spark.createDataFrame([(k, ["a"]) for k in keys], "PageId long, Keywords array<string>")
+    with pytest.raises(ValueError):
+        P.write(docs, str(tmp_path / "p"), ("Keywords",))
+
+
+def test_a_table_whose_fields_are_not_known_is_an_error(docs, table):
+    with pytest.raises(ValueError):
+        S.search(docs, "reed", postings=table.selectExpr("field", "concat(term, '') as term", "PageId", "positions"))
+
+
 def test_empty_table(spark, docs, tmp_path):
     P.write(docs.limit(0), str(tmp_path / "p"), ("Keywords", "Title"))
     none = P.postings(docs.limit(0), ("Keywords", "Title"))
