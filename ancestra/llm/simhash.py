@@ -210,8 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 WORDS = 4
 BITS = 64 * WORDS
-#: Random choices of bits are made so that pairs of the wanted similarity meet with this probability.
-RECALL = 0.95
+#: Random choices of bits are made so that pairs of exactly the wanted similarity meet, within the radius, with this probability.
+RECALL = 0.98
 #: A shard of over twice so many fingerprints is cut into blocks of about so many; each two blocks meet in a shard of their own.
 BLOCK = 4096
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -307,14 +307,27 @@ def radius_for(similarity: float, bits: int = BITS, deviations: float = 3.0) ->
     return int(bits * q + deviations * math.sqrt(bits * q * (1 - q)))
 
 
+def meeting(similarity: float, bits: int, width: int, radius: int) -> np.ndarray:
+    """(chance, met) for each distance within the radius: how often a pair of this similarity has it, and how often such a pair agrees on `width` random bits."""
+    q, d = differing(similarity), np.arange(radius + 1)
+    log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    chance = [math.exp(log(bits, x) + x * math.log(q) + (bits - x) * math.log(1 - q)) for x in d.tolist()]
+    met = [math.exp(log(bits - x, width) - log(bits, width)) for x in d.tolist()]
+    return np.stack([chance, met])
+
+
 def choices(count: int, similarity: float, bits: int = BITS, recall: float = RECALL) -> np.ndarray:
-    """Random choices of bits, one a row: as many bits as shards of a few fingerprints take, as many rows as the recall takes.
+    """Random choices of bits, one a row: as many bits as shards of some sixteen fingerprints take, as many rows as the recall takes.
 
-    Rows grow with the count to the power log2(1 / share of equal bits), 0.24 at a similarity of 0.8.
+    A pair's distance spreads about its average and is the same for all rows, so the chance that
+    a pair at the similarity meets is summed over the distances; the average one alone would
+    promise too much. Rows grow with the count to the power log2(1 / share of equal bits), 0.24 at a similarity of 0.8.
     """
-    width = max(12, int(math.log2(max(count, 2))) - 2)
-    met = (1 - differing(similarity)) ** width
-    rows = math.ceil(math.log(1 - recall) / math.log(1 - met))
+    width = max(12, int(math.log2(max(count, 2))) - 4)
+    chance, met = meeting(similarity, bits, width, radius_for(similarity))
+    rows = 1
+    while float((chance * (1 - (1 - met) ** rows)).sum()) < recall:
+        rows += 1
     rng = np.random.default_rng(SEED)
     return np.stack([rng.choice(bits, width, replace=False) for _ in range(rows)])
 
@@ -333,7 +346,8 @@ def similar_links(prints: DataFrame, count: int, similarity: float, folder: str)
     A shard's links span what its similar pairs connect: a pair is compared unless its nodes are connected already.
 
     Shards over twice BLOCK are cut into blocks by the node's hash, and each pair of blocks is a
-    shard of its own, so all pairs of a shard meet and no task holds more than two blocks of it.
+    shard of its own, so all pairs of a shard meet and no task holds more than two blocks of it. How many
+    blocks a shard has comes by a join with its size.
     """
     picked, radius, block = choices(count, similarity), radius_for(similarity), BLOCK
 
@@ -342,41 +356,28 @@ def similar_links(prints: DataFrame, count: int, similarity: float, folder: str)
         bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little").astype(np.int64)
         return np.stack([bits[:, row] @ powers + (i << 40) for i, row in enumerate(picked)], axis=1)
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                again = pa.array(np.repeat(np.arange(batch.num_rows), len(picked)))
+                yield pa.RecordBatch.from_arrays([pa.array(shards(batch).reshape(-1)), batch.column(0).take(again), batch.column(1).take(again)], names=["shard", "node", "fp"])
+
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 yield pa.RecordBatch.from_arrays([pa.array(shards(whole.slice(at, 2048)).reshape(-1))], names=["shard"])
 
     prints = prints.select("node", "fp")
-    large = prints.mapInArrow(name, "shard long").groupBy("shard").count().where(F.col("count") > 2 * block).collect()  # at most rows of choices x count / (2 x BLOCK)
-    large_shards = np.array(sorted(r["shard"] for r in large), dtype=np.int64)
-    parts = dict((r["shard"], -(-r["count"] // block)) for r in large)
-    large_parts = np.array([parts[x] for x in large_shards.tolist()], dtype=np.int64)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                shard = shards(batch).reshape(-1)
-                again = np.repeat(np.arange(batch.num_rows), len(picked))
-                if len(large_shards):
-                    found = np.minimum(np.searchsorted(large_shards, shard), len(large_shards) - 1)
-                    cut_up = np.flatnonzero(large_shards[found] == shard)
-                    own = mixed(batch.column(0).to_numpy())[again[cut_up]]
-                    copies = large_parts[found[cut_up]] - 1
-                    mine = np.repeat((own % large_parts[found[cut_up]].astype(np.uint64)).astype(np.int64), copies)
-                    other = np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
-                    other += other >= mine  # every block but the own
-                    low, high = np.minimum(mine, other).astype(np.uint64), np.maximum(mine, other).astype(np.uint64)
-                    cells = mixed(np.repeat(shard[cut_up], copies)) ^ low
-                    cells = (mixed(mixed(cells) ^ high) >> np.uint64(2) | np.uint64(1 << 62)).astype(np.int64)
-                    rest = np.delete(np.arange(len(shard)), cut_up)
-                    shard, again = np.concatenate([shard[rest], cells]), np.concatenate([again[rest], np.repeat(again[cut_up], copies)])
-                for a in range(0, len(shard), 1 << 17):
-                    rows = pa.array(again[a : a + (1 << 17)])
-                    yield pa.RecordBatch.from_arrays([pa.array(shard[a : a + (1 << 17)]), batch.column(0).take(rows), batch.column(1).take(rows)], names=["shard", "node", "fp"])
-
-    routed = prints.mapInArrow(route, "shard long, node long, fp binary").repartition("shard").sortWithinPartitions("shard")
+    sizes = prints.mapInArrow(name, "shard long").groupBy("shard").count().where(F.col("count") > 2 * block)
+    sizes.select(F.col("shard").alias("large"), F.ceil(F.col("count") / block).cast("int").alias("parts")).write.parquet(f"{folder}/large")
+    large = prints.sparkSession.read.parquet(f"{folder}/large")  # a file, so that Spark knows its size and broadcasts it only below its threshold
+    rows = prints.mapInArrow(keyed, "shard long, node long, fp binary").join(large, F.col("shard") == F.col("large"), "left")
+    mine, whole = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("parts").isNull()
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("mine"))
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(others)))
+    cell = F.when(whole, F.col("shard")).otherwise(F.xxhash64("shard", F.least("mine", "other"), F.greatest("mine", "other")))
+    routed = rows.select(cell.alias("shard"), "node", "fp").repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
