@@ -51,11 +51,12 @@ def test_run(spark, tables):
     cut = quality.threshold(np.array([weight[i] for i in labelled if i % 6]), np.array([weight[i] for i in labelled if i % 6 == 0]))
     k = sum(w >= cut for w in weight.values())
     kept = [r for r in rows if r[0] in sorted(weight, key=lambda i: weight[i] + quality.gumbel(i))[-k:]]
-    prints = [int.from_bytes(simhash.set_fingerprint((t or "").encode()), "little") for _, t, *_ in kept]
-    first = []
-    for j, r in enumerate(kept):  # ids rise, and copies here are exact or alone
-        if not any((prints[j] ^ prints[p]).bit_count() <= simhash.radius_for(0.8) for p in range(j)):
-            first.append(r)
+    sets = [set(simhash.shingle_set((t or "").encode()).tolist()) for _, t, *_ in kept]
+    first, classes = [], []  # ids rise; a class is what exact similarity connects
+    for j, r in enumerate(kept):
+        near = [c for c in classes if any(sets[j] == sets[p] or len(sets[j] & sets[p]) >= 0.8 * len(sets[j] | sets[p]) for p in c)]
+        classes = [c for c in classes if c not in near] + [[p for c in near for p in c] + [j]]
+    first = [kept[min(c)] for c in sorted(classes, key=min)]
     clean = [r for r in first if not decontam.brute(r[1], items)[4]]
     encoder = bpe.encoder(open(bpe.default_path(), encoding="utf-8").read())
     want = []

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ancestra.llm import simhash
 from ancestra.llm.components import components
@@ -206,6 +207,38 @@ def test_radius_keeps_candidates_at_the_similarity():
     assert lost <= 6
 
 
+def test_recall_just_above_the_similarity(spark):
+    pairs = [(a, b) for a, b, j in (overlapping(93, seed) for seed in range(1000, 1500)) if 0.8 <= j < 0.81]
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {r.doc_id for r in simhash.keep_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(pairs) > 400 and {2 * i for i in range(len(pairs))} <= got
+    assert len(got) - len(pairs) <= 0.04 * len(pairs)
+
+
+def test_recall_on_the_documents(spark):
+    """Against the exact similarity of all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets, where = {}, {}
+    for r in docs.select("doc_id", "text").collect():
+        sets.setdefault(simhash.shingle_set((r.text or "").encode()).tobytes(), []).append(r.doc_id)
+    keys = [np.frombuffer(k, dtype=np.uint64) for k in sets]
+    for i, k in enumerate(keys):
+        for x in k.tolist():
+            where.setdefault(x, []).append(i)
+    shared = {}
+    for together in where.values():
+        for x, i in enumerate(together):
+            for j in together[x + 1 :]:
+                shared[i, j] = shared.get((i, j), 0) + 1
+    near = [(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(keys[i]) + len(keys[j]) - n)]
+    ids = list(sets.values())
+    rows, found = simhash.similar_classes(docs.selectExpr("doc_id as id", "text"), 0.8, 5)
+    of = dict(rows.join(found.withColumnRenamed("node", "fn"), rows["node"] == F.col("fn")).select("id", "component_id").collect())
+    true = grouped(range(len(ids)), near)
+    assert near and sum(of[ids[i][0]] == of[ids[j][0]] for i, j in near) >= 0.95 * len(near)
+    assert all(true[i] == true[j] for i, j in near) and len({of[x] for own in ids for x in own}) >= len(set(true.values()))
+
+
 def test_links_where_the_first_bit_differs(spark):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rng = random.Random(7)
