@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ancestra.operators.segments import Segments, apply_tasks
 from ancestra.session import shared_dir
 from ancestra.sources import wiki as W
+from ancestra.sources.feeds import Pages, feed_source, page_tasks, read_feed, write_pages
 from ancestra.streaming import incremental as I
+from ancestra.streaming.stateful import guarded_stream
 
 from . import query
 
@@ -121,3 +123,67 @@ def segmented_apply_feed(t):
     for i in (*range(10), 9):
         apply_tasks(segments, i, tasks.where(part == i), pages(t))
     return segments.index()
+
+
+def feed_rows(t, feed):
+    """Events as the rows of a feed."""
+    e, stamp = t("events"), F.lpad((F.col("event_id") / 3).cast("long").cast("string"), 14, "0")  # three log rows a timestamp
+    if feed == "revisions":
+        return e.select(F.col("event_id").alias("rev_id"), F.col("user_id").cast("long").alias("page_id"), F.date_format("ts", "yyyyMMddHHmmss").alias("rev_timestamp"))
+    return e.select(stamp.alias("timestamp"), F.col("event_id").alias("page_id"), F.when(F.col("event_type") == "click", "Delete").otherwise("restore").alias("action"))
+
+
+def feed_source_of(spark, path):
+    spark.dataSource.register(feed_source(Pages(path)))
+    return path
+
+
+@query("SELECT event_id::varchar AS sequence_id, user_id::varchar AS page_id, event_id::bigint AS rev_id, strftime(ts, '%Y%m%d%H%M%S') AS rev_timestamp FROM events WHERE event_id > 100")
+def feed_source_batch(t):
+    """Revisions after a cursor, read through the data source from pages of 300 rows, as tasks."""
+    rows = feed_rows(t, "revisions")
+    path = feed_source_of(rows.sparkSession, scratch(rows.sparkSession, "pages"))
+    write_pages(rows, path, "revisions", 300)
+    return page_tasks(read_feed(rows.sparkSession, "revisions", "100"), "revisions").select("sequence_id", "page_id", "rev_id", "rev_timestamp")
+
+
+@query("SELECT lpad((event_id // 3)::varchar, 14, '0') || '/' || event_id::varchar AS sequence_id, event_id::varchar AS page_id, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END::int AS action FROM events WHERE event_id // 3 >= 20")
+def feed_source_deletes(t):
+    """The delete log from a cursor within a timestamp, whose rows are all read again."""
+    rows = feed_rows(t, "deletes")
+    path = feed_source_of(rows.sparkSession, scratch(rows.sparkSession, "pages"))
+    write_pages(rows, path, "deletes", 300)
+    return page_tasks(read_feed(rows.sparkSession, "deletes", "00000000000020/61"), "deletes").select("sequence_id", "page_id", "action")
+
+
+@query("SELECT event_id::varchar AS sequence_id, user_id::varchar AS page_id FROM events WHERE event_id > 0")
+def feed_source_stream(t):
+    """Revisions as a stream that is stopped, and goes on from its checkpoint once the rest of the pages is there."""
+    rows = feed_rows(t, "revisions")
+    spark = rows.sparkSession
+    path = feed_source_of(spark, scratch(spark, "pages"))
+    half = F.col("rev_id") <= rows_middle(rows)
+    for part in (half, ~half):
+        write_pages(rows.where(part), path, "revisions", 300)
+        stream = page_tasks(spark.readStream.format("wikifeed").option("feed", "revisions").load(), "revisions")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("sequence_id", "page_id")
+
+
+@query("WITH i AS (SELECT user_id, max(event_id) AS r FROM events WHERE event_id <= 500 GROUP BY 1) SELECT event_id::bigint AS rev_id FROM events e WHERE event_id > 0 AND NOT EXISTS (SELECT 1 FROM i WHERE i.user_id = e.user_id AND i.r >= e.event_id)")
+def stateful_revision_guard(t):
+    """The guard as a stream that keeps each page's revision as state, begun with those indexed; half of the events, a restart, and the rest with some of the first half again."""
+    tasks = revisions(t)
+    spark = tasks.sparkSession
+    path = scratch(spark, "guard")
+    indexed = t("events").where("event_id <= 500").groupBy(F.col("user_id").cast("string").alias("page_id")).agg(F.max("event_id").alias("rev_id"))
+    middle = rows_middle(tasks)
+    for part in (F.col("rev_id") <= middle, F.col("rev_id") > middle - 50):
+        tasks.where(part).write.mode("append").parquet(f"{path}/in")
+        passed = guarded_stream(spark.readStream.schema(tasks.schema).parquet(f"{path}/in"), indexed).select("rev_id")
+        passed.writeStream.format("parquet").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+def rows_middle(tasks):
+    return tasks.agg(F.expr("percentile_approx(rev_id, 0.5)")).first()[0]

@@ -48,3 +48,14 @@ class Store:
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
+
+
+def filesystem(path: str):
+    """(pyarrow file system, path inside it) of a path or URI; usable in tasks."""
+    from urllib.parse import urlparse
+
+    from pyarrow import fs
+
+    if urlparse(path).scheme in ("", "file"):
+        return fs.LocalFileSystem(), urlparse(path).path
+    return fs.FileSystem.from_uri(path)
