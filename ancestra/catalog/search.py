@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ancestra.functions import place, text
 from ancestra.operators import postings as P
 from ancestra.operators import search as S
-from ancestra.plans.ast import MUST, MUST_NOT, SHOULD, Bool, DisMax, Options, Term
+from ancestra.operators.best import search_best
+from ancestra.operators.terms import Terms, similar
+from ancestra.plans.ast import MUST, MUST_NOT, SHOULD, Bool, DisMax, Options, Term, Wildcard
 from ancestra.plans.compile import Compiler
 from ancestra.plans.parser import parse
 from ancestra.plans.rewrites import rewritten
@@ -242,10 +244,10 @@ def batch_split(t):
     return each.withColumn("q", F.regexp_replace("q", "^[0-9]+#", ""))
 
 
-def on_disk(docs, fields=("Title", "Keywords")):
+def on_disk(docs, fields=("Title", "Keywords"), impact=None):
     """docs' postings, written below the shared folder and read back."""
     path = f"{shared_dir(docs.sparkSession).rstrip('/')}/postings-{uuid.uuid4().hex}"
-    P.write(docs, path, fields)
+    P.write(docs, path, fields, impact=impact)
     return P.read(docs.sparkSession, path)
 
 
@@ -291,3 +293,39 @@ def postings_some_fields(t):
     p = on_disk(docs, ("Keywords",))
     look = P.Lookup(docs, tree, P.written_fields(p))
     return look.joined(docs, p).where(look.match(tree)).select("PageId", look.score(tree).alias("score"))
+
+
+@query(KEYWORD_SQL)
+def best_k_search(t):
+    """The flagship, whose documents below the impact that the tenth needs aren't scored."""
+    docs = indexed(t)
+    return search_best(docs, on_disk(docs, impact="Popularity"), 'reed "onth re"').select("PageId", F.round("score", 6).alias("score"))
+
+
+def dictionary(t):
+    """A dictionary of the documents' words, written below the shared folder."""
+    docs = indexed(t).select("PageId", "Keywords")
+    return Terms(docs.sparkSession, f"{shared_dir(docs.sparkSession).rstrip('/')}/terms-{uuid.uuid4().hex}").write(P.postings(docs, ("Keywords",)))
+
+
+WORDS = f"{D}, w AS (SELECT DISTINCT PageId, unnest(k) AS term FROM d), v AS (SELECT term, count(*) AS documents FROM w GROUP BY 1)"
+
+
+@query(f"{WORDS} SELECT term, documents FROM v WHERE term LIKE '%tion_n'")
+def leading_wildcard_terms(t):
+    """Words of a pattern that begins with a star, found by their pieces."""
+    return dictionary(t).matching(Wildcard("Keywords", "*tion?n"))
+
+
+@query(f"{WORDS} SELECT term, documents FROM v WHERE starts_with(term, 't') ORDER BY documents DESC, term LIMIT 50")
+def term_completions(t):
+    """The fifty words of most documents that begin with a letter."""
+    return dictionary(t).completed("Keywords", "t", 50)
+
+
+@query(f"{WORDS}, a AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')) AS asked FROM part), l AS (SELECT asked, term, levenshtein(asked, term) AS e, least(length(asked), length(term)) AS m FROM a, v) SELECT asked, term FROM l WHERE 1 - e / m > 0.65")
+def similar_terms(t):
+    """All words of the documents that are similar to a word of the parts' names."""
+    words = dictionary(t)
+    asked = t("part").select(F.explode(text.tokens("p_name")).alias("asked"))
+    return similar(asked, words.grams(), words.terms()).select("asked", "term")

@@ -29,9 +29,12 @@ def grouped_places(field: str, terms: Column) -> Column:
     return bound(placed, lambda s: bound(first_of_each(s), lambda starts: groups(s, starts)))
 
 
-def postings(index: DataFrame, fields: tuple[str, ...], key: str = "PageId") -> DataFrame:
+def postings(index: DataFrame, fields: tuple[str, ...], key: str = "PageId", impact: str | None = None) -> DataFrame:
     """(field, term, key, positions) of the index's term fields, one row a term and document, in that order.
 
+    impact: a numeric column of documents by which they score whatever the query; then it goes with each row
+    as `impact` (0 for null), and a term's rows begin with the largest, for operators.best.
+
     A document's places of a term are gathered before the one shuffle, by ranges of (field, term,
     key), so that a term of very many documents is spread over tasks and files. A string field is
     one term. Null terms have neither row nor position, as in the search of arrays; keys must be
@@ -39,8 +42,14 @@ def postings(index: DataFrame, fields: tuple[str, ...], key: str = "PageId") ->
     """
     arrays = {f.name: isinstance(f.dataType, T.ArrayType) for f in index.schema.fields}
     terms = lambda f: F.coalesce(F.col(f), F.array().cast("array<string>")) if arrays[f] else F.array(F.col(f).cast("string"))
-    each = index.select(key, F.explode(F.concat(*[grouped_places(f, terms(f)) for f in fields])).alias("x")).select("x.field", "x.term", key, "x.positions")
-    return each.repartitionByRange("field", "term", key).sortWithinPartitions("field", "term", key).withMetadata("term", {"fields": list(fields)})
+    carried = [F.coalesce(F.col(impact).cast("double"), F.lit(0.0)).alias("impact")] if impact else []
+    each = index.select(key, *carried, F.explode(F.concat(*[grouped_places(f, terms(f)) for f in fields])).alias("x")).select("x.field", "x.term", *(["impact"] if impact else []), key, "x.positions")
+    return _ordered(each, fields, key, impact)
+
+
+def _ordered(rows: DataFrame, fields: tuple[str, ...], key: str, impact: str | None) -> DataFrame:
+    order = [F.col("field"), F.col("term"), *([F.desc("impact")] if "impact" in rows.columns else []), F.col(key)]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).withMetadata("term", {"fields": list(fields)} | ({"impact": impact} if impact else {}))
 
 
 def written_fields(table: DataFrame) -> tuple[str, ...]:
@@ -51,7 +60,7 @@ def written_fields(table: DataFrame) -> tuple[str, ...]:
     return tuple(fields)
 
 
-def write(index: DataFrame, path: str, fields: tuple[str, ...], key: str = "PageId") -> None:
+def write(index: DataFrame, path: str, fields: tuple[str, ...], key: str = "PageId", impact: str | None = None) -> None:
     """Write the postings: a folder a field, files sorted by term, so that a term's readers skip all other row groups.
 
     A repeated or null key is an error: facets and hits count rows as documents. Each field's folder
@@ -60,19 +69,20 @@ def write(index: DataFrame, path: str, fields: tuple[str, ...], key: str = "Page
     twice = index.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).first()
     if twice is not None:
         raise ValueError(f"{key} {twice[0]} is null or repeated: postings need distinct keys")
-    _save(postings(index, fields, key), path, fields)
+    _save(postings(index, fields, key, impact), path)
 
 
 def write_rows(rows: DataFrame, path: str, fields: tuple[str, ...], key: str = "PageId") -> None:
     """Write rows of postings, as postings() gives them, anew in their order; those of distinct keys that were written before."""
-    _save(rows.repartitionByRange("field", "term", key).sortWithinPartitions("field", "term", key).withMetadata("term", {"fields": list(fields)}), path, fields)
+    _save(_ordered(rows, fields, key, rows.schema["term"].metadata.get("impact")), path)
 
 
-def _save(table: DataFrame, path: str, fields: tuple[str, ...]) -> None:
-    columns = ["field", *(c for c in table.columns if c != "field")]
+def _save(table: DataFrame, path: str) -> None:
+    said = table.schema["term"].metadata
+    fields, columns = said["fields"], ["field", *(c for c in table.columns if c != "field")]
     table.select(*columns).write.mode("overwrite").partitionBy("field").parquet(path)
     none = table.sparkSession.createDataFrame([(f,) for f in fields], "field string").select("field", *(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in columns[1:]))
-    none.withMetadata("term", {"fields": list(fields)}).coalesce(1).write.mode("append").partitionBy("field").parquet(path)
+    none.withMetadata("term", said).coalesce(1).write.mode("append").partitionBy("field").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -146,10 +156,13 @@ class Lookup(Compiler):
         head = q.text[: min(i for i in (q.text.find("*"), q.text.find("?")) if i >= 0)] if isinstance(q, Wildcard) else ""
         return term.startswith(head) & self.test(q, term) if head else self.test(q, term)
 
-    def found(self, table: DataFrame) -> DataFrame:
-        """(key, __f0, __f1, ...): of each document that holds a term asked for, whether a leaf is found; of a fuzzy leaf the best similarity."""
+    def found(self, table: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+        """(key, __f0, __f1, ...): of each document that holds a term asked for, whether a leaf is found; of a fuzzy leaf the best similarity.
+
+        carried: columns of the table that are the same in all rows of a document.
+        """
         if not self.at:
-            return table.select(self.key).limit(0)
+            return table.select(self.key, *carried).limit(0)
         rows = table.where(F.col("field").isin(sorted({q.field for q in self.at}))).where(self._any([self.asked(q) for q in self.at]))
         parts, columns = [], []
         for q, i in self.at.items():
@@ -162,7 +175,7 @@ class Lookup(Compiler):
                 hit = here & self.asked(q)
                 parts.append(F.max(F.when(hit, self.similarity(F.col("term"), q.text) if isinstance(q, Fuzzy) else F.lit(True))).alias(f"__f{i}"))
                 columns.append(F.col(f"__f{i}"))
-        return rows.groupBy(self.key).agg(*parts).select(self.key, *columns)
+        return rows.groupBy(self.key).agg(*parts, *(F.max(c).alias(c) for c in carried)).select(self.key, *carried, *columns)
 
     @staticmethod
     def _consecutive(positions: list[Column]) -> Column:

@@ -82,7 +82,11 @@ class Compiler:
     @staticmethod
     def similarity(x: Column, text: str) -> Column:
         """One less the edit distance over the shorter length."""
-        return 1 - F.levenshtein(x, F.lit(text)) / F.least(F.length(x), F.lit(len(text)))
+        return Compiler.similarity_of(x, F.lit(text))
+
+    @staticmethod
+    def similarity_of(x: Column, y: Column) -> Column:
+        return 1 - F.levenshtein(x, y) / F.least(F.length(x), F.length(y))
 
     def score(self, q: Query) -> Column:
         """0 where it doesn't match: a sum over matching clauses, a maximum over disjuncts; a term gives its boost."""
