@@ -52,4 +52,4 @@ def sql_tokens(x: str) -> str:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import feeds, pages, relational, rules, scalar, search  # noqa: F401
+    from . import feeds, kinds, pages, relational, rules, scalar, search  # noqa: F401
