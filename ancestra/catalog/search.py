@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ancestra.functions import place, text
+from ancestra.functions import analysis, place, stem, text
 from ancestra.operators import postings as P
 from ancestra.operators import search as S
 from ancestra.operators.best import search_best
@@ -329,3 +329,22 @@ def similar_terms(t):
     words = dictionary(t)
     asked = t("part").select(F.explode(text.tokens("p_name")).alias("asked"))
     return similar(asked, words.grams(), words.terms()).select("asked", "term")
+
+
+def stem_sql(words: str) -> str:
+    first, *rest = stem.sql("term")
+    out = f"SELECT term, {first} AS x FROM ({words})"
+    for step in rest:
+        out = f"SELECT term, {step} AS x FROM ({out})"
+    return out
+
+
+PROTECTED = ("reading", "ties")
+
+
+@query(f"{WORDS} SELECT term, CASE WHEN term IN {PROTECTED} OR NOT regexp_matches(term, '^[a-z]{{3,}}$') THEN term ELSE x END AS stem FROM ({stem_sql('SELECT term FROM v')})")
+def stemmed_words(t):
+    """Every word of the documents with its stem; protected words stay."""
+    words = indexed(t).select(F.explode("Keywords").alias("term")).distinct()
+    run = analysis.make("text", stop=False, stem="english", protected=PROTECTED)
+    return words.select("term", F.get(run(F.col("term")), 0).alias("stem"))

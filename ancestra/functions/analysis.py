@@ -38,8 +38,10 @@ def registered() -> list[str]:
 
 
 @analyzer("text")
-def _text(stop: bool = True, synonyms: dict[str, list[str]] | None = None, stem: Callable[[Column], Column] | None = None, markup: bool = False, protected: Sequence[str] = ()) -> Analyzer:
-    """Markup and entities resolved, romanized, lower-cased, split, without stop words; then synonyms and a stemmer where given, which leaves protected words as they are."""
+def _text(stop: bool = True, synonyms: dict[str, list[str]] | None = None, stem: Callable[[Column], Column] | str | None = None, markup: bool = False, protected: Sequence[str] = ()) -> Analyzer:
+    """Markup and entities resolved, romanized, lower-cased, split, without stop words; then synonyms and a stemmer where given (a function, or "english"), which leaves protected words as they are."""
+    if stem == "english":
+        from ancestra.functions.stem import stemmed as stem  # noqa: PLW0127
 
     def run(c: Column) -> Column:
         from ancestra.operators.nameservice import with_synonyms
