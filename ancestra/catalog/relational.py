@@ -104,6 +104,16 @@ def bucket_running_total(t):
     return R.running_buckets(t("orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 7).alias("w")), "o_custkey", "o_orderkey", "w", 10)
 
 
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey, o_orderkey % 7 AS w, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders),
+f(r, k, held, total) AS (SELECT r, o_orderkey, CASE WHEN w >= 10 THEN 0 ELSE w END, w FROM o WHERE r = 1
+UNION ALL SELECT o.r, o.o_orderkey, CASE WHEN f.held + o.w >= 10 THEN 0 ELSE f.held + o.w END, f.held + o.w FROM f JOIN o ON o.r = f.r + 1)
+SELECT k AS o_orderkey, total::bigint AS total FROM f WHERE total >= 10""")
+def bucket_one_group(t):
+    """The same with all rows in one group, which many tasks fold at once."""
+    one = t("orders").select(F.lit(1).alias("g"), "o_orderkey", (F.col("o_orderkey") % 7).alias("w"))
+    return R.running_buckets(one, "g", "o_orderkey", "w", 10).drop("g")
+
+
 @query("SELECT p_name, (-2147483648 + row_number() OVER (ORDER BY p_name) * 1000)::bigint AS label FROM (SELECT DISTINCT p_name FROM part)")
 def row_number_labels(t):
     return R.numbered(t("part").select("p_name").distinct(), "p_name", -(1 << 31), 1000)

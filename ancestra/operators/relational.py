@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,28 +108,106 @@ def numbered(df: DataFrame, key: str, start: int = 0, gap: int = 1, out: str = "
     return positions(df, [key], out="__n").withColumn(out, F.lit(start).cast("long") + F.col("__n") * gap).select(*df.columns, out)
 
 
+def bucket_effect(weights: np.ndarray, interval: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """What rows of these weights make of a sum that is held before them: (sums, ends, total).
+
+    With h held, the first row whose sum here reaches interval - h begins anew: the first of `sums`
+    that does, and `ends` of it is what is then held after the last row; if none does, h + total is.
+    """
+    total = np.cumsum(weights)
+    n = len(total)
+    following = np.maximum(np.searchsorted(total, total + interval), np.arange(n) + 1).tolist()
+    last, ends = int(total[-1]), [0] * n
+    for i in range(n - 1, -1, -1):
+        ends[i] = ends[following[i]] if following[i] < n else last - int(total[i])
+    first = np.flatnonzero(np.diff(total, prepend=-1) > 0)  # the first row of each sum
+    first = first[: int(np.searchsorted(total[first], interval)) + 1]
+    return total[first], np.array(ends, dtype=np.int64)[first], last
+
+
+def bucket_after(held: int, sums: np.ndarray, ends: np.ndarray, total: int, interval: int) -> int:
+    at = int(np.searchsorted(sums, interval - held))
+    return int(ends[at]) if at < len(sums) else held + total
+
+
 def running_buckets(df: DataFrame, group: str, order: str, weight: str, interval: int) -> DataFrame:
     """(group, order, total): the rows at which the weights summed since the last such row reach the interval; the sum then begins anew.
 
-    The reset makes it a fold along a group's order; rows come sorted and are folded group by group as they pass, so a group's rows aren't held.
+    The reset makes it a fold along a group's order, but not one task a group: rows lie in ranges of (group, order).
+    Of each range the effect of its first and its last group's rows, on any sum that may be held before them, is found
+    apart; these effects, two a range, are composed along each group and say with what sum each range begins, and then all
+    ranges are folded at once. Weights are whole numbers of at least 0 (null: 0), the interval at least 1.
     """
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = object(), 0
-        for f in frames:
-            out = []
-            for g, o, w in f.itertuples(index=False):
-                if g != now:
-                    now, held = g, 0
+    if interval < 1:
+        raise ValueError("the interval must be at least 1")
+    kinds = dict(df.dtypes)
+    rows = placed(df.select(group, order, F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias(weight)), group, order)
+    rows = rows.sortWithinPartitions("__b", group, order)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, object, int, pa.RecordBatch]]:
+        """(whether it goes on with the run before, group, range, rows) of rows that are together in group and range."""
+        last = None
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            start = 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[start]:
+                    yield keys[start] == last, *keys[start], batch.slice(start, i - start)
+                    last, start = keys[start], i
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now, at, firsts = None, None, set()
+
+        def made(final: bool) -> Iterator[pa.RecordBatch]:
+            if held and (at not in firsts or final):
+                firsts.add(at)
+                sums, ends, total = bucket_effect(np.concatenate(held), interval)
+                yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([at], pa.int32()), pa.array([sums.tolist()], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([total], pa.int64())], names=["g", "b", "sums", "ends", "total"])
+
+        kind = None
+        for goes_on, g, b, part in runs(batches):
+            kind = part.schema.field(0).type
+            w = part.column(2).to_numpy()
+            if len(w) and w.min() < 0:
+                raise ValueError("weights must be at least 0")
+            if not goes_on:
+                yield from made(b != at)
+                held = []
+            now, at = g, b
+            held.append(w)
+        yield from made(True)
+
+    found = rows.mapInArrow(effects, f"g {kinds[group]}, b int, sums array<long>, ends array<long>, total long")
+
+    def composed(frame: pd.DataFrame) -> pd.DataFrame:
+        held, out = 0, []
+        for x in frame.sort_values("b").itertuples(index=False):
+            out.append((x.g, x.b, held))
+            held = bucket_after(held, np.array(x.sums, dtype=np.int64), np.array(x.ends, dtype=np.int64), x.total, interval)
+        return pd.DataFrame({"g": frame["g"].iloc[[0] * len(out)].to_numpy(), "b": [x[1] for x in out], "held": [x[2] for x in out]})
+
+    begun = found.groupBy("g").applyInPandas(composed, f"g {kinds[group]}, b int, held long").where("held > 0").collect()  # one row a range at most, as only a range's first group goes on from before
+    start = {r["b"]: r["held"] for r in begun}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = 0, set()
+        for goes_on, _, b, part in runs(batches):
+            if not goes_on:
+                held = 0 if b in seen else start.get(b, 0)
+                seen.add(b)
+            picked, totals = [], []
+            for i, w in enumerate(part.column(2).to_pylist()):
                 held += w
                 if held >= interval:
-                    out.append((g, o, held))
+                    picked.append(i)
+                    totals.append(held)
                     held = 0
-            yield pd.DataFrame(out, columns=[group, order, "total"])
+            if picked:
+                kept = part.take(pa.array(picked))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(totals, pa.int64())], names=[group, order, "total"])
 
-    kinds = dict(df.dtypes)
-    rows = df.select(group, order, F.col(weight).cast("long").alias(weight)).repartition(group).sortWithinPartitions(group, order)
-    return rows.mapInPandas(fold, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, total long")
+    return rows.mapInArrow(fold, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, total long")
 
 
 def variants_merged(current: DataFrame, adds: Column, deletes: Column) -> DataFrame:

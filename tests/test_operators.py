@@ -83,6 +83,32 @@ def test_running_buckets_and_numbers(spark):
     assert [r.label for r in n] == [100 + 10 * (i + 1) for i in range(20)]
 
 
+@pytest.mark.parametrize("interval", [1, 5, 40])
+def test_running_buckets_over_ranges(spark, interval):
+    rng = random.Random(interval)
+    rows = [(rng.choice(("a", "a", "a", "a", "b", "c", None)), i, rng.choice((0, 0, 1, 2, 3, 9, None))) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, o int, w int")
+    for some in (df, df.where("g = 'a'"), df.where("false")):
+        want, held = [], {}
+        for g, o, w in sorted(some.collect(), key=lambda r: r.o):
+            held[g] = held.get(g, 0) + (w or 0)
+            if held[g] >= interval:
+                want.append((g, o, held.pop(g)))
+        assert sorted(map(tuple, R.running_buckets(some, "g", "o", "w", interval).collect()), key=lambda r: r[1]) == want
+    with pytest.raises(Exception, match="at least 0"):
+        R.running_buckets(spark.createDataFrame([("a", 1, -1)], df.schema), "g", "o", "w", 3).collect()
+
+
+def test_one_group_is_folded_by_many_tasks(spark):
+    df = spark.range(4000).selectExpr("1 as g", "id as o", "1 as w")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which takes so few rows together
+    try:
+        out = R.running_buckets(df, "g", "o", "w", 7)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.rdd.getNumPartitions() == 4 and [r.o for r in out.orderBy("o").collect()] == list(range(6, 4000, 7))
+
+
 VARIANTS = [("smith", ["smyth"], ["smit", "smythe"]), ("smyth", ["smith"], [])]
 
 
