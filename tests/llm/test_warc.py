@@ -154,10 +154,10 @@ def test_older_versions_and_bounds(monkeypatch):
     data = warc.record("urn:x-page:1", None, b"abc")
     old = data.replace(b"WARC/1.1", b"WARC/0.18", 1)
     assert [x["head"]["warc-record-id"] for x in warc.salvage(old + data)] == ["<urn:x-page:1>"] * 2
-    monkeypatch.setattr(warc, "MOST", 100)
+    monkeypatch.setattr(warc, "INLINE", 100)  # sizes have no bound: larger ones pass in parts
     large = warc.record("urn:x-page:2", None, b"a" * 1000)
     got = list(warc.salvage(warc.member(large) + large))
-    assert [x.get("reason") for x in got] == ["too large a member"] and got[0]["end"] == len(warc.member(large) + large)
+    assert [(x["payload_bytes"], x["payload_digest"]) for x in got] == [(1000, warc.digest(b"a" * 1000))] * 2
 
 
 def test_own_damaged_archives_raise(spark, tmp_path, monkeypatch):
@@ -177,3 +177,68 @@ def test_own_damaged_archives_raise(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "write_archives", damaged)
     with pytest.raises(Exception, match="came back damaged"):
         warc.round_trip(pages, str(tmp_path / "w")).collect()
+
+
+def test_records_before_the_damage_of_a_member_are_kept():
+    rows = [warc.record(f"urn:x-page:{i}", f"http://h/{i}", random.Random(i).randbytes(3000)) for i in range(20)]
+    whole = bytearray(warc.member(b"".join(rows)))
+    whole[3 * len(whole) // 4] ^= 255
+    after = warc.member(warc.record("urn:x-page:99", None, b"after"))
+    got = list(warc.salvage(bytes(whole) + after))
+    names = [x["head"]["warc-record-id"] for x in got if "head" in x]
+    assert names[:14] == [f"<urn:x-page:{i}>" for i in range(14)] and names[-1] == "<urn:x-page:99>"
+    assert {x["payload_digest"] if "payload_digest" in x else warc.digest(warc.payload_of(x)) for x in got if "head" in x} <= {warc.digest(random.Random(i).randbytes(3000)) for i in range(20)} | {warc.digest(b"after")}
+    assert [(x["offset"], x["end"]) for x in got if "reason" in x] == [(0, len(whole))]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+@pytest.mark.parametrize("fault", [None, "block", "cut", "tail"])
+def test_large_records_pass_in_parts(spark, tmp_path, monkeypatch, packed, fault):
+    monkeypatch.setattr(warc, "INLINE", 1000)
+    monkeypatch.setattr(warc, "STEP", 700)
+    payload = random.Random(3).randbytes(20_000)
+    rows = [warc.record(f"urn:x-page:{i}", None, p) for i, p in enumerate((b"small", payload, b"also small"))]
+    if fault == "block":
+        rows[1] = rows[1].replace(payload[5000:5004], b"xxxx")
+    elif fault == "cut":
+        rows[1] = rows[1][:9000]
+    elif fault == "tail":
+        rows[1] = rows[1][:-4] + b"oops"
+    data = b"".join(map(warc.member, rows)) if packed else b"".join(rows)
+    kept = []
+
+    class Sink:
+        def __init__(self):
+            self.data = b""
+            kept.append(self)
+
+        def write(self, x):
+            self.data += x
+
+        def close(self):
+            return self
+
+        def drop(self):
+            kept.remove(self)
+
+    got = [x for x in warc.salvage(data, Sink) if "head" in x]
+    names = [x["head"]["warc-record-id"][-2] for x in got]
+    if fault is None:
+        assert names == ["0", "1", "2"] and got[1]["payload_file"].data == payload and got[1]["payload_bytes"] == len(payload) and got[1]["payload_digest"] == warc.digest(payload)
+        assert warc._stated_bytes(got[1]) == len(payload)
+    else:
+        assert names == ["0", "2"] and kept == []
+    assert [x["head"]["warc-record-id"][-2] for x in warc.salvage(data) if "head" in x] == names  # without payloads
+    one = warc.member(b"".join(rows))  # all in one member, whose contents are inflated again where a record fails
+    assert [x["head"]["warc-record-id"][-2] for x in warc.salvage(one) if "head" in x] == names
+
+
+def test_payload_files(spark, tmp_path, monkeypatch):
+    payload = b"p" * (warc.INLINE + 5)
+    (tmp_path / "a.warc.gz").write_bytes(warc.member(warc.record("urn:x-page:1", "http://h/", payload)) + warc.member(warc.record("urn:x-page:2", None, b"q")))
+    rows = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    big, small = rows["urn:x-page:1"], rows["urn:x-page:2"]
+    assert big.payload is None and big.payload_bytes == len(payload) and big.payload_digest == warc.digest(payload)
+    store, inner = warc.filesystem(big.payload_file)
+    assert store.open_input_file(inner).read() == payload
+    assert bytes(small.payload) == b"q" and small.payload_file is None
