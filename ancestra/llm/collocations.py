@@ -27,7 +27,7 @@ from .common import cut, only, pieces
 #: A-Z to a-z, what ends a piece to a line feed, a tab to a space.
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 #: Bytes of text whose phrases are summed before they become rows, and rows sent at a time.
-TEXT, ROWS = 16 << 20, 1 << 17
+TEXT, ROWS = 8 << 20, 1 << 16
 #: The bitmap's size in 64-bit words, as a power of two: 16 MB.
 BITMAP = 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -85,7 +85,9 @@ def grams(lang: str, texts: list[bytes], n: int, frequent: np.ndarray | None) ->
 
 
 def rows(lang: str, phrase: pa.Array, times: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), phrase, pa.array(times.astype(np.int64))], names=["lang", "phrase", "times"])
+    """Language and phrase as one key, with a line feed between, which no phrase holds: of a row of short strings each further column is a large part."""
+    key = pc.binary_join_element_wise(pa.scalar(lang), phrase, pa.scalar("\n"))
+    return pa.RecordBatch.from_arrays([key, pa.array(times.astype(np.int64))], names=["key", "times"])
 
 
 def counted(docs: DataFrame, n: int, least: int, frequent: np.ndarray | None) -> DataFrame:
@@ -109,8 +111,10 @@ def counted(docs: DataFrame, n: int, least: int, frequent: np.ndarray | None) ->
         for lang, texts in held.items():
             yield from grams(lang, texts, n, bits.value)
 
-    found = docs.mapInArrow(run, "lang string, phrase string, times long").groupBy("lang", "phrase").agg(F.sum("times").alias("f"))
-    return cut(found.where((F.col("f") >= least) | (F.col("phrase") == "")))
+    found = docs.mapInArrow(run, "key string, times long").groupBy("key").agg(F.sum("times").alias("f")).where((F.col("f") >= least) | F.endswith("key", F.lit("\n")))
+    phrase = F.substring_index("key", "\n", -1)
+    lang = F.substring("key", F.lit(1), F.char_length("key") - F.char_length(phrase) - 1)
+    return cut(found.select(lang.alias("lang"), phrase.alias("phrase"), "f"))
 
 
 def bitmap(found: DataFrame, n: int) -> np.ndarray:

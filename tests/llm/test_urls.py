@@ -57,3 +57,59 @@ def test_labels_of_documents(spark):
     pages = spark.createDataFrame([("http://h/en/12?x=5",), ("http://h/en/13/",), ("http://h/14.html#t",), ("http://h/",), (None,), ("http://h/99999999999999999999",)], "url string")
     labels = spark.createDataFrame([(12, 1, 0), (13, 0, 0), (14, 1, 1), (15, 1, 1)], "doc_id long, quality int, toxic int")
     assert sorted(map(tuple, urls.labelled_by_document(pages, labels).collect())) == [("http://h/14.html#t", True), ("http://h/en/12?x=5", False), ("http://h/en/13/", True)]
+
+
+def plain_judgement(url):
+    """Host, path, rule and the rule's verdict, from the contract's words alone."""
+    after = (url or "").split("://", 1)[1:]
+    if not after:
+        return "", "", None, None
+    host = path = ""
+    for i, c in enumerate(after[0]):
+        if c in "/?#":
+            path = after[0][i:]
+            break
+        host += c.lower() if "A" <= c <= "Z" else c
+    for stop in "?#":
+        path = path.split(stop, 1)[0]
+    fitting = []
+    for action, rule in URL_RULES:
+        of, slash, start = rule.partition("/")
+        if (host == of or host.endswith("." + of)) and path.startswith(slash + start):
+            fitting.append((len(rule), action, rule))
+    best = max(fitting, default=None)
+    return host, path, best[2] if best else None, best[1] if best else None
+
+
+def plain_score(model, row):
+    """The trees' probability of one row, tree by tree."""
+    binned, f = model._bins(np.array([row], dtype=float))[0], model.base
+    for tree in model.model:
+        f += model._apply(tree, binned[None, :])[0]
+    return 1 / (1 + np.exp(-f))
+
+
+def test_the_whole_query_equals_plain(spark):
+    """Every page: the split and the rules from the contract, the rest from a model fitted apart on the same labels and asked one URL at a time."""
+    from ancestra.llm.queries import op4_url_filter
+
+    folder = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    some, y = urls.sample(urls.labelled_by_document(pages, spark.read.parquet(f"{folder}/labels.parquet")), urls.LABELLED)
+    suffixes = urls.suffix_statistics(some, y)
+    model = urls.BoostedTrees().fit(np.array([urls.lexical(u, suffixes) for u in some], dtype=float), y)
+    given = pages.select("page_id", "url").collect()
+    got = {r.page_id: r for r in op4_url_filter(spark, folder).collect()}
+    assert len(got) == len(given)
+    ruled = 0
+    for r in given:
+        host, path, rule, verdict = plain_judgement(r.url)
+        g = got[r.page_id]
+        assert (g.host, g.path, g.rule) == (host, path, rule)
+        if verdict:
+            ruled += 1
+            assert g.verdict == verdict
+        else:
+            score = plain_score(model, urls.lexical(r.url, suffixes))
+            assert abs(g.score - score) < 1e-12 and g.verdict == ("block" if score > 0.5 else "allow")
+    assert 0 < ruled < len(given)
