@@ -187,3 +187,14 @@ def stateful_revision_guard(t):
 
 def rows_middle(tasks):
     return tasks.agg(F.expr("percentile_approx(rev_id, 0.5)")).first()[0]
+
+
+@query(f"SELECT body AS value, count(*) AS count FROM ({APPLIED}) GROUP BY 1")
+def maintained_counts(t):
+    """Facet counts kept current from the old and new rows of each batch, not counted again."""
+    tasks = feed(t)
+    segments = Segments(tasks.sparkSession, scratch(tasks.sparkSession, "segments"), counted=("body",))
+    segments.create(start(t))
+    for i in range(3):
+        apply_tasks(segments, i, tasks.where(F.when(F.col("feed") == "deletes", 2).otherwise(F.col("rev_id") % 2) == i), pages(t))
+    return segments.counts("body")

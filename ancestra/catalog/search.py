@@ -348,3 +348,24 @@ def stemmed_words(t):
     words = indexed(t).select(F.explode("Keywords").alias("term")).distinct()
     run = analysis.make("text", stop=False, stem="english", protected=PROTECTED)
     return words.select("term", F.get(run(F.col("term")), 0).alias("stem"))
+
+
+MARK = r"regexp_replace(p, '\b(the|of|and|ioning)\b', '<b>\1</b>', 'gi')"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s)(.{{1,60}}\S*)\s*', 1) AS x FROM documents WHERE lang = 'en')),
+s AS (SELECT doc_id, i, p, len(list_distinct(list_transform(regexp_extract_all(p, '(?i)\b(the|of|and|ioning)\b', 1), lambda w: lower(w)))) AS n FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS r FROM s WHERE n > 0)
+SELECT doc_id, string_agg({MARK}, ' ... ' ORDER BY r) AS best FROM r WHERE r <= 2 GROUP BY 1""")
+def best_fragment_terms(t):
+    """The two pieces of each English text that hold the most different ones of four words, marked."""
+    d = t("documents").where("lang = 'en'").select("doc_id", S.best_fragments(F.col("text"), ["the", "of", "and", "ioning"], 60, 2).alias("f"))
+    return d.where("f is not null").select("doc_id", F.array_join("f", " ... ").alias("best"))
+
+
+@query("SELECT p_partkey, replace(replace(p_name, 'i', '<b>i</b>'), '</b><b>', '') AS marked FROM part WHERE contains(p_name, 'i')")
+def marked_by_offsets(t):
+    """Single letters marked by their places, given last first and with overlaps."""
+    at = F.filter(F.transform(F.sequence(F.length("p_name"), F.lit(1), F.lit(-1)), lambda i: F.struct((i - 1).alias("start"), i.alias("end"))), lambda s: F.substr("p_name", s["end"], F.lit(1)) == "i")
+    spans = F.concat(at, at)
+    return t("part").select("p_partkey", S.marked_spans(F.col("p_name"), spans).alias("marked")).where("marked is not null")

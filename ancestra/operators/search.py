@@ -111,6 +111,41 @@ def fragments(c: Column, words: list[str], size: int = 100, most: int = 1) -> Co
     return F.when(F.size(marked) > 0, F.slice(marked, 1, most))
 
 
+def best_fragments(c: Column, words: list[str], size: int = 100, most: int = 1) -> Column:
+    """The `most` pieces of about `size` characters that hold the most different words, best first, ties in the order of the text; marked."""
+    import re
+
+    if not words:
+        return F.lit(None).cast("array<string>")
+    pieces = F.regexp_extract_all(c, F.lit(rf"(?s)(.{{1,{size}}}\S*)\s*"), F.lit(1))
+    any_word = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+    held = lambda x: F.size(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(any_word), F.lit(1)), F.lower)))
+    ranked = F.array_sort(F.transform(pieces, lambda x, i: F.struct((-held(x)).alias("score"), i.alias("at"), x.alias("piece"))))
+    best = F.slice(F.filter(ranked, lambda r: r["score"] < 0), 1, most)
+    return F.when(F.size(best) > 0, F.transform(best, lambda r: highlighted(r["piece"], words)))
+
+
+def marked_spans(c: Column, spans: Column, before: str = "<b>", after: str = "</b>") -> Column:
+    """Text with spans (start, end, ...) marked, whatever their order; spans that overlap are one. Null without spans.
+
+    Analyzers that add tokens give them out of order; all are put in the order of their starts, which is at least
+    what a bounded window does.
+    """
+    bound = lambda value, body: F.transform(F.array(value), body)[0]
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    reach = lambda s, i: F.array_max(F.transform(F.slice(s, 1, i), lambda x: x["end"]))
+
+    def joined(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] >= reach(s, i)), i)), lambda i: i.isNotNull())
+        return bound(starts, lambda at: F.transform(at, lambda i, j: F.struct(s[i]["start"].alias("start"), reach(s, F.coalesce(F.get(at, j + 1), F.size(s))).alias("end"))))
+
+    def text_of(s: Column) -> Column:
+        piece = lambda x, i: F.concat(F.substr(c, F.when(i == 0, 0).otherwise(F.get(s, i - 1)["end"]) + 1, x["start"] - F.when(i == 0, 0).otherwise(F.get(s, i - 1)["end"])), F.lit(before), F.substr(c, x["start"] + 1, x["end"] - x["start"]), F.lit(after))
+        return F.concat(F.array_join(F.transform(s, piece), ""), F.substr(c, F.element_at(s, -1)["end"] + 1))
+
+    return F.when(F.size(spans) > 0, bound(bound(ordered, joined), text_of))
+
+
 def joined_values(c: Column, separator: str = "; ") -> Column:
     """The values of a repeated field as one text."""
     return F.array_join(c, separator)

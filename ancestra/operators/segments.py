@@ -31,15 +31,35 @@ GONE = "__gone"
 KEPT = 2
 
 
+def value_counts(rows: DataFrame, fields: tuple[str, ...], sign: int = 1) -> DataFrame:
+    """(field, value, count): rows a value of each field, each value of an array once a row; null values don't count."""
+    arrays = {f.name: isinstance(f.dataType, T.ArrayType) for f in rows.schema.fields}
+    values = lambda f: F.array_distinct(F.coalesce(F.col(f), F.array().cast("array<string>"))) if arrays[f] else F.array(F.col(f).cast("string"))
+    each = F.concat(*[F.transform(values(f), _named(f)) for f in fields])
+    return rows.select(F.explode(each).alias("x")).select("x.*").where("value is not null").groupBy("field", "value").agg((F.lit(sign) * F.count(F.lit(1))).alias("count"))
+
+
+def _named(field: str):
+    return lambda v: F.struct(F.lit(field).alias("field"), v.cast("string").alias("value"))
+
+
+def summed(*counts: DataFrame) -> DataFrame:
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.groupBy("field", "value").agg(F.sum("count").alias("count")).where("count <> 0")
+
+
 class Segments:
     """The segments below `root`: an index of distinct keys.
 
-    fields: those whose postings are kept (operators.postings). fan, least: when to merge; segments of up to
-    `least` rows are of the same level.
+    fields: those whose postings are kept (operators.postings). counted: those whose values' numbers of rows are
+    kept: each segment holds by how much its batch changes them, so that a facet is a sum over small tables.
+    fan, least: when to merge; segments of up to `least` rows are of the same level.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "page_id", fields: tuple[str, ...] = (), fan: int = 4, least: int = 1000):
-        self.spark, self.key, self.fields, self.fan, self.least = spark, key, fields, fan, least
+    def __init__(self, spark: SparkSession, root: str, key: str = "page_id", fields: tuple[str, ...] = (), fan: int = 4, least: int = 1000, counted: tuple[str, ...] = ()):
+        self.spark, self.key, self.fields, self.fan, self.least, self.counted = spark, key, fields, fan, least, counted
         self.store = Store(spark, root)
 
     def manifest(self) -> dict | None:
@@ -79,8 +99,16 @@ class Segments:
         found = self._newest(m["segments"], lambda s: P.read(self.spark, self.store.path(f"{s['name']}/postings")), m["schema"])
         return found.withMetadata("term", {"fields": list(self.fields)})
 
-    def _write(self, name: str, rows: DataFrame, schema: str, old: list[dict] | None = None) -> dict:
-        """Write a segment; its postings come from its rows or, in a merge, from the postings of the old ones."""
+    def counts(self, field: str) -> DataFrame:
+        """(value, count) of a counted field over the rows that count: kept current, not counted anew."""
+        parts = [self._counts(s) for s in self.manifest()["segments"]]
+        return summed(*parts).where(F.col("field") == field).select("value", "count")
+
+    def _counts(self, segment: dict) -> DataFrame:
+        return self.spark.read.schema("field string, value string, count long").parquet(self.store.path(f"{segment['name']}/counts"))
+
+    def _write(self, name: str, rows: DataFrame, schema: str, old: list[dict] | None = None, replaced: DataFrame | None = None) -> dict:
+        """Write a segment; its postings and counts come from its rows (and those that they replace) or, in a merge, from those of the old ones."""
         rows.repartitionByRange(self.key).sortWithinPartitions(self.key).write.mode("overwrite").parquet(self.store.path(f"{name}/rows"))
         written = self._read({"name": name}, schema)
         if self.fields and old is None:
@@ -88,6 +116,13 @@ class Segments:
         elif self.fields:
             found = self._newest(old, lambda s: P.read(self.spark, self.store.path(f"{s['name']}/postings")), schema)
             P.write_rows(found, self.store.path(f"{name}/postings"), self.fields, self.key)
+        if self.counted:
+            if old is not None:
+                changes = summed(*[self._counts(s) for s in old])
+            else:
+                changes = value_counts(written.where(~F.col(GONE)), self.counted)
+                changes = summed(changes, value_counts(replaced, self.counted, -1)) if replaced is not None else changes
+            changes.select("field", "value", "count").write.mode("overwrite").parquet(self.store.path(f"{name}/counts"))
         return {"name": name, "rows": written.count(), "bytes": self.store.size(name)}
 
     def _commit(self, before: dict | None, batch: int, segments: list[dict], schema: str) -> None:
@@ -106,7 +141,9 @@ class Segments:
         columns = T.StructType.fromJson(json.loads(m["schema"])).names
         lost = gone.select(self.key).distinct().join(changes.select(F.col(self.key).alias("__k")), F.col(self.key) == F.col("__k"), "left_anti")
         rows = changes.select(*columns, F.lit(False).alias(GONE)).unionByName(lost.withColumn(GONE, F.lit(True)), allowMissingColumns=True)
-        added = self._write(f"segment-{batch:012d}", rows, m["schema"])
+        keys = rows.select(F.col(self.key).alias("__k"))
+        replaced = self.index().join(keys, F.col(self.key) == F.col("__k"), "left_semi") if self.counted else None
+        added = self._write(f"segment-{batch:012d}", rows, m["schema"], replaced=replaced)
         segments = [*m["segments"], added] if added["rows"] else m["segments"]
         self._commit(m, batch, segments, m["schema"])
         while self.merge():

@@ -116,3 +116,11 @@ def test_highlighted(spark):
     df = spark.createDataFrame([("The cat, the CAT; catalog",)], "t string")
     got = df.select(S.highlighted(F.col("t"), ["cat"]), S.highlighted(F.col("t"), ["dog"]), F.array_join(S.fragments(F.col("t"), ["cat"], 5, 9), "|"), S.alternate_text(F.array(F.lit("a"), F.lit("b")), 3)).first()
     assert got[0] == "The <b>cat</b>, the <b>CAT</b>; catalog" and got[1] is None and "<b>cat</b>" in got[2] and got[3] == "a; "
+
+
+def test_fragments_by_different_words_and_marks_by_offsets(spark):
+    text = "one cat here. a cat and a cat again. the Dog saw one cat near. nothing at all of it. dog"
+    got = spark.range(1).select(S.best_fragments(F.lit(text), ["cat", "dog"], 22, 2), S.best_fragments(F.lit(text), ["bird"], 22, 2), S.best_fragments(F.lit(None).cast("string"), ["cat"])).first()
+    assert got[0][0].lower().count("<b>") >= 2 and "<b>Dog</b>" in got[0][0] and got[1] is None and got[2] is None
+    df = spark.createDataFrame([("abcdef", [(4, 5), (0, 2), (1, 3), (4, 5)]), ("abc", []), ("abc", [(0, 3)]), ("abcd", [(0, 1), (1, 2), (0, 4)])], "t string, s array<struct<start:int,end:int>>")
+    assert [r[0] for r in df.select(S.marked_spans(F.col("t"), F.col("s"))).collect()] == ["<b>abc</b>d<b>e</b>f", None, "<b>abc</b>", "<b>abcd</b>"]

@@ -24,7 +24,7 @@ def test_batches_equal_the_whole(spark, tmp_path, fields):
     r = random.Random(4)
     some = lambda: r.choices(WORDS, k=r.randrange(4))
     want = {str(i): (str(i), 1, some()) for i in range(60)}
-    seg = G.Segments(spark, f"file://{tmp_path}/s", fields=fields, fan=3, least=4)
+    seg = G.Segments(spark, f"file://{tmp_path}/s", fields=fields, fan=3, least=4, counted=("words", "rev_id"))
     seg.create(spark.createDataFrame(list(want.values()), SCHEMA))
     with pytest.raises(ValueError):
         seg.create(spark.createDataFrame([], SCHEMA))
@@ -35,6 +35,9 @@ def test_batches_equal_the_whole(spark, tmp_path, fields):
         changes, lost = spark.createDataFrame(list(changed.values()), SCHEMA), spark.createDataFrame([(g,) for g in gone], "page_id string")
         assert seg.apply(batch, changes, lost) and not seg.apply(batch, changes.limit(0), lost.limit(0))
     assert rows_of(seg.index()) == sorted((a, b, *w) for a, b, w in want.values())
+    for f in ("words", "rev_id"):  # kept current, also over merges
+        recounted = {str(r.value): r["count"] for r in S.facet(seg.index(), f).collect()}
+        assert {r.value: r["count"] for r in seg.counts(f).collect()} == recounted
     m = seg.manifest()
     assert m["batch"] == 6 and len(m["segments"]) <= 6
     assert {s["name"] for s in m["segments"]} <= set(seg.store.names("segment-")) and len(seg.store.names("manifest-")) == G.KEPT
@@ -46,6 +49,7 @@ def test_batches_equal_the_whole(spark, tmp_path, fields):
             assert one == two
     seg.optimize()
     assert rows_of(seg.index()) == sorted((a, b, *w) for a, b, w in want.values())
+    assert sum(r["count"] for r in seg.counts("rev_id").collect()) == len(want)
     only = seg.manifest()["segments"]
     assert len(only) == 1 and only[0]["rows"] == len(want)
     if fields:
