@@ -5,10 +5,12 @@ over some megabytes of text, and aggregated by Spark. What follows is joins: eac
 the counts of the two parts of every cut, an exact score in Decimal, an anti join with the
 phrases that are one word longer, and a ranking by windows.
 
-A phrase that occurs `least` times has parts that do. So the sizes are counted one after the
-other, and an n-gram is left out of the rows if one of its (n - 1)-grams is known to be rarer.
-That is looked up in a bitmap of hashes of the frequent ones: of fixed size, so that it may be
-broadcast, and such that no frequent phrase is ever left out; a full bitmap only lets more rows through.
+A phrase that occurs `least` times has parts that do, and so has its hash. So the sizes are
+counted one after the other: first the hashes of those n-grams whose (n - 1)-grams' hashes are
+frequent, in rows of two numbers; then, in the pass that counts the next size's hashes, the n-grams
+themselves whose hash is frequent. What is frequent is looked up in a bitmap of hashes: of
+fixed size, so that it may be broadcast, and such that no frequent phrase is ever left out; a full
+bitmap only lets more rows through, and the counts that decide are those of the phrases themselves.
 """
 
 from __future__ import annotations
@@ -55,8 +57,16 @@ def distinct_grams(ids: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray,
     return at[first], times
 
 
-def grams(lang: str, texts: list[bytes], n: int, frequent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Rows of all n-grams within pieces whose (n - 1)-grams may be frequent; with n = 1 one more, the empty phrase, that counts the words."""
+def bits_of(at: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    return (frequent[at >> np.uint64(64 - BITMAP)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def grams(lang: str, texts: list[bytes], named: int, hashed: int, frequent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows of the n-grams within pieces: those of `named` words that may be frequent as phrases, those of `hashed` words whose parts may be as hashes (0: none).
+
+    frequent: the bitmap of the n-grams of `named` words, which are one word shorter than the hashed; None: all may be.
+    With words named, one more row, of the empty phrase, counts all words.
+    """
     chars = np.frombuffer(b"\n".join(texts).translate(PLAIN), dtype=np.uint8)
     inside = np.concatenate(([False], (chars != 32) & (chars != 10), [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -67,31 +77,40 @@ def grams(lang: str, texts: list[bytes], n: int, frequent: np.ndarray | None) ->
     offsets = np.concatenate(([0], np.cumsum(ends - starts)))
     known = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(chars[inside[1:-1]])]).dictionary_encode()
     ids, words = known.indices.to_numpy(), known.dictionary
-    whole = len(ids) - n + 1
-    if whole <= 0:
-        return
-    possible = piece[:whole] == piece[n - 1 :]
-    if frequent is not None and n > 1:
-        at = hashes(word_hashes(lang, words.to_pylist())[ids], n - 1)
-        may = (frequent[at >> np.uint64(64 - BITMAP)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        possible &= may[:whole] & may[1:]
-    at, times = distinct_grams(ids, np.flatnonzero(possible), n)
-    for i in range(0, len(at), ROWS):
-        part = at[i : i + ROWS]
-        phrase = pc.binary_join_element_wise(*(words.take(pa.array(ids[part + k])) for k in range(n)), pa.scalar(b" ", pa.large_binary()))
-        yield rows(lang, phrase.cast(pa.large_string()).cast(pa.string()), times[i : i + ROWS])
-    if n == 1:
+    del chars, inside, edges, known
+    together = lambda n: piece[: max(0, len(ids) - n + 1)] == piece[n - 1 :]
+    own = word_hashes(lang, words.to_pylist())[ids] if hashed or frequent is not None else None
+    short = named or hashed - 1
+    may = bits_of(hashes(own, short), frequent) if frequent is not None and short else None
+    if hashed and len(ids) >= hashed:
+        possible = together(hashed)
+        if may is not None:
+            possible &= may[: len(possible)] & may[1 : len(possible) + 1]
+        found, times = np.unique(hashes(own, hashed)[possible], return_counts=True)
+        for i in range(0, len(found), ROWS):
+            part = found[i : i + ROWS].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.string()), pa.array(part), pa.array(times[i : i + ROWS].astype(np.int64))], names=NAMES)
+    if named and len(ids) >= named:
+        at, times = distinct_grams(ids, np.flatnonzero(together(named) if may is None else together(named) & may), named)
+        for i in range(0, len(at), ROWS):
+            part = at[i : i + ROWS]
+            phrase = pc.binary_join_element_wise(*(words.take(pa.array(ids[part + k])) for k in range(named)), pa.scalar(b" ", pa.large_binary()))
+            yield rows(lang, phrase.cast(pa.large_string()).cast(pa.string()), times[i : i + ROWS])
+    if named == 1:
         yield rows(lang, pa.array([""]), np.array([len(ids)]))
 
 
+NAMES = ["key", "hash", "times"]
+
+
 def rows(lang: str, phrase: pa.Array, times: np.ndarray) -> pa.RecordBatch:
     """Language and phrase as one key, with a line feed between, which no phrase holds: of a row of short strings each further column is a large part."""
     key = pc.binary_join_element_wise(pa.scalar(lang), phrase, pa.scalar("\n"))
-    return pa.RecordBatch.from_arrays([key, pa.array(times.astype(np.int64))], names=["key", "times"])
+    return pa.RecordBatch.from_arrays([key, pa.nulls(len(key), pa.int64()), pa.array(times.astype(np.int64))], names=NAMES)
 
 
-def counted(docs: DataFrame, n: int, least: int, frequent: np.ndarray | None) -> DataFrame:
-    """(lang, phrase, f) of the n-grams with f >= least; with n = 1 also the empty phrase with the number of words."""
+def counted(docs: DataFrame, named: int, hashed: int, least: int, frequent: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
+    """((lang, phrase, f) of the n-grams of `named` words, (hash) of those of `hashed` words), of f >= least; with words named also the empty phrase with the number of words."""
     bits = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,26 +126,33 @@ def counted(docs: DataFrame, n: int, least: int, frequent: np.ndarray | None) ->
                     while size.get(lang, 0) >= TEXT or sum(size.values()) >= 2 * TEXT:
                         most = max(size, key=size.get)
                         del size[most]
-                        yield from grams(most, held.pop(most), n, bits.value)
+                        yield from grams(most, held.pop(most), named, hashed, bits.value)
         for lang, texts in held.items():
-            yield from grams(lang, texts, n, bits.value)
+            yield from grams(lang, texts, named, hashed, bits.value)
 
-    found = docs.mapInArrow(run, "key string, times long").groupBy("key").agg(F.sum("times").alias("f")).where((F.col("f") >= least) | F.endswith("key", F.lit("\n")))
+    found = docs.mapInArrow(run, "key string, hash long, times long").groupBy("key", "hash").agg(F.sum("times").alias("f"))
+    found = cut(found.where((F.col("f") >= least) | F.endswith("key", F.lit("\n"))))
     phrase = F.substring_index("key", "\n", -1)
     lang = F.substring("key", F.lit(1), F.char_length("key") - F.char_length(phrase) - 1)
-    return cut(found.select(lang.alias("lang"), phrase.alias("phrase"), "f"))
+    return found.where("key is not null").select(lang.alias("lang"), phrase.alias("phrase"), "f"), found.where("key is null").select("hash")
 
 
-def bitmap(found: DataFrame, n: int) -> np.ndarray:
-    """The bits of the hashes of all n-grams given; at most 2**BITMAP rows come to the driver, whatever their number."""
+def hashed_words(found: DataFrame) -> DataFrame:
+    """(hash) of (lang, phrase) of one word each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.array([hashes(word_hashes(lang, phrase.encode().split(b" ")), n)[0] for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((out >> np.uint64(64 - BITMAP)).astype(np.int64)), pa.array((np.uint64(1) << (out & np.uint64(63))).view(np.int64))], names=["at", "bits"])
+            out = np.array([hashes(word_hashes(lang, [word.encode()]), 1)[0] for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["hash"])
+
+    return found.where("phrase <> ''").select("lang", "phrase").mapInArrow(run, "hash long")
+
 
+def bitmap(found: DataFrame) -> np.ndarray:
+    """The bits of all hashes given; at most 2**BITMAP rows come to the driver, whatever their number."""
     out = np.zeros(1 << BITMAP, dtype=np.uint64)
-    sums = found.where("phrase <> ''").select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hash").bitwiseAND(F.lit(63)).cast("int"))
+    sums = found.select(F.shiftrightunsigned("hash", 64 - BITMAP).alias("at"), bit.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out[sums["at"].to_numpy()] = sums["bits"].to_numpy().view(np.uint64)
     return out
 
@@ -158,9 +184,16 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_n:
     """
     source = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).where("text <> ''")
     levels: list[DataFrame] = []
-    for n in range(1, max_n + 1):
-        frequent = bitmap(levels[-1], n - 1) if levels and prune else None
-        levels.append(counted(source, n, least, frequent))
+    if prune:
+        words, _ = counted(source, 1, 0, least, None)
+        levels.append(words)
+        hashes_of = hashed_words(words)
+        for n in range(2, max_n + 2):  # each pass names the phrases of n - 1 words, if they are more than words, and hashes those of n
+            frequent = bitmap(hashes_of)
+            phrases, hashes_of = counted(source, n - 1 if n > 2 else 0, n if n <= max_n else 0, least, frequent)
+            levels += [phrases] if n > 2 else []
+    else:
+        levels += [counted(source, n, 0, least, None)[0] for n in range(1, max_n + 1)]
     total = levels[0].where("phrase = ''").select("lang", F.col("f").alias("n"))
     count = levels[0].where("phrase <> ''").select("lang", "phrase", "f", F.lit(1).alias("words"))
     for n, level in enumerate(levels[1:], 2):

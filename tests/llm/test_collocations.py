@@ -54,7 +54,7 @@ def test_equals_plain(spark):
 def test_a_full_bitmap_only_lets_more_rows_through(spark, monkeypatch):
     rows = some_rows()[:150]
     docs = spark.createDataFrame(rows, "lang string, text string")
-    full = lambda found, n: collocations.np.full(1 << collocations.BITMAP, 2**64 - 1, dtype=collocations.np.uint64)
+    full = lambda found: collocations.np.full(1 << collocations.BITMAP, 2**64 - 1, dtype=collocations.np.uint64)
     monkeypatch.setattr(collocations, "bitmap", full)
     assert sorted(map(tuple, collocations.mine(docs).collect())) == plain(rows)
 
