@@ -6,10 +6,12 @@ import re
 
 from pyspark.sql import functions as F
 
-from ancestra.operators import extract
+from ancestra.operators import extract, index
+from ancestra.operators import places as P
 
 from . import query
 from .pages import raw_pages
+from .search import place_paths
 
 
 def filled(template: str):
@@ -103,3 +105,21 @@ def person_married_names(t):
     xml = "<person><name given='A' surname='{p_type}'/><gender>{case when p_size % 3 = 2 then 'M' else 'F' end}</gender><child_of_family title='{p_brand}'/><child_of_family title='{p_type}'/><spouse_of_family title='Bob Wed{p_size % 7} and A B (1)'/>{case when p_size % 3 = 0 then '<note>n</note>' else '' end}</person>{case when p_size % 3 = 2 then p_name else ' ' end}"
     d = extracted(t, "Person:{p_name} ({p_partkey})", xml)
     return d.select("page_id", *joined("PersonMarriedName", "PersonGender", "ParentFamilyTitle"), F.coalesce("Unsourced", F.lit(False)).alias("unsourced"))
+
+
+@query("""WITH p AS (SELECT n_nationkey, n_name || ', ' || r_name AS title, CASE WHEN n_nationkey % 2 = 0 THEN ';also ' || r_name ELSE '' END AS also FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT c_custkey::varchar AS page_id, '(no subordinate), ' || title || also AS born, CASE c_custkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN '(no subordinate), Nowhere, X' ELSE '(no subordinate), ' || title || also || ';(no subordinate), Nowhere, X' END AS died, '' AS married
+FROM customer JOIN p ON c_nationkey = n_nationkey""")
+def batch_place_standardize(t):
+    """The places of a batch of documents: redirects resolved, further parents added, unknown ones by themselves; all fields through one pair of joins."""
+    paths = place_paths(t)
+    none = F.array().cast("array<string>")
+    places = paths.select("title", none.alias("names"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.concat(F.lit("also "), "r_name"))).alias("also_located_in"), F.lit("nation").alias("place_type"), F.lit(None).cast("string").alias("lat"), F.lit(None).cast("string").alias("lng"))
+    redirects = paths.select(F.concat(F.lit("Old "), "title").alias("source"), F.col("title").alias("target"))
+    c = t("customer").join(paths, F.col("c_nationkey") == F.col("n_nationkey"))
+    old, lost = F.concat(F.lit("Old "), "title"), F.lit("Nowhere, X")
+    died = F.when(F.col("c_custkey") % 4 == 0, F.array(F.lit("unknown"))).when(F.col("c_custkey") % 4 == 1, F.array(lost)).otherwise(F.array(F.col("title"), lost))
+    docs = c.select(F.col("c_custkey").cast("string").alias("PageId"), F.array(F.when(F.col("c_custkey") % 3 == 0, old).otherwise(F.col("title"))).alias("PersonBirthPlace"), died.alias("PersonDeathPlace"), none.alias("MarriagePlace"), none.alias("OtherPlace"))
+    found = index.standardized_places(docs, redirects, P.indexed(places))
+    shown = lambda f: F.array_join(f, ";")
+    return found.select(F.col("PageId").alias("page_id"), shown("PersonBirthPlace").alias("born"), shown("PersonDeathPlace").alias("died"), shown("MarriagePlace").alias("married"))
