@@ -178,7 +178,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     Returns one row per input row: id, n_tokens, ids_sha256 (of the decimal ids joined by
     commas), decoded_sha256 (of the decoded text) and, if asked for, ids and decoded. A null
-    text is an empty text: no token and the digests of nothing. Null and repeated ids are
+    text is an empty text: no token and the digests of nothing; a very long one is encoded whole, in
+    memory in proportion to it. Null and repeated ids are
     kept; other columns, whatever their names, are left out. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)

@@ -265,7 +265,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, items, hit_words.
 
-    A null or empty text has no word, no hit and the digest of the empty string. Items whose
+    A null or empty text has no word, no hit and the digest of the empty string; a very long
+    one is searched whole, in memory in proportion to it. Items whose
     id or text is null, or that have no word, are left out; an item id that is repeated counts
     once in a document. Null and repeated document ids are kept; other columns of both tables
     are ignored whatever their names. An empty benchmark leaves every document clean.

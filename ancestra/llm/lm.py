@@ -481,7 +481,8 @@ def score(docs: DataFrame, model: Model, is_held_out: Callable = held_out, id_co
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score is the add-one unigram log10 probability of the whole text, score the model's.
-    A null text is empty: its only token is the end. A null id is no held-out one. Null and
+    A null text is empty: its only token is the end; a very long one is scored whole, in a slice
+    of its own. A null id is no held-out one. Null and
     repeated ids are kept; other columns are ignored. Untrained, every word has count 0. Map only.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])

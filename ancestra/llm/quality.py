@@ -184,7 +184,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     most `most_labelled` labelled documents, drawn by a hash of the id. k, the number of
     documents to accept, is by default the number whose log weight reaches the threshold.
     Documents whose keys tie with the k-th are accepted with it. Null and empty texts have no
-    n-gram and weight 0, and are judged by that. Null ids share one noise value; repeated rows
+    n-gram and weight 0, and are judged by that; a very long text is counted whole, in memory in
+    proportion to it. Null ids share one noise value; repeated rows
     have equal keys. Without labels, target and raw differ by nothing and all are accepted.
     Other columns are ignored, whatever their names.
     """

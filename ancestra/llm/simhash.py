@@ -199,8 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, fingerprint (16 hex digits), component_id.
 
     Exact copies share a fingerprint and are one node. Null and empty texts have fingerprint
-    zero, linked like any other. A null id is kept and ignored when the smallest id is
-    sought. Repeated rows each get their row. Other columns are left out whatever their names.
+    zero, linked like any other; a very long text is hashed whole, its shingles' bits counted in
+    parts. A null id is kept and ignored when the smallest id is sought. Repeated rows each get their row. Other columns are left out whatever their names.
     """
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     prints = cut(with_fingerprint(source, "text", "fp", words_per_shingle).select("id", "fp"))
@@ -479,7 +479,8 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of docs, with all their columns, that are the first of their class of similar texts.
 
     Of each class the row with the smallest id stays; of repeated rows one stays; ids that are
-    null come last. Classes whose smallest ids are equal or null each keep a row. Null and empty texts are one class. The documents are shuffled once, by id.
+    null come last. Classes whose smallest ids are equal or null each keep a row. Null and empty texts are one class. A very long
+    text's set of shingles is held whole. The documents are shuffled once, by id.
     """
     keep, mark = unused(docs, "keep"), unused(docs, "mark")
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))

@@ -96,7 +96,8 @@ def count_tokens(docs: DataFrame, scores: dict[bytes, int], id_col: str = "doc_i
     """One row per input row: id, n_pretokens, n_bytes, n_tokens, over the whole text.
 
     scores: pieces (bytes) and their log probabilities in millionths; broadcast, of a size that
-    the vocabulary fixes. A null or empty text has no tokens. Null and repeated ids are kept;
+    the vocabulary fixes. A null or empty text has no tokens; a very long one is counted whole.
+    Null and repeated ids are kept;
     only the id and the text are read. Map only; a worker's trie and its table of terminal
     counts are bounded.
     """

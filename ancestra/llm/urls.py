@@ -172,7 +172,8 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str]
 
     labelled: (url, block) rows of which the trees learn; at most most_labelled are used. Where
     no rule fits, verdict is block if the trees' probability (score) is over `cut`. A null URL
-    or one without "://" has an empty host and path and is judged by the trees. Without labels
+    or one without "://" has an empty host and path and is judged by the trees; a very long one is
+    judged whole. Without labels
     the score is 0.5 and the verdict allow. Null and repeated ids are kept; only the id and the
     URL are read. Map only, but for drawing the sample.
     """

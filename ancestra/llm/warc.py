@@ -308,7 +308,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Of records with equal payloads of at least revisit_from bytes, that of the largest id is a
     response and the others revisit it; rows that repeat its id and payload are responses, too.
-    A null payload is empty. Null ids are below all others. A file is written under a hidden
+    A null payload is empty; a very long one is a record like any other, held whole while it is
+    written. Null ids are below all others. A file is written under a hidden
     name and then renamed; its name and its rows follow from the partition alone, so that a
     task that runs again replaces its own files.
     """
