@@ -15,7 +15,7 @@ from ancestra.llm.common import fresh_path, remove_path, table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts.
 
-    Null and empty texts have no n-gram and are judged by that; repeated rows and ties with the
+    Null and empty texts have no n-gram and are judged by that; a very long text is counted whole; repeated rows and ties with the
     last one accepted go or stay together. Without labels all stay; an empty table stays empty.
     """
     return quality.keep_accepted(docs, table(spark, sf_dir, "labels"))
@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each class of texts whose sets of five-word shingles are similar to 0.8 or more; SimHashes find the candidates.
 
-    Null and empty texts are one class. Of repeated rows one stays; rows without an id come last
+    Null and empty texts are one class; a very long text's shingles are compared whole. Of repeated rows one stays; rows without an id come last
     in their class, and a class of such rows keeps one. An empty table stays empty.
     """
     return simhash.keep_similar(docs)
@@ -33,7 +33,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark.
 
-    Null and empty texts hold none; repeated rows each stay or go. Without benchmark items, or
+    Null and empty texts hold none; a very long one is searched whole; repeated rows each stay or go. Without benchmark items, or
     with none that has a word, all stay; an empty table stays empty.
     """
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
@@ -42,7 +42,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document left.
 
-    A null text counts as empty: no token, and the digests of the empty string. Null and repeated
+    A null text counts as empty: no token, and the digests of the empty string; a very long one is encoded whole. Null and repeated
     ids each give a row. An empty table gives none.
     """
     return bpe.encode_documents(docs, bpe.read_text(spark, bpe.default_path()))
