@@ -35,7 +35,11 @@ def midpoint(before, after):
 
 
 def inserted(labels: DataFrame, keys: DataFrame, key: str = "sort_key") -> DataFrame:
-    """labels with the keys it hasn't, each halfway between its neighbours; where several fall between the same two, they share out the gap evenly in their order."""
+    """labels with the keys it hasn't, each halfway between its neighbours; where several fall between the same two, they share out the gap evenly in their order.
+
+    Where a gap is too small for its keys, the labels of the smallest aligned ranges that are at most half full are shared
+    out anew with them; labels elsewhere stay. So labels keep the strict order of their keys.
+    """
     labels = cut(labels.select(key, "value"))
     new = cut(keys.select(key).distinct().join(labels.select(key), key, "left_anti"))
     new = cut(asof(new, labels, key, "value", how="backward", out="low"))
@@ -44,6 +48,26 @@ def inserted(labels: DataFrame, keys: DataFrame, key: str = "sort_key") -> DataF
     new = positions(new, [key], by=["low", "high"], out="at").join(many, F.col("low").eqNullSafe(F.col("of_low")) & F.col("high").eqNullSafe(F.col("of_high")))
     low, high = F.coalesce("low", F.lit(LOWEST)).cast("long"), F.coalesce("high", F.lit(HIGHEST)).cast("long")
     at, n = F.col("at"), F.col("n")
+    crowded = new.where(n > high - low - 1).select(low.alias("near"))
+    if crowded.first() is not None:
+        moved = shared_out(labels, new.select(key, low.alias("near")), crowded, key)
+        rest = labels.join(moved.select(key), key, "left_anti").unionByName(moved)
+        return inserted(rest, new.select(key).join(moved.select(key), key, "left_anti"), key)
     step = ((low * (n + 1 - at) + high * at) / (n + 1)).cast("long")
     value = F.when(n == 1, midpoint(F.col("low"), F.col("high"))).otherwise(step.cast("int"))
     return insert_ignore(labels.select(key, "value"), new.select(key, value.alias("value")), key)
+
+
+def shared_out(labels: DataFrame, new: DataFrame, crowded: DataFrame, key: str) -> DataFrame:
+    """(key, value): new labels of all keys, old and new, in the ranges round the crowded places; new keys are where the label before them is (near)."""
+    every = cut(labels.select(key, F.col("value").cast("long").alias("near")).unionByName(new))
+    crowded = cut(crowded.distinct())
+    for i in range(1, 33):
+        block = lambda c, i=i: F.floor((F.col(c) - LOWEST) / (1 << i)).cast("long").alias("block")
+        inside = every.select(key, block("near")).join(crowded.select(block("near")).distinct(), "block", "left_semi")
+        counts = inside.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+        if counts.where(F.col("n") > 1 << (i - 1)).first() is None:
+            inside = positions(cut(inside), [key], by=["block"], out="at").join(counts, "block")
+            value = F.lit(LOWEST).cast("long") + F.col("block") * (1 << i) + F.floor(F.col("at") * F.lit(1 << i).cast("long") / (F.col("n") + 1)).cast("long")
+            return cut(inside.select(key, value.cast("int").alias("value")))
+    raise ValueError("more keys than half of all labels")

@@ -56,6 +56,18 @@ def test_labels(spark):
     assert {r.sort_key: r.value for r in three.collect()}["a"] == -1073741824
 
 
+@pytest.mark.parametrize("labels, keys", [
+    ([("a", 10), ("c", 11)], ["b"]), ([("a", 10), ("c", 11), ("d", 12), ("z", 900_000)], [f"b{i:04d}" for i in range(3000)] + ["e", "0"]),
+    ([("a", -(1 << 31)), ("c", (1 << 31) - 1)], ["0", "b", "d"]), ([("a", 5), ("b", 6), ("m", 1000), ("n", 1001)], ["aa", "mm", "c", "o"]),
+])
+def test_full_gaps_are_widened(spark, labels, keys):
+    out = K.inserted(spark.createDataFrame(labels, "sort_key string, value int"), spark.createDataFrame([(k,) for k in keys], "sort_key string"))
+    got = sorted((r.sort_key, r.value) for r in out.collect())
+    assert [k for k, _ in got] == sorted([*dict(labels), *keys]) and all(a[1] < b[1] for a, b in zip(got, got[1:], strict=False))
+    if len(keys) > 100:
+        assert dict(got)["z"] == 900_000  # far labels stay
+
+
 def test_labels_stay_in_order(spark):
     rng = random.Random(2)
     words = ["".join(rng.choices("abc", k=4)) for _ in range(40)]
