@@ -46,9 +46,14 @@ def cursor_of(feed: str, row: tuple) -> str:
     return f"{row[0]}/{row[1]}" if feed in LOGS else str(row[0])
 
 
+def row_place(feed: str, row: tuple) -> tuple:
+    """place() of a row's cursor."""
+    return (row[0], row[1]) if feed in LOGS else (row[0],)
+
+
 def beyond(feed: str, row: tuple, after: str) -> bool:
     """Whether a feed that goes on from a cursor gives this row."""
-    return row[0] >= after.partition("/")[0] if feed == "deletes" else place(feed, cursor_of(feed, row)) > place(feed, after)
+    return row[0] >= after.partition("/")[0] if feed == "deletes" else row_place(feed, row) > place(feed, after)
 
 
 class Transport(ABC):
@@ -67,14 +72,19 @@ class Transport(ABC):
         """The rows that the feed gives from a cursor on (see beyond()), up to and with another."""
 
 
+#: Rows of a file, in whole pages, and the most tasks of one read: folders, listings and tasks don't grow with the number of pages.
+ROWS_A_FILE = 100_000
+MOST_SPANS = 1000
+
+
 class Pages(Transport):
-    """Feeds in a folder of the shared store, a Parquet folder a page, as write_pages() writes them; pages may be added at any time."""
+    """Feeds in a folder of the shared store, as write_pages() writes them: folders of many pages, named by their last cursor, in whose files each page is a row group. Pages may be added at any time."""
 
     def __init__(self, path: str):
         self.path = path.rstrip("/")
 
-    def _pages(self, feed: str) -> list[tuple[tuple, str, str]]:
-        """(place, cursor, path) of each page, by its last cursor."""
+    def _folders(self, feed: str) -> list[tuple[tuple, str, str]]:
+        """(place, cursor, path) of each folder, by its last cursor."""
         from pyarrow import fs
 
         store, top = filesystem(f"{self.path}/{feed}")
@@ -83,37 +93,52 @@ class Pages(Transport):
         return sorted((place(feed, c), c, p) for c, p in names)
 
     def latest(self, feed: str) -> str | None:
-        pages = self._pages(feed)
-        return pages[-1][1] if pages else None
+        folders = self._folders(feed)
+        return folders[-1][1] if folders else None
 
     def cuts(self, feed: str, after: str, until: str) -> list[str]:
-        inner = [c for p, c, _ in self._pages(feed) if place(feed, after) < p < place(feed, until)]
-        return [*inner, until]
+        since, upto = place(feed, after), place(feed, until)
+        inner = [c for p, c, _ in self._folders(feed) if since < p < upto]
+        each = len(inner) // MOST_SPANS + 1
+        return [*inner[each - 1 :: each], until]
 
     def rows(self, feed: str, after: str, until: str) -> Iterator[tuple]:
-        import pyarrow.parquet as pq
+        from pyarrow import fs
 
         names = [c.split()[0] for c in COLUMNS[feed].split(", ")]
         again = feed == "deletes"
-        for _, cursor, path in self._pages(feed):
-            if place(feed, cursor) < place(feed, after) and not (again and cursor.partition("/")[0] == after.partition("/")[0]):
+        since, upto, stamp = place(feed, after), place(feed, until), after.partition("/")[0]
+        store = filesystem(self.path)[0]
+        for last, cursor, path in self._folders(feed):
+            if last < since and not (again and cursor.partition("/")[0] == stamp):
                 continue
-            table = pq.read_table(path, columns=names, filesystem=filesystem(self.path)[0], partitioning=None)
-            rows = [r for r in zip(*(table[c].to_pylist() for c in names), strict=True) if beyond(feed, r, after) and place(feed, cursor_of(feed, r)) <= place(feed, until)]
-            yield from sorted(rows, key=lambda r: place(feed, cursor_of(feed, r)))
-            if place(feed, cursor) >= place(feed, until):
+            for file in sorted(x.path for x in store.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".parquet")):
+                for page in self._pages(store, file, names):
+                    yield from sorted((r for r in page if (r[0] >= stamp if again else row_place(feed, r) > since) and row_place(feed, r) <= upto), key=lambda r: row_place(feed, r))
+            if last >= upto:
                 return
 
+    @staticmethod
+    def _pages(store, file: str, names: list[str]) -> Iterator[Iterator[tuple]]:
+        """The rows of each page of a file, of which one is held at a time."""
+        import pyarrow.parquet as pq
+
+        with store.open_input_file(file) as opened:
+            pages = pq.ParquetFile(opened)
+            for i in range(pages.num_row_groups):
+                table = pages.read_row_group(i, columns=names)
+                yield zip(*(table[c].to_pylist() for c in names), strict=True)
+
 
 def write_pages(rows: DataFrame, path: str, feed: str, size: int) -> None:
     """Add a feed's rows, which must come after those that are there, as pages of `size` rows."""
     names = [c.split()[0] for c in COLUMNS[feed].split(", ")]
     cursor = F.concat_ws("/", *names[:2]) if feed in LOGS else F.col(names[0]).cast("string")
     numbered = positions(rows.select(*names), names[:2], out="__n")
-    page = numbered.withColumn("__page", F.floor((F.col("__n") - 1) / size))
-    last = F.max_by(cursor, F.col("__n"))
-    ends = page.groupBy("__page").agg(last.alias("upto")).withColumnRenamed("__page", "__p")
-    page.join(ends, F.col("__page") == F.col("__p")).repartition("upto").select(*names, "upto").write.mode("append").partitionBy("upto").parquet(f"{path.rstrip('/')}/{quote(feed)}")
+    held = numbered.withColumn("__file", F.floor((F.col("__n") - 1) / (max(1, ROWS_A_FILE // size) * size)))
+    ends = held.groupBy("__file").agg(F.max_by(cursor, F.col("__n")).alias("upto")).withColumnRenamed("__file", "__f")
+    files = held.join(ends, F.col("__file") == F.col("__f")).repartition("upto").sortWithinPartitions("upto", "__n")
+    files.select(*names, "upto").write.mode("append").option("parquet.block.row.count.limit", str(size)).option("maxRecordsPerFile", "0").partitionBy("upto").parquet(f"{path.rstrip('/')}/{quote(feed)}")
 
 
 class Span(InputPartition):
@@ -135,9 +160,9 @@ class _Rows:
 
     def batches(self, span: Span, first: str, size: int = 10_000) -> Iterator[pa.RecordBatch]:
         """Rows of a span, each in one span only; `first` is the cursor at which the whole read begins, whose timestamp the delete log reads again."""
-        schema, held = arrow_schema(self.feed), []
+        schema, held, since = arrow_schema(self.feed), [], place(self.feed, span.after)
         for row in self.transport.rows(self.feed, span.after, span.until):
-            if span.after != first and place(self.feed, cursor_of(self.feed, row)) <= place(self.feed, span.after):
+            if span.after != first and row_place(self.feed, row) <= since:
                 continue
             held.append(row)
             if len(held) == size:

@@ -1,5 +1,6 @@
 """Feeds as a data source, and the guard that keeps state."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,25 @@ def test_pages_give_what_was_written(spark, tmp_path, size):
     assert read(spark, t, "moves") == []
 
 
+def test_many_pages_take_few_folders_and_tasks(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    rows = spark.range(1, 1501).selectExpr("id as rev_id", "id % 7 as page_id", "cast(null as string) as rev_timestamp")
+    feeds.write_pages(rows.repartition(3), path, "revisions", 2)
+    assert len(list((tmp_path / "p" / "revisions").glob("upto=*"))) == 1
+    (file,) = (tmp_path / "p" / "revisions").glob("upto=*/*.parquet")
+    groups = pq.ParquetFile(file).metadata
+    assert [groups.row_group(i).num_rows for i in range(groups.num_row_groups)] == [2] * 750
+    spark.dataSource.register(feeds.feed_source(feeds.Pages(path)))
+    read = feeds.read_feed(spark, "revisions", "7")
+    assert read.rdd.getNumPartitions() == 1 and sorted(r.rev_id for r in read.collect()) == list(range(8, 1501))
+    monkeypatch.setattr(feeds, "ROWS_A_FILE", 100)
+    monkeypatch.setattr(feeds, "MOST_SPANS", 4)
+    feeds.write_pages(rows.withColumn("rev_id", F.col("rev_id") + 1500), path, "revisions", 30)  # 17 folders of 90 rows
+    read = feeds.read_feed(spark, "revisions", "7")
+    assert len(list((tmp_path / "p" / "revisions").glob("upto=*"))) == 18
+    assert len(feeds.Pages(path).cuts("revisions", "7", "3000")) <= 5 and sorted(r.rev_id for r in read.collect()) == list(range(8, 3001))
+
+
 def test_a_stream_goes_on_without_loss(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.dataSource.register(feeds.feed_source(feeds.Pages(path)))
