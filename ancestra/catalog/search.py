@@ -305,7 +305,7 @@ def best_k_search(t):
 def dictionary(t):
     """A dictionary of the documents' words, written below the shared folder."""
     docs = indexed(t).select("PageId", "Keywords")
-    return Terms(docs.sparkSession, f"{shared_dir(docs.sparkSession).rstrip('/')}/terms-{uuid.uuid4().hex}").write(P.postings(docs, ("Keywords",)))
+    return Terms(docs.sparkSession, f"{shared_dir(docs.sparkSession).rstrip('/')}/terms-{uuid.uuid4().hex}").write(P.held(docs, ("Keywords",)))
 
 
 WORDS = f"{D}, w AS (SELECT DISTINCT PageId, unnest(k) AS term FROM d), v AS (SELECT term, count(*) AS documents FROM w GROUP BY 1)"

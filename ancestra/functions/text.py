@@ -176,7 +176,7 @@ def without_stop_words(tokens: Column | str, stop=data.STOP_WORDS) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Lower-cased romanized runs of letters and digits."""
-    return F.filter(F.split(F.lower(romanize(c)), "[^a-z0-9]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(romanize(c)), "[^a-z0-9]+"), "")
 
 
 def strip_markup(c: Column | str) -> Column:

@@ -29,6 +29,21 @@ def grouped_places(field: str, terms: Column) -> Column:
     return bound(placed, lambda s: bound(first_of_each(s), lambda starts: groups(s, starts)))
 
 
+def _terms(index: DataFrame, field: str) -> Column:
+    """A field's terms as an array; a string field is one term."""
+    if isinstance(index.schema[field].dataType, T.ArrayType):
+        return F.coalesce(F.col(field), F.array().cast("array<string>"))
+    return F.array(F.col(field).cast("string"))
+
+
+def held(index: DataFrame, fields: tuple[str, ...], key: str = "PageId") -> DataFrame:
+    """(field, term, key) of the rows of postings(), in no order and without a shuffle: what counts terms needs no more."""
+    each = [F.transform(F.array_distinct(F.array_compact(_terms(index, f))), lambda x, f=f: F.struct(F.lit(f).alias("field"), x.alias("term"))) for f in fields]
+    if len(fields) == 1:  # the terms as they are, without a record for each
+        return index.select(F.lit(fields[0]).alias("field"), F.explode(F.array_distinct(F.array_compact(_terms(index, fields[0])))).alias("term"), key)
+    return index.select(key, F.explode(F.concat(*each)).alias("x")).select("x.field", "x.term", key)
+
+
 def postings(index: DataFrame, fields: tuple[str, ...], key: str = "PageId", impact: str | None = None) -> DataFrame:
     """(field, term, key, positions) of the index's term fields, one row a term and document, in that order.
 
@@ -40,10 +55,8 @@ def postings(index: DataFrame, fields: tuple[str, ...], key: str = "PageId", imp
     one term. Null terms have neither row nor position, as in the search of arrays; keys must be
     distinct, as write() checks. The fields go with the rows, as metadata of `term`.
     """
-    arrays = {f.name: isinstance(f.dataType, T.ArrayType) for f in index.schema.fields}
-    terms = lambda f: F.coalesce(F.col(f), F.array().cast("array<string>")) if arrays[f] else F.array(F.col(f).cast("string"))
     carried = [F.coalesce(F.col(impact).cast("double"), F.lit(0.0)).alias("impact")] if impact else []
-    each = index.select(key, *carried, F.explode(F.concat(*[grouped_places(f, terms(f)) for f in fields])).alias("x")).select("x.field", "x.term", *(["impact"] if impact else []), key, "x.positions")
+    each = index.select(key, *carried, F.explode(F.concat(*[grouped_places(f, _terms(index, f)) for f in fields])).alias("x")).select("x.field", "x.term", *(["impact"] if impact else []), key, "x.positions")
     return _ordered(each, fields, key, impact)
 
 

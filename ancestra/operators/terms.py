@@ -22,7 +22,7 @@ NAMED = 1000
 
 
 def dictionary(postings: DataFrame) -> DataFrame:
-    """(field, term, documents) of a table of postings."""
+    """(field, term, documents) of a table of postings, or of postings.held(), which needs neither places nor order."""
     return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("documents")).repartitionByRange("field", "term").sortWithinPartitions("field", "term")
 
 
@@ -33,7 +33,9 @@ def pieces(term: Column, n: int) -> Column:
 
     def each(m: Column) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(m) - n + 1, F.lit(1))), lambda i: F.substring(m, i, n))
-        return bound(grams, lambda g: F.transform(g, lambda x, i: F.struct(x.alias("gram"), F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).alias("nth"))))
+        once = lambda g: F.transform(g, lambda x: F.struct(x.alias("gram"), F.lit(1).alias("nth")))
+        counted = lambda g: F.transform(g, lambda x, i: F.struct(x.alias("gram"), F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).alias("nth")))
+        return bound(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), once(g)).otherwise(counted(g)))  # few terms have a piece twice, and only they are compared piece by piece
 
     return bound(marked, each)
 

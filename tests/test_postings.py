@@ -135,3 +135,23 @@ def test_empty_table(spark, docs, tmp_path):
     P.write(docs.limit(0), str(tmp_path / "p"), ("Keywords", "Title"))
     none = P.postings(docs.limit(0), ("Keywords", "Title"))
     assert S.search(docs.limit(0), "reed", postings=none).docs.collect() == []
+
+
+def test_held_are_the_rows_of_postings_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, ["b", "a", None, "b"], "x y"), (2, None, None), (3, ["a"], "x y"), (4, [], "z")], "PageId long, Keywords array<string>, Title string")
+    for fields in (("Keywords",), ("Title",), ("Keywords", "Title")):
+        found = P.held(docs, fields)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        want = P.postings(docs, fields).select("field", "term", "PageId")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_the_dictionary_of_a_query_shuffles_counts_only(spark, monkeypatch):
+    from ancestra.catalog import search
+    from ancestra.operators.terms import Terms
+
+    given = []
+    monkeypatch.setattr(Terms, "write", lambda self, rows: given.append(rows) or self)
+    search.dictionary(lambda name: spark.createDataFrame([(1, "one Two one", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long"))
+    assert "Exchange" not in given[0]._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.term for r in given[0].collect()) == ["one", "two"]
