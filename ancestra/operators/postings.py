@@ -38,10 +38,14 @@ def _terms(index: DataFrame, field: str) -> Column:
 
 def held(index: DataFrame, fields: tuple[str, ...], key: str = "PageId") -> DataFrame:
     """(field, term, key) of the rows of postings(), in no order and without a shuffle: what counts terms needs no more."""
-    each = [F.transform(F.array_distinct(F.array_compact(_terms(index, f))), lambda x, f=f: F.struct(F.lit(f).alias("field"), x.alias("term"))) for f in fields]
+    distinct = lambda f: F.array_distinct(F.array_compact(_terms(index, f)))
     if len(fields) == 1:  # the terms as they are, without a record for each
-        return index.select(F.lit(fields[0]).alias("field"), F.explode(F.array_distinct(F.array_compact(_terms(index, fields[0])))).alias("term"), key)
-    return index.select(key, F.explode(F.concat(*each)).alias("x")).select("x.field", "x.term", key)
+        return index.select(F.lit(fields[0]).alias("field"), F.explode(distinct(fields[0])).alias("term"), key)
+
+    def named(f: str) -> Column:
+        return F.transform(distinct(f), lambda x: F.struct(F.lit(f).alias("field"), x.alias("term")))
+
+    return index.select(key, F.explode(F.concat(*[named(f) for f in fields])).alias("x")).select("x.field", "x.term", key)
 
 
 def postings(index: DataFrame, fields: tuple[str, ...], key: str = "PageId", impact: str | None = None) -> DataFrame:
