@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,21 +17,10 @@ from ancestra.plans.ast import MUST, MUST_NOT, SHOULD, Bool, DisMax, Fuzzy, Phra
 from ancestra.plans.compile import Compiler
 
 LEAF = (Term, Phrase, Prefix, Wildcard, Range, Fuzzy)
-
-
-def grouped_places(field: str, terms: Column) -> Column:
-    """(field, term, positions) of an array of terms, a row a different term; within the document, so before anything is shuffled."""
-    bound = lambda value, body: F.transform(F.array(value), body)[0]
-    placed = F.sort_array(F.transform(F.array_compact(terms), lambda x, i: F.struct(x.alias("term"), i.alias("position"))))
-
-    def first_of_each(s: Column) -> Column:
-        return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["term"] != F.get(s, i - 1)["term"]), i)), lambda i: i.isNotNull())
-
-    def groups(s: Column, starts: Column) -> Column:
-        end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(s))
-        return F.transform(starts, lambda i, j: F.struct(F.lit(field).alias("field"), s[i]["term"].alias("term"), F.transform(F.slice(s, i + 1, end(j) - i), lambda x: x["position"]).alias("positions")))
-
-    return bound(placed, lambda s: bound(first_of_each(s), lambda starts: groups(s, starts)))
+#: Documents from which write() learns where its files' ranges begin; about the rows of a file, and the least worth one of their own.
+SAMPLED, FILE, LEAST = 2000, 2_000_000, 20_000
+#: Terms of documents that are put in order at once, and rows of an Arrow batch.
+SLICE, BATCH = 2_000_000, 100_000
 
 
 def _terms(index: DataFrame, field: str) -> Column:
@@ -59,14 +53,116 @@ def postings(index: DataFrame, fields: tuple[str, ...], key: str = "PageId", imp
     one term. Null terms have neither row nor position, as in the search of arrays; keys must be
     distinct, as write() checks. The fields go with the rows, as metadata of `term`.
     """
+    return _ordered(_placed(index, fields, key, impact).drop("part"), fields, key, impact)
+
+
+def _placed(index: DataFrame, fields: tuple[str, ...], key: str, impact: str | None, starts: tuple[tuple, ...] = ()) -> DataFrame:
+    """The rows of postings() in no order over all, with the number of their range as `part`; ranges begin at `starts`."""
     carried = [F.coalesce(F.col(impact).cast("double"), F.lit(0.0)).alias("impact")] if impact else []
-    each = index.select(key, *carried, F.explode(F.concat(*[grouped_places(f, _terms(index, f)) for f in fields])).alias("x")).select("x.field", "x.term", *(["impact"] if impact else []), key, "x.positions")
-    return _ordered(each, fields, key, impact)
+    given = index.select(F.col(key), *carried, *[_terms(index, f).cast("array<string>").alias(f"__t{i}") for i, f in enumerate(fields)])
+    schema = T.StructType().add("field", "string").add("term", "string")
+    for f in given.schema.fields[1 : 1 + len(carried)] + given.schema.fields[:1]:
+        schema = schema.add(f)
+    schema = schema.add("positions", T.ArrayType(T.IntegerType())).add("part", T.IntegerType())
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _slices(batch, len(fields)):
+                for i, f in enumerate(fields):
+                    yield from _field_rows(some, f, 1 + bool(impact) + i, bool(impact), starts, names)
+
+    return given.mapInArrow(run, schema)
+
+
+def _slices(batch: pa.RecordBatch, fields: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE terms; a longer document is alone in its slice."""
+    sizes = sum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[-fields:])
+    ends, start = np.cumsum(sizes), 0
+    while start < len(batch):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def _field_rows(batch: pa.RecordBatch, field: str, at: int, impact: bool, starts: tuple[tuple, ...], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A field's rows of a slice, in order: documents and terms get numbers in their order, and both together are sorted as one."""
+    n, keys = len(batch), batch.column(0)
+    lists = batch.column(at)
+    terms = lists.flatten()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(n), sizes)
+    if terms.null_count:
+        there = terms.is_valid()
+        terms, doc = terms.filter(there), doc[there.to_numpy(zero_copy_only=False)]
+        sizes = np.bincount(doc, minlength=n)
+    if not len(terms):
+        return
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    columns = {"key": keys} | ({"impact": batch.column(1)} if impact else {})
+    docs = pc.sort_indices(pa.table(columns), sort_keys=[*([("impact", "descending")] if impact else []), ("key", "ascending")]).to_numpy()
+    number = np.empty(n, np.int64)
+    number[docs] = np.arange(n)
+    coded = terms.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    words = coded.dictionary.take(order)
+    rank = np.empty(len(words), np.int64)
+    rank[order.to_numpy()] = np.arange(len(words))
+    both = rank[coded.indices.to_numpy()] * n + number[doc]
+    sort = np.argsort(both, kind="stable")
+    both, place = both[sort], place[sort].astype(np.int32)
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    rows = both[first]
+
+    def least(j: int) -> tuple:
+        d = int(docs[j])
+        return (*((-batch.column(1)[d].as_py(),) if impact else ()), keys[d].as_py())
+
+    base = sum(s[0] < field for s in starts)
+    cuts = []
+    for s in starts:
+        if s[0] == field:
+            w = bisect_left(range(len(words)), s[1], key=lambda j: words[j].as_py())
+            d = bisect_left(range(n), s[2:], key=least) if w < len(words) and words[w].as_py() == s[1] else 0
+            cuts.append(w * n + d)
+    part = (base + np.searchsorted(np.array(cuts, np.int64), rows, "right")).astype(np.int32)
+    offsets = np.append(first, len(both)).astype(np.int32)
+    for i in range(0, len(rows), BATCH):
+        some = rows[i : i + BATCH]
+        of = pa.array(docs[some % n])
+        carried = [batch.column(1).take(of)] if impact else []
+        positions = pa.ListArray.from_arrays(pa.array(offsets[i : i + len(some) + 1]), pa.array(place))
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(field, words.type), len(some)), words.take(pa.array(some // n)), *carried, keys.take(of), positions, pa.array(part[i : i + len(some)])], names)
+
+
+def _order(columns: list[str], key: str) -> list[Column]:
+    return [F.col("field"), F.col("term"), *([F.desc("impact")] if "impact" in columns else []), F.col(key)]
+
+
+def _said(rows: DataFrame, fields: tuple[str, ...], impact: str | None) -> DataFrame:
+    return rows.withMetadata("term", {"fields": list(fields)} | ({"impact": impact} if impact else {}))
 
 
 def _ordered(rows: DataFrame, fields: tuple[str, ...], key: str, impact: str | None) -> DataFrame:
-    order = [F.col("field"), F.col("term"), *([F.desc("impact")] if "impact" in rows.columns else []), F.col(key)]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).withMetadata("term", {"fields": list(fields)} | ({"impact": impact} if impact else {}))
+    order = _order(rows.columns, key)
+    return _said(rows.repartitionByRange(*order).sortWithinPartitions(*order), fields, impact)
+
+
+def _starts(index: DataFrame, fields: tuple[str, ...], key: str, impact: str | None) -> tuple[tuple, ...]:
+    """Where ranges of about equal rows begin, by the rows of some SAMPLED documents; all documents' rows are put into them.
+
+    Range partitioning by itself makes all rows twice, once to find its ranges.
+    """
+    every = max(1, index.count() // SAMPLED)
+    rows = _placed(index.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0), fields, key, impact)
+    about = rows.count() * every
+    ranges = max(math.ceil(about / FILE), min(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(about / LEAST)))
+    if ranges < 2:
+        return ()
+    least = F.min(F.struct("field", "term", *([(-F.col("impact")).alias("impact")] if impact else []), key)).alias("x")
+    found = rows.repartitionByRange(ranges, *_order(rows.columns, key)).groupBy(F.spark_partition_id().alias("p")).agg(least).orderBy("x").select("x.*").toArrow()  # a row a range
+    return tuple(zip(*[c.to_pylist() for c in found.columns], strict=True))[1:]
 
 
 def written_fields(table: DataFrame) -> tuple[str, ...]:
@@ -86,7 +182,9 @@ def write(index: DataFrame, path: str, fields: tuple[str, ...], key: str = "Page
     twice = index.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).first()
     if twice is not None:
         raise ValueError(f"{key} {twice[0]} is null or repeated: postings need distinct keys")
-    _save(postings(index, fields, key, impact), path)
+    starts = _starts(index, fields, key, impact)
+    rows = _placed(index, fields, key, impact, starts)
+    _save(_said(rows.repartitionById(len(starts) + 1, "part").sortWithinPartitions(*_order(rows.columns, key)).drop("part"), fields, impact), path)
 
 
 def write_rows(rows: DataFrame, path: str, fields: tuple[str, ...], key: str = "PageId") -> None:

@@ -155,3 +155,40 @@ def test_the_dictionary_of_a_query_shuffles_counts_only(spark, monkeypatch):
     search.dictionary(lambda name: spark.createDataFrame([(1, "one Two one", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long"))
     assert "Exchange" not in given[0]._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.term for r in given[0].collect()) == ["one", "two"]
+
+
+def test_files_of_a_write_are_ranges_that_are_found_without_making_all_rows_twice(spark, docs, tmp_path, monkeypatch):
+    for name, value in (("SAMPLED", 50), ("FILE", 150), ("LEAST", 100)):
+        monkeypatch.setattr(P, name, value)
+    saved, save = [], P._save
+    monkeypatch.setattr(P, "_save", lambda rows, path: saved.append(rows) or save(rows, path))
+    for impact, order in ((None, ["field", "term", "PageId"]), ("Popularity", ["field", "term", "down", "PageId"])):
+        path = str(tmp_path / str(impact))
+        P.write(docs, path, ("Keywords", "Title"), impact=impact)
+        assert "rangepartitioning" not in plan(saved[-1])
+        found, want = P.read(spark, path), P.postings(docs, ("Keywords", "Title"), impact=impact)
+        assert sorted(map(tuple, found.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+        named = found.selectExpr("*", "_metadata.file_name as file", *(["-impact as down"] if impact else []))
+        files = {}
+        for r in named.collect():
+            files.setdefault(r.file, []).append(tuple(r[c] for c in order))
+        spans = sorted((min(x), max(x)) for x in files.values())
+        assert len(spans) > 5 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+        assert len({f for f, x in files.items() if any(y[:2] == ("Keywords", "reed") for y in x)}) > 1  # a term of many documents is in several
+
+
+def test_slices_hold_all_documents(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(P, "SLICE", 5)
+    monkeypatch.setattr(P, "BATCH", 2)
+    lists = [["b", "a", None, "b"], None, [], ["a"] * 9, ["c"], [], ["é", "z"], [None]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8, 0, -1)), pa.array(lists, pa.list_(pa.string()))], ["PageId", "t"])
+    parts = list(P._slices(batch, 1))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(8, 0, -1)) and max(sum(len(x or ()) for x in p.column(1).to_pylist()) for p in parts) == 9
+    rows = [tuple(r.values()) for p in parts for b in P._field_rows(p, "f", 1, False, (("f", "b", 9),), ["field", "term", "PageId", "positions", "part"]) for r in b.to_pylist()]
+    want = {}
+    for k, x in zip(range(8, 0, -1), lists):
+        for i, w in enumerate(w for w in x or [] if w is not None):
+            want.setdefault((w, k), []).append(i)
+    assert sorted(rows) == sorted(("f", w, k, p, int((w, k) >= ("b", 9))) for (w, k), p in want.items())
