@@ -11,8 +11,10 @@ from ancestra.plans.ast import Options
 from . import query
 
 
-def raw_pages(t, title, contents, key, table):
-    return t(table).select(F.col(key).cast("string").alias("page_id"), title.alias("full_title"), F.lit(1).cast("long").alias("rev_id"), F.lit("20200101000000").alias("rev_timestamp"), F.lit(7).alias("popularity"), contents.alias("contents"), F.array(F.lit("u")).alias("users"), F.array().cast("array<string>").alias("trees"))
+def raw_pages(t, title, contents, key, table, spread=True):
+    """A table's rows as pages. spread: over all tasks, as a page takes long for the few bytes of its row, of which a split of a file holds very many."""
+    rows = t(table).repartition(key) if spread else t(table)
+    return rows.select(F.col(key).cast("string").alias("page_id"), title.alias("full_title"), F.lit(1).cast("long").alias("rev_id"), F.lit("20200101000000").alias("rev_timestamp"), F.lit(7).alias("popularity"), contents.alias("contents"), F.array(F.lit("u")).alias("users"), F.array().cast("array<string>").alias("trees"))
 
 
 def persons(t):
@@ -60,7 +62,7 @@ def place_page_index(t):
 def xpath_extract(t):
     """Articles with XML, without, malformed, and redirects."""
     body = F.when(F.col("doc_id") % 5 == 0, F.lit("#redirect [[X]]")).when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<article><surname>"), "source", F.lit("</surname><place>"), "lang", F.lit("|x</place></article>"), "text")).otherwise(F.lit("<article><broken></article>"))
-    d = extract.documents(raw_pages(t, F.concat(F.lit("Title "), "doc_id"), body, "doc_id", "documents"))
+    d = extract.documents(raw_pages(t, F.concat(F.lit("Title "), "doc_id"), body, "doc_id", "documents", spread=False))
     return d.select(F.col("PageId").alias("page_id"), F.get("OtherSurname", 0).alias("surname"), F.get("OtherPlace", 0).alias("place"))
 
 

@@ -51,3 +51,13 @@ def test_other_kinds(spark):
     assert (got["2"].RelatedName, got["2"].OtherSurname, got["2"].SurnameTitle) == (["Smyth"], ["Smith"], "Smith")
     assert (got["3"].OtherSurname, got["3"].OtherGivenname, got["3"].FullnameStored) == (["B", "D", "F"], ["A", "C", "E"], "D, C and F, E")
     assert got["4"].Category == ["Q"] and got["5"].User == ["u", "U"] and got["5"].OtherSurname == ["R"] and got["5"].PlaceStored == ["p"]
+
+
+def test_rows_of_a_small_file_are_made_pages_by_all_tasks(spark, tmp_path):
+    from ancestra.catalog import pages
+
+    path = str(tmp_path / "customer.parquet")
+    spark.range(10).selectExpr("id AS c_custkey", "'BUILDING' AS c_mktsegment").coalesce(1).write.parquet(path)
+    found = pages.persons(lambda name: spark.read.parquet(path))
+    assert "hashpartitioning(c_custkey" in found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert sorted(r.page_id for r in found.select("page_id").collect()) == [str(i) for i in range(10)]
