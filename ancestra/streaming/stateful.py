@@ -32,18 +32,21 @@ class Revisions(StatefulProcessor):
         self.seen = handle.getValueState("seen", "rev_id long", self.ttl)
 
     def _before(self) -> int:
-        return int(self.seen.get()[0]) if self.seen.exists() else 0
+        seen = self.seen.get()  # none if there is no state: one call of the store, not two
+        return int(seen[0]) if seen is not None else 0
 
     def handleInputRows(self, key, rows, timers) -> Iterator:
         before = self._before()
         newest, deleted = before, False
         for frame in rows:  # a page's tasks of a micro-batch in several frames, none of which must be held
-            gone = frame["action"] == DELETE
+            revision, gone = frame["rev_id"].to_numpy(), frame["action"].to_numpy() == DELETE  # most pages have few tasks, for which operations of pandas cost the most
+            passed = gone | (revision <= 0) | (revision > before)
             deleted |= bool(gone.any())
-            passed = frame[gone | (frame["rev_id"] <= 0) | (frame["rev_id"] > before)]
-            newest = max(newest, int(passed.loc[passed["action"] != DELETE, "rev_id"].max() or 0) if (passed["action"] != DELETE).any() else 0)
-            if len(passed):
-                yield passed
+            newest = max(newest, int(revision[passed & ~gone].max(initial=0)))
+            if passed.all():
+                yield frame
+            elif passed.any():
+                yield frame[passed]
         if deleted:
             self.seen.clear()
         elif newest > 0:

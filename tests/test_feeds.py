@@ -40,3 +40,37 @@ def test_stream_within_a_budget(spark, tmp_path):
 def test_protected_words(spark):
     run = analysis.make("text", stem=lambda x: F.regexp_replace(x, "s$", ""), protected=("dontstems",))
     assert spark.range(1).select(run(F.lit("Reeds dontstems onths"))).first()[0] == ["reed", "dontstems", "onth"]
+
+
+def test_a_pages_state_is_read_by_one_call_and_frames_that_pass_whole_are_not_copied():
+    import pandas as pd
+
+    from ancestra.streaming.stateful import Revisions
+
+    class Seen:
+        calls, value = [], None
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    guard = Revisions()
+    guard.seen = Seen()
+    frame = lambda *rows: pd.DataFrame(rows, columns=["action", "rev_id"])
+    given = frame((0, 5), (0, 3), (0, None))
+    whole = frame((0, 7), (0, 0))
+    out = list(guard.handleInputRows(("p",), iter([given, whole]), None))
+    assert [x["rev_id"].tolist() for x in out] == [[5, 3], [7, 0]] and out[1] is whole
+    assert guard.seen.calls == ["get"] and guard.seen.value == (7,)
+    assert [x["rev_id"].tolist() for x in guard.handleInputRows(("p",), iter([frame((0, 7), (0, 8)), frame((0, 1))]), None)] == [[8]] and guard.seen.value == (8,)
+    assert len(list(guard.handleInputRows(("p",), iter([frame((1, 0), (0, 9))]), None))[0]) == 2 and guard.seen.value is None
