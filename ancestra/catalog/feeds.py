@@ -52,6 +52,13 @@ def pages(t):
     return t("events").select(F.col("user_id").cast("string").alias("page_id"), F.col("event_id").alias("rev_id"), F.col("event_type").alias("body"), (F.col("user_id") % 7 == 3).alias("is_redirect"))
 
 
+def stored_pages(t, root):
+    """The highest revision of each page, made once for all batches."""
+    rows = pages(t)
+    I.newest(rows).write.parquet(f"{root}/pages")
+    return rows.sparkSession.read.parquet(f"{root}/pages")
+
+
 def start(t):
     return t("events").where("event_id <= 500 and user_id % 7 <> 3").groupBy(F.col("user_id").cast("string").alias("page_id")).agg(F.max("event_id").alias("rev_id"), F.max_by("event_type", "event_id").alias("body"))
 
@@ -117,11 +124,12 @@ def all_pages_cursor(t):
 def segmented_apply_feed(t):
     """The same feed in ten batches, each of which adds a segment; segments are merged as they become many, and the last batch comes twice."""
     tasks = feed(t)
-    segments = Segments(tasks.sparkSession, scratch(tasks.sparkSession, "segments"))
+    root = scratch(tasks.sparkSession, "segments")
+    segments, current = Segments(tasks.sparkSession, f"{root}/index"), stored_pages(t, root)
     segments.create(start(t))
     part = F.when(F.col("feed") == "deletes", 9).otherwise(F.col("rev_id") % 9)
     for i in (*range(10), 9):
-        apply_tasks(segments, i, tasks.where(part == i), pages(t))
+        apply_tasks(segments, i, tasks.where(part == i), current)
     return segments.index()
 
 
@@ -193,8 +201,9 @@ def rows_middle(tasks):
 def maintained_counts(t):
     """Facet counts kept current from the old and new rows of each batch, not counted again."""
     tasks = feed(t)
-    segments = Segments(tasks.sparkSession, scratch(tasks.sparkSession, "segments"), counted=("body",))
+    root = scratch(tasks.sparkSession, "segments")
+    segments, current = Segments(tasks.sparkSession, f"{root}/index", counted=("body",)), stored_pages(t, root)
     segments.create(start(t))
     for i in range(3):
-        apply_tasks(segments, i, tasks.where(F.when(F.col("feed") == "deletes", 2).otherwise(F.col("rev_id") % 2) == i), pages(t))
+        apply_tasks(segments, i, tasks.where(F.when(F.col("feed") == "deletes", 2).otherwise(F.col("rev_id") % 2) == i), current)
     return segments.counts("body")

@@ -184,17 +184,20 @@ class Segments:
 def apply_tasks(segments: Segments, batch: int, tasks: DataFrame, pages: DataFrame) -> bool:
     """A batch of index tasks, as streaming.incremental.applied() takes them, added to the segments.
 
-    pages has the segments' columns and `is_redirect`; key: page_id, revisions: rev_id.
+    pages has the segments' columns and `is_redirect`; key: page_id, revisions: rev_id. Each batch looks its pages up
+    among all of them, so a source with many revisions a page is better reduced by streaming.incremental.newest(), and stored, once.
     """
-    from ancestra.streaming.incremental import deduplicated, guarded
+    from ancestra.streaming.incremental import deduplicated, guarded, newest
 
     if batch <= segments.manifest()["batch"]:
         return False
-    todo = guarded(deduplicated(tasks), segments.index().select("page_id", "rev_id"))
-    updates = todo.where(F.col("action") != DELETE).select(F.col("page_id").alias("__p"))
-    wanted = pages.join(updates, F.col("page_id") == F.col("__p"), "left_semi")
-    fresh = wanted.groupBy("page_id").agg(F.max_by(F.struct(*[c for c in pages.columns if c != "page_id"]), "rev_id").alias("p")).select("page_id", "p.*")
-    return segments.apply(batch, fresh.where("not is_redirect"), todo.select("page_id"))
+    todo = guarded(deduplicated(tasks), segments.index().select("page_id", "rev_id")).select("page_id", "action").persist()  # a row a page at most, for the changed and the gone
+    try:
+        updates = todo.where(F.col("action") != DELETE).select(F.col("page_id").alias("__p"))
+        fresh = newest(pages.join(updates, F.col("page_id") == F.col("__p"), "left_semi"))
+        return segments.apply(batch, fresh.where("not is_redirect"), todo.select("page_id"))
+    finally:
+        todo.unpersist()
 
 
 def run_stream(tasks: DataFrame, pages: DataFrame, segments: Segments, checkpoint: str) -> StreamingQuery:

@@ -33,6 +33,11 @@ def guarded(tasks: DataFrame, indexed: DataFrame) -> DataFrame:
     return tasks.join(seen, old, "left_anti")
 
 
+def newest(pages: DataFrame) -> DataFrame:
+    """The highest revision of each page."""
+    return pages.groupBy("page_id").agg(F.max_by(F.struct(*[c for c in pages.columns if c != "page_id"]), "rev_id").alias("p")).select("page_id", "p.*")
+
+
 def applied(index: DataFrame, tasks: DataFrame, pages: DataFrame) -> DataFrame:
     """The index after a batch of tasks: keyed by page_id, idempotent.
 
@@ -40,8 +45,7 @@ def applied(index: DataFrame, tasks: DataFrame, pages: DataFrame) -> DataFrame:
     `pages`, which has the index's columns and `is_redirect`. Of repeated pages the highest revision counts.
     """
     todo = guarded(deduplicated(tasks), index.select("page_id", "rev_id"))
-    newest = pages.groupBy("page_id").agg(F.max_by(F.struct(*[c for c in pages.columns if c != "page_id"]), "rev_id").alias("p")).select("page_id", "p.*")
-    fresh = newest.join(todo.where(F.col("action") != DELETE).select(F.col("page_id").alias("__p")), F.col("page_id") == F.col("__p"), "left_semi").where("not is_redirect")
+    fresh = newest(pages).join(todo.where(F.col("action") != DELETE).select(F.col("page_id").alias("__p")), F.col("page_id") == F.col("__p"), "left_semi").where("not is_redirect")
     return index.join(todo.select(F.col("page_id").alias("__p")), F.col("page_id") == F.col("__p"), "left_anti").unionByName(fresh.select(*index.columns))
 
 

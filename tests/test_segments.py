@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ancestra.catalog import feeds
 from ancestra.operators import postings as P
 from ancestra.operators import search as S
 from ancestra.operators import segments as G
@@ -95,3 +96,24 @@ def test_stream_of_tasks_equals_one_shot_and_replays_change_nothing(spark, tmp_p
         assert rows_of(seg.index()) == rows_of(I.applied(index, every, pages).select("page_id", "rev_id", "words"))
         assert seg.manifest()["batch"] == 3
     assert seg.index().where(F.col("page_id").isin("3", "4", "27")).count() == 0
+
+
+def test_the_tasks_of_a_batch_are_made_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    page = F.udf(lambda i: seen.add(1) or str(i), "string").asNondeterministic()
+    tasks = spark.range(100).select(F.lit("revisions").alias("feed"), F.col("id").cast("string").alias("sequence_id"), page("id").alias("page_id"), F.lit(0).alias("action"), (F.col("id") + 1).alias("rev_id"), F.lit("t").alias("rev_timestamp"))
+    pages = spark.range(100).selectExpr("cast(id as string) page_id", "id + 1 rev_id", "array('a') words", "id % 7 = 3 is_redirect")
+    seg = G.Segments(spark, str(tmp_path / "s"))
+    seg.create(pages.drop("is_redirect").limit(0))
+    assert G.apply_tasks(seg, 0, tasks, pages) and seg.index().count() == 86
+    assert seen.value == 100
+
+
+@pytest.mark.parametrize("name", ["segmented_apply_feed", "maintained_counts"])
+def test_batches_of_a_query_look_pages_up_among_one_row_a_page(spark, monkeypatch, name):
+    events = spark.range(300).selectExpr("id event_id", "timestamp_seconds(id) ts", "id % 20 user_id", "'click' event_type")
+    given = []
+    monkeypatch.setattr(feeds, "apply_tasks", lambda segments, batch, tasks, pages: given.append(pages))
+    getattr(feeds, name)(lambda table: events)
+    assert given and all(p is given[0] for p in given)
+    assert sorted((int(r.page_id), r.rev_id, r.body, r.is_redirect) for r in given[0].collect()) == [(i, 280 + i, "click", i % 7 == 3) for i in range(20)]
