@@ -77,7 +77,7 @@ def name_facets(t):
 def engine_search(t):
     """Pages to index to search: a surname, and a range of birth years that doesn't score."""
     docs = index.build(extract.documents(persons(t)).drop("Title"))
-    r = Engine(docs).search("+PersonSurname:building +PersonBirthYear:[1840 TO 1845]", Options(filters=(("Namespace", "Person"),)), rows=100_000)
+    r = Engine(docs).search("+PersonSurname:building +PersonBirthYear:[1840 TO 1845]", Options(filters=(("Namespace", "Person"),)), rows=None)
     return r.docs.select(F.col("PageId").alias("page_id"), F.round(F.col("score") - 0.4, 9).alias("score"))
 
 

@@ -45,8 +45,8 @@ class Engine:
         row = self.variants.where(F.col("name") == name).first()
         return [*(row.confirmed or []), *(row.computer or [])][: N.MOST_RELATED] if row else []
 
-    def search(self, query: str, options: Options | None = None, start: int = 0, rows: int = 10, facets: tuple[str, ...] = ()) -> S.Result:
-        """The main request: documents with scores, facets, words to highlight and the places that were matched."""
+    def search(self, query: str, options: Options | None = None, start: int = 0, rows: int | None = 10, facets: tuple[str, ...] = ()) -> S.Result:
+        """The main request: documents with scores (all that match where rows is None), facets, words to highlight and the places that were matched."""
         o = replace(options or Options(), match_places=self.match_places, also_located_in=self.also_located_in, related_names=self.related_names)
         return S.search(self.index, query, o, start, rows, facets, postings=self.postings)
 

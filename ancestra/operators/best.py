@@ -103,7 +103,7 @@ class Best:
         return docs.join(F.broadcast(named), F.col(self.key) == F.col("__key")).drop("__key").orderBy(F.desc("score"), self.key)
 
 
-def search_best(docs: DataFrame, table: DataFrame, query: str, options: Options | None = None, start: int = 0, rows: int = 10, key: str = "PageId") -> DataFrame:
+def search_best(docs: DataFrame, table: DataFrame, query: str, options: Options | None = None, start: int = 0, rows: int | None = 10, key: str = "PageId") -> DataFrame:
     """What operators.search.search() gives as docs, from postings with impacts; filters on written fields are terms that must be found."""
     from ancestra.operators import search as S
 
@@ -111,6 +111,6 @@ def search_best(docs: DataFrame, table: DataFrame, query: str, options: Options
     tree = rewritten(parse(query, o), o)
     best = Best(docs, table, key)
     filtered = Bool(((MUST, tree), *((MUST, Term(f, v, 0.0)) for f, v in o.filters))) if o.filters else tree
-    if o.sort or not best.able(filtered):
+    if rows is None or o.sort or not best.able(filtered):
         return S.search(docs, query, o, start, rows, key=key, postings=table).docs
     return best.best(filtered, start, rows)

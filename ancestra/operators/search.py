@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ancestra import data
+from ancestra.operators.relational import positions
 from ancestra.plans.ast import Bool, Options, show
 from ancestra.plans.compile import Compiler
 from ancestra.plans.parser import parse
@@ -64,13 +65,21 @@ def filtered(docs: DataFrame, filters) -> DataFrame:
     return docs
 
 
-def paged(df: DataFrame, order: list[Column], start: int = 0, rows: int = 10) -> DataFrame:
-    """A page of a total order; its plan keeps start + rows rows a partition at most."""
-    return df.orderBy(*order).limit(start + rows).offset(start)
+def paged(df: DataFrame, order: list[Column], start: int = 0, rows: int | None = 10) -> DataFrame:
+    """A page of a total order; its plan keeps start + rows rows a partition at most. rows None: all rows from `start` on.
+
+    All rows are sorted in ranges, so that no task has them all. A start other than 0 is found by
+    the rows' places, which checkpoints them.
+    """
+    if rows is not None:
+        return df.orderBy(*order).limit(start + rows).offset(start)
+    if start:
+        df = positions(df, order, out="__place").where(F.col("__place") > start).drop("__place")
+    return df.hint("rebalance").orderBy(*order)  # a sort reads its rows twice, and from the exchange they aren't made anew
 
 
-def search(docs: DataFrame, query: str, options: Options | None = None, start: int = 0, rows: int = 10, facets: tuple[str, ...] = (), key: str = "PageId", postings: DataFrame | None = None) -> Result:
-    """Parse, rewrite and run a query; order by score (or the sort field) and then by key.
+def search(docs: DataFrame, query: str, options: Options | None = None, start: int = 0, rows: int | None = 10, facets: tuple[str, ...] = (), key: str = "PageId", postings: DataFrame | None = None) -> Result:
+    """Parse, rewrite and run a query; order by score (or the sort field) and then by key. rows None: all that match, from `start` on.
 
     With postings (operators.postings) the terms are looked up there, and the documents' arrays of terms aren't read.
     """

@@ -39,6 +39,13 @@ def test_same_as_search(docs, table, q, filters):
         assert [(r.PageId, round(r.score, 9)) for r in one.collect()] == [(r.PageId, round(r.score, 9)) for r in two.collect()]
 
 
+def test_all_that_match(docs, table):
+    o = Options(exact=True)
+    every, some = B.search_best(docs, table, "reed", o, rows=None).collect(), S.search(docs, "reed", o, rows=4000).docs.collect()
+    assert [(r.PageId, r.score) for r in every] == [(r.PageId, r.score) for r in some] and len(every) > 1000
+    assert [r.PageId for r in B.search_best(docs, table, "reed", o, 5, None).collect()] == [r.PageId for r in some[5:]]
+
+
 def test_few_of_many_matches_are_scored(docs, table):
     tree = Bool(((MUST, Bool(((MUST, Term("Keywords", "reed")), ("", Popularity())))),))
     best = B.Best(docs, table)

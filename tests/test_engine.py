@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ancestra import catalog
 from ancestra.engine import Engine, data_quality, event_dates
 from ancestra.functions import analysis
 from ancestra.operators import extract, index
@@ -12,6 +13,8 @@ from ancestra.plans.ast import Options
 from .test_extract import PERSON
 from .test_places import ROWS
 
+catalog.load()
+
 
 @pytest.fixture(scope="module")
 def engine(spark):
@@ -41,6 +44,24 @@ def test_names_dates_and_keywords(engine):
     assert set(found(engine.search("census", Options(filters=(("Namespace", "Article"),))))) == {"4"}
 
 
+@pytest.mark.parametrize("options", [Options(exact=True), Options(exact=True, sort="Popularity")])
+def test_all_that_match(spark, options):
+    n = 100_250
+    docs = spark.range(n + 9).select(F.col("id").alias("PageId"), F.when(F.col("id") < n, F.array(F.lit("smith"))).alias("PersonSurname"), (F.col("id") * 7919 % 5).cast("int").alias("Popularity"))
+    ids = lambda start, rows: [r.PageId for r in Engine(docs).search("PersonSurname:smith", options, start=start, rows=rows).docs.select("PageId").collect()]
+    every = ids(0, None)
+    assert sorted(every) == list(range(n))
+    assert every == ids(0, 2 * n) and ids(100_100, None) == every[100_100:] and ids(2 * n, None) == []
+
+
+def test_engine_search_has_no_limit(spark, tmp_path):
+    """More than a page of customers match, and no plan of the query keeps but some of them."""
+    spark.range(400).selectExpr("id AS c_custkey", "if(id < 390, 'BUILDING', 'MACHINERY') AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    out = catalog.QUERIES["engine_search"](spark, str(tmp_path))
+    assert "Limit" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.page_id for r in out.collect()} == {str(i) for i in range(390) if 40 <= i % 100 <= 45}
+
+
 def test_places_widen_both_ways(engine):
     r = engine.search('PersonBirthPlace:"Utah, US"')
     assert set(found(r)) == {"1", "2"}  # a wide place finds all below it
